@@ -7,6 +7,7 @@ Points come as ``id, x, y`` with a unique ``id``; polygons as edge tables. Resul
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,13 +71,30 @@ def zone_index(edges: DataFrame, size: float) -> DataFrame:
     return border.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, size: float | None = None) -> DataFrame:
-    """Pairs of a point and a polygon it intersects."""
+@dataclass(frozen=True)
+class PolygonLayer:
+    """Polygons prepared for repeated joins: edges, grid size and the stored grid index."""
+
+    edges: DataFrame
+    size: float
+    index: DataFrame
+
+
+def polygon_layer(edges: DataFrame, size: float | None = None) -> PolygonLayer:
     size = size or g.typical_cell(edges)
-    index = zone_index(edges, size)
-    near = lookup_join(g.with_cell(points.select("id", "x", "y"), size), index, ["cx", "cy"], "inner")
+    return PolygonLayer(edges, size, materialise(zone_index(edges, size), "zone-index"))
+
+
+def _layer(polygons: DataFrame | PolygonLayer) -> PolygonLayer:
+    return polygons if isinstance(polygons, PolygonLayer) else polygon_layer(polygons)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame | PolygonLayer) -> DataFrame:
+    """Pairs of a point and a polygon it intersects."""
+    layer = _layer(polygons)
+    near = lookup_join(g.with_cell(points.select("id", "x", "y"), layer.size), layer.index, ["cx", "cy"], "inner")
     candidates = near.select("id", "x", "y", "poly_id", F.when(~F.col("whole"), F.col("cy")).alias("row"))
-    return _inside(candidates, _edge_rows(edges, size), ["id"])
+    return _inside(candidates, _edge_rows(layer.edges, layer.size), ["id"])
 
 
 def join_zone(points: DataFrame, pairs: DataFrame, zone: str) -> DataFrame:
@@ -84,24 +102,25 @@ def join_zone(points: DataFrame, pairs: DataFrame, zone: str) -> DataFrame:
     return points.join(pairs.withColumnRenamed("poly_id", zone), "id", "left")
 
 
-def keep_inside(points: DataFrame, mask_edges: DataFrame, size: float | None = None) -> DataFrame:
+def keep_inside(points: DataFrame, mask: DataFrame | PolygonLayer) -> DataFrame:
     """Points that intersect any polygon of the mask."""
-    return points.join(points_in_polygons(points, mask_edges, size).select("id"), "id", "left_semi")
+    return points.join(points_in_polygons(points, mask).select("id"), "id", "left_semi")
 
 
-def points_within(points: DataFrame, edges: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+def points_within(points: DataFrame, polygons: DataFrame | PolygonLayer, radius: float) -> DataFrame:
     """Pairs of a point and a polygon at most ``radius`` away from it, inside included."""
-    size = max(size or g.typical_cell(edges), radius)
-    inside = points_in_polygons(points, edges, size)
-    reach = g.edge_cells(edges, size, radius).select("poly_id", "x1", "y1", "x2", "y2", "cx", "cy")
+    layer = _layer(polygons)
+    size = max(layer.size, radius)
+    inside = points_in_polygons(points, layer)
+    reach = g.edge_cells(layer.edges, size, radius).select("poly_id", "x1", "y1", "x2", "y2", "cx", "cy")
     near = lookup_join(g.with_cell(points.select("id", "x", "y"), size), reach, ["cx", "cy"], "inner")
     close = g.segment_distance_squared(F.col("x"), F.col("y")) <= radius * radius
     return inside.unionByName(near.filter(close).select("id", "poly_id")).distinct()
 
 
-def polygons_within(edges: DataFrame, points: DataFrame, radius: float, size: float | None = None) -> DataFrame:
+def polygons_within(polygons: DataFrame | PolygonLayer, points: DataFrame, radius: float) -> DataFrame:
     """Ids of the polygons at most ``radius`` away from any of the points."""
-    return points_within(points, edges, radius, size).select("poly_id").distinct()
+    return points_within(points, polygons, radius).select("poly_id").distinct()
 
 
 def nearest_polygon(points: DataFrame, edges: DataFrame, size: float | None = None) -> DataFrame:
@@ -150,12 +169,12 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, size: float | None = No
     return best.select("id", "_best.poly_id", F.sqrt("_best._d2").alias("distance"))
 
 
-def zone_or_nearest(points: DataFrame, edges: DataFrame, zone: str, size: float | None = None) -> DataFrame:
+def zone_or_nearest(points: DataFrame, polygons: DataFrame | PolygonLayer, zone: str) -> DataFrame:
     """Zone by containment, and by distance for the points in no zone."""
-    size = size or g.typical_cell(edges)
-    pairs = materialise(points_in_polygons(points, edges, size), "zone-pairs")
+    layer = _layer(polygons)
+    pairs = materialise(points_in_polygons(points, layer), "zone-pairs")
     lost = points.select("id", "x", "y").join(pairs.select("id"), "id", "left_anti")
-    nearest = nearest_polygon(lost, edges, size).select("id", "poly_id")
+    nearest = nearest_polygon(lost, layer.edges, layer.size).select("id", "poly_id")
     return join_zone(points, pairs.unionByName(nearest), zone)
 
 

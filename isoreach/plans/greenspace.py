@@ -9,6 +9,7 @@ from isoreach.operators import geometry as g
 from isoreach.operators import spatial as sp
 from isoreach.operators.joins import null_safe_join
 from isoreach.operators.stats import count_by
+from isoreach.session import materialise
 
 PARK = "Public Park Or Garden"
 MAX_GAP = 50.0
@@ -46,7 +47,9 @@ def summary(sites: DataFrame, site_edges: DataFrame, access: DataFrame, zone_edg
     hectares = shared.groupBy(F.col("q").alias("geo_code")).agg((F.sum("area") / 10_000).alias("park_ha"))
 
     every, listed = park_entrances(park_edges, access)
-    near = sp.join_zone(every, sp.points_within(every, zone_edges, TOLERANCE), "geo_code")
-    inside = sp.join_zone(listed, sp.points_in_polygons(listed, zone_edges), "geo_code")
+    every = materialise(every, "entrances")
+    zones = sp.polygon_layer(zone_edges)
+    near = sp.join_zone(every, sp.points_within(every, zones, TOLERANCE), "geo_code")
+    inside = sp.join_zone(listed, sp.points_in_polygons(listed, zones), "geo_code")
     result = null_safe_join(hectares, count_by(near, "geo_code", "park_accesspoints"), ["geo_code"], "full")
     return null_safe_join(result, count_by(inside, "geo_code", "park_accesspoints_original"), ["geo_code"], "full")
