@@ -7,6 +7,7 @@ Survey. The datum shift is good to a few metres compared with grid-shift methods
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,22 @@ def _ecc2(ellipsoid: tuple[float, float]) -> float:
     return (a * a - b * b) / (a * a)
 
 
+def _with(s: Column, kept: str, **added: Column) -> Column:
+    return F.struct(*[s[k].alias(k) for k in kept.split()], *[v.alias(k) for k, v in added.items()])
+
+
+def _chain(start: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Applies the steps one after the other to one struct.
+
+    Each step binds its input once. Nested plain columns would repeat the whole formula wherever a
+    value is used again, which grows without limit over the rounds.
+    """
+    value = F.array(start)
+    for step in steps:
+        value = F.transform(value, step)
+    return F.element_at(value, 1)
+
+
 def _meridian(lat: Column) -> Column:
     """Arc length along the meridian from the true origin."""
     a, b = AIRY
@@ -43,69 +60,71 @@ def _meridian(lat: Column) -> Column:
     )
 
 
-def _radii(df: DataFrame) -> DataFrame:
-    """Curvature radii and the terms of the series at ``_lat``."""
+def _radii(kept: str) -> Callable[[Column], Column]:
+    """Adds the curvature radii at ``lat`` and powers of its tangent."""
     a, e2 = AIRY[0], _ecc2(AIRY)
-    sin2 = F.sin("_lat") * F.sin("_lat")
-    df = df.withColumns(
-        {
-            "_nu": a * SCALE / F.sqrt(1 - e2 * sin2),
-            "_rho": a * SCALE * (1 - e2) / F.pow(1 - e2 * sin2, F.lit(1.5)),
-            "_t2": F.tan("_lat") * F.tan("_lat"),
-        }
-    )
-    return df.withColumn("_eta2", F.col("_nu") / F.col("_rho") - 1)
 
+    def step(s: Column) -> Column:
+        bend = 1 - e2 * F.sin(s["lat"]) * F.sin(s["lat"])
+        t2 = F.tan(s["lat"]) * F.tan(s["lat"])
+        rho = a * SCALE * (1 - e2) / F.pow(bend, F.lit(1.5))
+        return _with(s, kept, nu=a * SCALE / F.sqrt(bend), rho=rho, t2=t2, t4=t2 * t2, eta2=bend / (1 - e2) - 1)
 
-def _cartesian(df: DataFrame, ellipsoid: tuple[float, float]) -> DataFrame:
+    return step
+
+
+def _cartesian(ellipsoid: tuple[float, float]) -> Callable[[Column], Column]:
     a, e2 = ellipsoid[0], _ecc2(ellipsoid)
-    df = df.withColumn("_v", a / F.sqrt(1 - e2 * F.sin("_lat") * F.sin("_lat")))
-    return df.withColumns(
-        {
-            "_cx": F.col("_v") * F.cos("_lat") * F.cos("_lon"),
-            "_cy": F.col("_v") * F.cos("_lat") * F.sin("_lon"),
-            "_cz": (1 - e2) * F.col("_v") * F.sin("_lat"),
-        }
-    )
 
+    def step(s: Column) -> Column:
+        v = a / F.sqrt(1 - e2 * F.sin(s["lat"]) * F.sin(s["lat"]))
+        return _with(
+            s, "",
+            x=v * F.cos(s["lat"]) * F.cos(s["lon"]), y=v * F.cos(s["lat"]) * F.sin(s["lon"]), z=(1 - e2) * v * F.sin(s["lat"]),
+        )
 
-def _shifted(df: DataFrame, sign: int) -> DataFrame:
+    return step
+
+
+def _shifted(sign: int) -> Callable[[Column], Column]:
     tx, ty, tz = (sign * t for t in SHIFT)
     rx, ry, rz = (sign * math.radians(r / 3600) for r in ROTATION)
     k = 1 + sign * SHIFT_PPM * 1e-6
-    x, y, z = F.col("_cx"), F.col("_cy"), F.col("_cz")
-    return df.withColumns(
-        {
-            "_cx": tx + k * x - rz * y + ry * z,
-            "_cy": ty + rz * x + k * y - rx * z,
-            "_cz": tz - ry * x + rx * y + k * z,
-        }
-    )
 
+    def step(s: Column) -> Column:
+        x, y, z = s["x"], s["y"], s["z"]
+        return _with(
+            s, "", x=tx + k * x - rz * y + ry * z, y=ty + rz * x + k * y - rx * z, z=tz - ry * x + rx * y + k * z
+        )
 
-def _geographic(df: DataFrame, ellipsoid: tuple[float, float]) -> DataFrame:
+    return step
+
+
+def _geographic(ellipsoid: tuple[float, float]) -> list[Callable[[Column], Column]]:
     a, e2 = ellipsoid[0], _ecc2(ellipsoid)
-    df = df.withColumn("_p", F.sqrt(F.col("_cx") * F.col("_cx") + F.col("_cy") * F.col("_cy")))
-    df = df.withColumns({"_lon": F.atan2("_cy", "_cx"), "_lat": F.atan2(F.col("_cz"), F.col("_p") * (1 - e2))})
-    for _ in range(_ROUNDS):
-        v = a / F.sqrt(1 - e2 * F.sin("_lat") * F.sin("_lat"))
-        df = df.withColumn("_lat", F.atan2(F.col("_cz") + e2 * v * F.sin("_lat"), F.col("_p")))
-    return df
-
-
-def _project(df: DataFrame) -> DataFrame:
-    """``_lat, _lon`` on the grid's own datum to ``_e, _n``."""
-    df = _radii(df).withColumn("_d", F.col("_lon") - ORIGIN_LONG)
-    nu, rho, t2, eta2, d = (F.col(c) for c in ("_nu", "_rho", "_t2", "_eta2", "_d"))
-    s, c = F.sin("_lat"), F.cos("_lat")
-    c3, c5 = c * c * c, c * c * c * c * c
-    t4 = t2 * t2
-    d2 = d * d
+
+    def start(s: Column) -> Column:
+        p = F.sqrt(s["x"] * s["x"] + s["y"] * s["y"])
+        return _with(s, "z", p=p, lon=F.atan2(s["y"], s["x"]), lat=F.atan2(s["z"], p * (1 - e2)))
+
+    def refine(s: Column) -> Column:
+        v = a / F.sqrt(1 - e2 * F.sin(s["lat"]) * F.sin(s["lat"]))
+        return _with(s, "z p lon", lat=F.atan2(s["z"] + e2 * v * F.sin(s["lat"]), s["p"]))
+
+    return [start, *[refine] * _ROUNDS]
+
+
+def _project(s: Column) -> Column:
+    """Latitude and longitude on the grid's own datum to metres."""
+    nu, rho, t2, t4, eta2 = (s[k] for k in ("nu", "rho", "t2", "t4", "eta2"))
+    d = s["lon"] - ORIGIN_LONG
+    sn, c = F.sin(s["lat"]), F.cos(s["lat"])
+    c3, c5, d2 = c * c * c, c * c * c * c * c, d * d
     north = (
-        _meridian(F.col("_lat")) + FALSE_NORTH
-        + d2 * nu / 2 * s * c
-        + d2 * d2 * nu / 24 * s * c3 * (5 - t2 + 9 * eta2)
-        + d2 * d2 * d2 * nu / 720 * s * c5 * (61 - 58 * t2 + t4)
+        _meridian(s["lat"]) + FALSE_NORTH
+        + d2 * nu / 2 * sn * c
+        + d2 * d2 * nu / 24 * sn * c3 * (5 - t2 + 9 * eta2)
+        + d2 * d2 * d2 * nu / 720 * sn * c5 * (61 - 58 * t2 + t4)
     )
     east = (
         FALSE_EAST
@@ -113,23 +132,22 @@ def _project(df: DataFrame) -> DataFrame:
         + d * d2 * nu / 6 * c3 * (nu / rho - t2)
         + d * d2 * d2 * nu / 120 * c5 * (5 - 18 * t2 + t4 + 14 * eta2 - 58 * t2 * eta2)
     )
-    return df.withColumns({"_e": east, "_n": north})
-
-
-def _unproject(df: DataFrame) -> DataFrame:
-    """``_e, _n`` to ``_lat, _lon`` on the grid's own datum."""
-    a = AIRY[0]
-    df = df.withColumn("_lat", (F.col("_n") - FALSE_NORTH) / (a * SCALE) + ORIGIN_LAT)
-    for _ in range(_ROUNDS):
-        left = F.col("_n") - FALSE_NORTH - _meridian(F.col("_lat"))
-        df = df.withColumn("_lat", F.col("_lat") + left / (a * SCALE))
-    df = _radii(df).withColumn("_d", F.col("_e") - FALSE_EAST)
-    nu, rho, t2, eta2, d = (F.col(c) for c in ("_nu", "_rho", "_t2", "_eta2", "_d"))
-    tan, sec = F.tan("_lat"), 1 / F.cos("_lat")
-    t4, t6 = t2 * t2, t2 * t2 * t2
+    return _with(s, "", e=east, n=north)
+
+
+def _footpoint(s: Column) -> Column:
+    left = s["n"] - FALSE_NORTH - _meridian(s["lat"])
+    return _with(s, "e n", lat=s["lat"] + left / (AIRY[0] * SCALE))
+
+
+def _unproject(s: Column) -> Column:
+    """Metres and footpoint latitude to latitude and longitude on the grid's own datum."""
+    nu, rho, t2, t4, eta2 = (s[k] for k in ("nu", "rho", "t2", "t4", "eta2"))
+    d = s["e"] - FALSE_EAST
+    tan, sec, t6 = F.tan(s["lat"]), 1 / F.cos(s["lat"]), t2 * t4
     d2, nu2 = d * d, nu * nu
     lat = (
-        F.col("_lat")
+        s["lat"]
         - d2 * tan / (2 * rho * nu)
         + d2 * d2 * tan / (24 * rho * nu * nu2) * (5 + 3 * t2 + eta2 - 9 * t2 * eta2)
         - d2 * d2 * d2 * tan / (720 * rho * nu * nu2 * nu2) * (61 + 90 * t2 + 45 * t4)
@@ -141,20 +159,24 @@ def _unproject(df: DataFrame) -> DataFrame:
         + d * d2 * d2 * sec / (120 * nu * nu2 * nu2) * (5 + 28 * t2 + 24 * t4)
         - d * d2 * d2 * d2 * sec / (5040 * nu * nu2 * nu2 * nu2) * (61 + 662 * t2 + 1320 * t4 + 720 * t6)
     )
-    return df.withColumns({"_lat": lat, "_lon": lon})
+    return _with(s, "", lat=lat, lon=lon)
 
 
 def grid_to_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", long: str = "long") -> DataFrame:
     """Adds ``lat`` and ``long`` in degrees for grid coordinates in metres."""
     kept = [c for c in df.columns if c not in (lat, long)]
-    work = _unproject(df.withColumns({"_e": F.col(x).cast("double"), "_n": F.col(y).cast("double")}))
-    work = _geographic(_shifted(_cartesian(work, AIRY), -1), WGS84)
-    return work.select(*kept, F.degrees("_lat").alias(lat), F.degrees("_lon").alias(long))
+    e, n = F.col(x).cast("double"), F.col(y).cast("double")
+    first = (n - FALSE_NORTH) / (AIRY[0] * SCALE) + ORIGIN_LAT
+    steps = [*[_footpoint] * _ROUNDS, _radii("e lat"), _unproject, _cartesian(AIRY), _shifted(-1), *_geographic(WGS84)]
+    place = _chain(F.struct(e.alias("e"), n.alias("n"), first.alias("lat")), *steps)
+    placed = df.withColumn("_place", place)
+    return placed.select(*kept, F.degrees("_place.lat").alias(lat), F.degrees("_place.lon").alias(long))
 
 
 def wgs84_to_grid(df: DataFrame, lat: str = "lat", long: str = "long", x: str = "x", y: str = "y") -> DataFrame:
     """Adds ``x`` and ``y`` in metres for degrees."""
     kept = [c for c in df.columns if c not in (x, y)]
-    work = df.withColumns({"_lat": F.radians(F.col(lat).cast("double")), "_lon": F.radians(F.col(long).cast("double"))})
-    work = _project(_geographic(_shifted(_cartesian(work, WGS84), 1), AIRY))
-    return work.select(*kept, F.col("_e").alias(x), F.col("_n").alias(y))
+    start = F.struct(F.radians(F.col(lat).cast("double")).alias("lat"), F.radians(F.col(long).cast("double")).alias("lon"))
+    steps = [_cartesian(WGS84), _shifted(1), *_geographic(AIRY), _radii("lat lon"), _project]
+    placed = df.withColumn("_place", _chain(start, *steps))
+    return placed.select(*kept, F.col("_place.e").alias(x), F.col("_place.n").alias(y))

@@ -60,16 +60,17 @@ def read_after_preamble(
     return rows.filter(F.col(required).isNotNull()) if required else rows
 
 
-def read_tree(
-    spark: SparkSession, path: str, pattern: str, schema: T.StructType, keep_path: bool = True
-) -> DataFrame:
-    """All delimited files under ``path`` whose name fits the glob, with the file they came from."""
+def read_tree(spark: SparkSession, path: str, pattern: str, schema: T.StructType) -> DataFrame:
+    """All delimited files under ``path`` whose name fits the glob, with the file they came from.
+
+    Files need the same columns; tables of different services are read one by one and stacked.
+    """
     df = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .csv(path, schema=schema, header=True, **_TEXT_RULES)
     )
-    return df.select("*", F.col("_metadata.file_path").alias("file_path")) if keep_path else df
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
 def read_parquet_tree(spark: SparkSession, path: str, pattern: str) -> DataFrame:

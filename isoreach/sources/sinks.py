@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from isoreach.functions.naming import access_name, nearest_name, pct_name
 from isoreach.functions.text import fixed_point
-from isoreach.operators.reshape import drop_empty_columns
 
 
 def plain_numbers(df: DataFrame, digits: int = 12) -> DataFrame:
@@ -60,19 +59,20 @@ def write_long_measures(long: DataFrame, path: str, files_per_slice: int = 1) ->
     )
 
 
-def write_service_tables(
-    access: DataFrame, services: Sequence[str], modes: Sequence[str], cuts: Sequence[int], path: str
-) -> None:
+def write_service_tables(access: DataFrame, services: Sequence[str], cuts: Sequence[int], path: str) -> None:
     """Public form: one table per service and mode with that service's columns, empty columns left out.
 
-    ``access`` should be a stored table, since it is read once per output table.
+    ``access`` should be a stored table, since it is read once per output table. One aggregate tells
+    which columns hold anything in which mode.
     """
+    present = access.groupBy("mode").agg(*[F.count(c).alias(c) for c in access.columns if c != "mode"]).collect()
     for service in services:
         names = [access_name(service, c) for c in cuts] + [pct_name(service, c) for c in cuts] + [nearest_name(service)]
         columns = ["geo_code", "mode", "time_of_day", *[n for n in names if n in access.columns]]
-        for mode in modes:
-            one = access.filter(F.col("mode") == mode).select(*columns)
-            write_csv(drop_empty_columns(one), f"{path}/{service}/access_{service}_{mode}.csv")
+        for row in present:
+            kept = [c for c in columns if c == "mode" or row[c] > 0]
+            one = access.filter(F.col("mode") == row["mode"]).select(*kept)
+            write_csv(one, f"{path}/{service}/access_{service}_{row['mode']}.csv")
 
 
 def inventory(spark: SparkSession, root: str, shown_root: str = ".") -> DataFrame:
@@ -83,8 +83,7 @@ def inventory(spark: SparkSession, root: str, shown_root: str = ".") -> DataFram
         .load(root)
         .select("path", F.col("length").cast("bigint").alias("size"))
     )
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), base, -1)
+    relative = F.substring_index("path", root.rstrip("/") + "/", -1)
     files = files.select(relative.alias("path"), "size")
     parts = F.split("path", "/")
     # Every folder above a file; paths are short, so these arrays are too.
