@@ -30,12 +30,13 @@ def rectangle_edges(df: DataFrame, poly_id: str, xa: str = "xa", ya: str = "ya",
 
 
 def bounds(edges: DataFrame) -> DataFrame:
-    """Box of every polygon."""
+    """Box and edge count of every polygon."""
     return edges.groupBy("poly_id").agg(
         F.min(F.least("x1", "x2")).alias("xmin"),
         F.min(F.least("y1", "y2")).alias("ymin"),
         F.max(F.greatest("x1", "x2")).alias("xmax"),
         F.max(F.greatest("y1", "y2")).alias("ymax"),
+        F.count(F.lit(1)).alias("n_edges"),
     )
 
 
@@ -92,11 +93,11 @@ def with_cell(points: DataFrame, size: float) -> DataFrame:
     return points.withColumns({"cx": cell_of("x", size), "cy": cell_of("y", size)})
 
 
-def box_cells(boxes: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
-    """One row per grid cell the box touches, after growing it on all sides."""
+def box_cells(boxes: DataFrame, size: Column | float) -> DataFrame:
+    """One row per grid cell the box touches."""
 
     def span(low: str, high: str) -> Column:
-        return F.sequence(cell_of(F.col(low) - grow, size), cell_of(F.col(high) + grow, size))
+        return F.sequence(cell_of(low, size), cell_of(high, size))
 
     columns = boxes.withColumn("cx", F.explode(span("xmin", "xmax")))
     return columns.withColumn("cy", F.explode(span("ymin", "ymax")))
@@ -135,11 +136,36 @@ def segment_distance_squared(x: Column, y: Column) -> Column:
     return ex * ex + ey * ey
 
 
-def typical_cell(edges: DataFrame, parts: int = 4) -> float:
-    """Grid size for a polygon layer: a part of the middle box side.
+EDGES_PER_STRIP = 16
+CELLS_ACROSS = 8
+
+
+def longest_side() -> Column:
+    return F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+
+
+def typical_cell(boxes: DataFrame) -> float:
+    """Finest grid size for a layer: a part of the middle box side.
 
     The value only tunes the work, so an approximate middle is enough.
     """
-    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    middle = bounds(edges).agg(F.percentile_approx(side, 0.5, 1000)).first()[0]
-    return max(float(middle or 1.0) / parts, 1e-3)
+    middle = boxes.agg(F.percentile_approx(longest_side(), 0.5, 1000)).first()[0]
+    return max(float(middle or 1.0) / (CELLS_ACROSS / 2), 1e-3)
+
+
+def level_size(size: float) -> Column:
+    """Cell size of the grid named in ``level``; each level doubles it."""
+    return F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+
+
+def with_level(boxes: DataFrame, size: float) -> DataFrame:
+    """The grid on which a box is at most ``CELLS_ACROSS`` cells wide, so that a large box among
+    small ones does not fall into a vast number of cells."""
+    wanted = F.ceil(F.log2(F.greatest(longest_side() / (size * CELLS_ACROSS), F.lit(1.0))))
+    return boxes.withColumn("level", wanted.cast("int"))
+
+
+def strip_width(low: str, high: str) -> Column:
+    """Width of strips that cut a polygon so that each holds some ``EDGES_PER_STRIP`` edges."""
+    strips = F.greatest(F.ceil(F.col("n_edges") / EDGES_PER_STRIP), F.lit(1))
+    return F.greatest((F.col(high) - F.col(low)) / strips, F.lit(1e-9))

@@ -33,56 +33,63 @@ def _touches(x: Column, y: Column) -> Column:
     return F.coalesce((side == 0) & within_x & within_y, F.lit(False))
 
 
-def _edge_rows(edges: DataFrame, size: float) -> DataFrame:
-    """Edges by polygon and the grid rows they pass."""
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = F.sequence(g.cell_of(low, size), g.cell_of(high, size))
-    return edges.select("poly_id", F.explode(rows).alias("row"), "x1", "y1", "x2", "y2")
+def _inside(candidates: DataFrame, strips: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of the candidates (``x, y, poly_id, strip``) that lie in their polygon.
 
-
-def _inside(candidates: DataFrame, edge_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of the candidates (``x, y, poly_id, row``) that lie in their polygon.
-
-    A NULL ``row`` marks a candidate already known to be inside. Only the edges in the candidate's
-    own grid row are looked at, and they are folded into one row per candidate before the shuffle.
+    A NULL ``strip`` marks a candidate already known to be inside. Only the edges of the
+    candidate's own strip are looked at; they are folded into one row per candidate before the
+    shuffle.
     """
-    tested = lookup_join(candidates, edge_rows, ["poly_id", "row"], "left")
+    tested = lookup_join(candidates, strips, ["poly_id", "strip"], "left")
     x, y = F.col("x"), F.col("y")
     verdict = tested.groupBy(*keys, "poly_id").agg(
-        F.bool_or(F.col("row").isNull()).alias("_known"),
+        F.bool_or(F.col("strip").isNull()).alias("_known"),
         (F.count_if(_crosses(x, y)) % 2 == 1).alias("_odd"),
         F.bool_or(_touches(x, y)).alias("_edge"),
     )
     return verdict.filter(F.col("_known") | F.col("_odd") | F.col("_edge")).select(*keys, "poly_id")
 
 
-def zone_index(edges: DataFrame, size: float) -> DataFrame:
-    """Grid cells of every polygon: ``whole`` cells lie inside, the others hold a piece of its border.
-
-    A cell no edge comes near is inside or outside as a whole, so its centre decides.
-    """
-    border = g.edge_cells(edges, size).select("poly_id", "cx", "cy").distinct()
-    free = g.box_cells(g.bounds(edges), size).select("poly_id", "cx", "cy").join(border, ["poly_id", "cx", "cy"], "left_anti")
-    centres = free.select(
-        "poly_id", "cx", "cy", F.col("cy").alias("row"),
-        ((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"),
-    )
-    whole = _inside(centres, _edge_rows(edges, size), ["cx", "cy"])
-    return border.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
-
-
 @dataclass(frozen=True)
 class PolygonLayer:
-    """Polygons prepared for repeated joins: edges, grid size and the stored grid index."""
+    """Polygons prepared for repeated joins.
+
+    ``index`` holds the grid cells of every polygon, on a grid that suits its size: ``whole`` cells
+    lie inside, the others hold a piece of its border. ``strips`` holds the edges by horizontal
+    strips, narrower for polygons with many edges. Both are stored tables.
+    """
 
     edges: DataFrame
     size: float
+    levels: tuple[int, ...]
     index: DataFrame
+    strips: DataFrame
 
 
 def polygon_layer(edges: DataFrame, size: float | None = None) -> PolygonLayer:
-    size = size or g.typical_cell(edges)
-    return PolygonLayer(edges, size, materialise(zone_index(edges, size), "zone-index"))
+    boxes = materialise(g.bounds(edges), "boxes")
+    size = size or g.typical_cell(boxes)
+    boxes = g.with_level(boxes, size).withColumns({"y0": F.col("ymin"), "h": g.strip_width("ymin", "ymax")})
+    # One number per grid in use.
+    levels = tuple(sorted(r[0] for r in boxes.select("level").distinct().collect()))
+
+    sided = lookup_join(edges, boxes.select("poly_id", "level", "y0", "h"), "poly_id", "inner")
+
+    def strip(y: Column) -> Column:
+        return F.floor((y - F.col("y0")) / F.col("h"))
+
+    passed = F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))
+    strips = materialise(sided.select("poly_id", F.explode(passed).alias("strip"), "x1", "y1", "x2", "y2"), "strips")
+
+    # A cell no edge comes near is inside or outside as a whole, so its centre decides.
+    cell = ["poly_id", "level", "cx", "cy"]
+    border = g.edge_cells(sided, g.level_size(size)).select(*cell, "y0", "h").distinct()
+    free = g.box_cells(boxes, g.level_size(size)).select(*cell, "y0", "h").join(border.select(*cell), cell, "left_anti")
+    centres = free.withColumns({"x": (F.col("cx") + 0.5) * g.level_size(size), "y": (F.col("cy") + 0.5) * g.level_size(size)})
+    centres = centres.select(*cell, "x", "y", strip(F.col("y")).alias("strip"))
+    whole = _inside(centres, strips, ["level", "cx", "cy"])
+    index = border.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)), allowMissingColumns=True)
+    return PolygonLayer(edges, size, levels, materialise(index, "index"), strips)
 
 
 def _layer(polygons: DataFrame | PolygonLayer) -> PolygonLayer:
@@ -92,9 +99,11 @@ def _layer(polygons: DataFrame | PolygonLayer) -> PolygonLayer:
 def points_in_polygons(points: DataFrame, polygons: DataFrame | PolygonLayer) -> DataFrame:
     """Pairs of a point and a polygon it intersects."""
     layer = _layer(polygons)
-    near = lookup_join(g.with_cell(points.select("id", "x", "y"), layer.size), layer.index, ["cx", "cy"], "inner")
-    candidates = near.select("id", "x", "y", "poly_id", F.when(~F.col("whole"), F.col("cy")).alias("row"))
-    return _inside(candidates, _edge_rows(layer.edges, layer.size), ["id"])
+    placed = points.select("id", "x", "y", F.explode(F.lit(list(layer.levels)).cast("array<int>")).alias("level"))
+    placed = g.with_cell(placed, g.level_size(layer.size))
+    near = lookup_join(placed, layer.index, ["level", "cx", "cy"], "inner")
+    strip = F.when(~F.col("whole"), F.floor((F.col("y") - F.col("y0")) / F.col("h")))
+    return _inside(near.select("id", "x", "y", "poly_id", strip.alias("strip")), layer.strips, ["id"])
 
 
 def join_zone(points: DataFrame, pairs: DataFrame, zone: str) -> DataFrame:
@@ -130,9 +139,9 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, size: float | None = No
     closer polygon can exceed. Every edge within that distance then lies in the nine cells around
     the point on the grid whose cells are at least that large. Nothing is searched in rounds.
     """
-    size = size or g.typical_cell(edges)
+    size = size or g.typical_cell(g.bounds(edges))
     top = max(1, math.ceil(math.log2(_WORLD / size)))
-    width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    width = g.level_size(size)
     nine = F.array(*[F.struct(F.lit(i).cast("bigint").alias("dx"), F.lit(j).cast("bigint").alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
     def around(df: DataFrame) -> DataFrame:
@@ -179,71 +188,96 @@ def zone_or_nearest(points: DataFrame, polygons: DataFrame | PolygonLayer, zone:
 
 
 def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of boxes that overlap: (``p, q``) with the corners of the overlap.
+    """Overlapping boxes: the columns of both sides (``p_...``, ``q_...``) and the overlap's corners.
 
-    A pair that shares several cells is kept in the one that holds the low corner of its overlap,
-    so no distinct is needed.
+    A box is listed on the grid that suits its size and on all coarser ones in use; two boxes meet on
+    the grid of the larger one. A pair that shares several cells there is kept in the one that holds
+    the low corner of its overlap, so no distinct is needed.
     """
-    a = g.box_cells(left, size).select(F.col("poly_id").alias("p"), "cx", "cy", *[F.col(c).alias(f"p_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
-    b = g.box_cells(right, size).select(F.col("poly_id").alias("q"), "cx", "cy", *[F.col(c).alias(f"q_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    left, right = g.with_level(left, size), g.with_level(right, size)
+    found = left.select("level").unionByName(right.select("level")).distinct().collect()
+    levels = F.lit(sorted(r[0] for r in found)).cast("array<int>")
+
+    def listed(boxes: DataFrame, tag: str) -> DataFrame:
+        own = boxes.withColumn("own", F.col("level")).withColumn("level", F.explode(levels)).filter(F.col("level") >= F.col("own"))
+        cells = g.box_cells(own, g.level_size(size))
+        return cells.select("level", "cx", "cy", *[F.col(c).alias(f"{tag}_{c}") for c in own.columns if c != "level"])
+
     x0, y0 = F.greatest("p_xmin", "q_xmin"), F.greatest("p_ymin", "q_ymin")
     x1, y1 = F.least("p_xmax", "q_xmax"), F.least("p_ymax", "q_ymax")
-    pairs = lookup_join(a, b, ["cx", "cy"], "inner").filter(
-        (x0 < x1) & (y0 < y1) & (g.cell_of(x0, size) == F.col("cx")) & (g.cell_of(y0, size) == F.col("cy"))
+    cell = g.level_size(size)
+    pairs = lookup_join(listed(left, "p"), listed(right, "q"), ["level", "cx", "cy"], "inner").filter(
+        (F.col("level") == F.greatest("p_own", "q_own"))
+        & (x0 < x1) & (y0 < y1)
+        & (g.cell_of(x0, cell) == F.col("cx")) & (g.cell_of(y0, cell) == F.col("cy"))
     )
-    return pairs.select("p", "q", x0.alias("ox0"), y0.alias("oy0"), x1.alias("ox1"), y1.alias("oy1"))
+    return pairs.withColumns({"ox0": x0, "oy0": y0, "ox1": x1, "oy1": y1})
 
 
-def _pieces(edges: DataFrame, width: float, tag: str) -> DataFrame:
-    """Non-vertical edges cut at the borders of vertical strips, as lines with a direction sign.
+def _pieces(edges: DataFrame, boxes: DataFrame, tag: str) -> DataFrame:
+    """Non-vertical edges cut at the borders of their polygon's vertical strips.
 
-    The upper side of a counter-clockwise ring runs to the left and counts +1, the lower one -1.
+    Each piece is a line with a sign: the upper side of a counter-clockwise ring runs to the left
+    and counts +1, the lower one -1.
     """
     left = F.col("x1") < F.col("x2")
-    cut = edges.filter(F.col("x1") != F.col("x2")).select(
-        F.col("poly_id").alias(tag),
+    sided = lookup_join(edges.filter(F.col("x1") != F.col("x2")), boxes.select("poly_id", "x0", "w"), "poly_id", "inner")
+    cut = sided.select(
+        "poly_id", "x0", "w",
         F.when(left, -1.0).otherwise(1.0).alias("s"),
         F.least("x1", "x2").alias("xa"),
         F.greatest("x1", "x2").alias("xb"),
         F.when(left, F.col("y1")).otherwise(F.col("y2")).alias("ya"),
         ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("m"),
-        F.least("y1", "y2").alias("lo"),
         F.greatest("y1", "y2").alias("hi"),
     )
-    strips = F.sequence(g.cell_of("xa", width), g.cell_of("xb", width))
-    cut = cut.withColumn("strip", F.explode(strips)).withColumns(
-        {"from_x": F.greatest("xa", F.col("strip") * width), "to_x": F.least("xb", (F.col("strip") + 1) * width)}
+    strips = F.sequence(F.floor((F.col("xa") - F.col("x0")) / F.col("w")), F.floor((F.col("xb") - F.col("x0")) / F.col("w")))
+    cut = cut.withColumn("strip", F.explode(strips))
+    start, end = F.col("x0") + F.col("strip") * F.col("w"), F.col("x0") + (F.col("strip") + 1) * F.col("w")
+    cut = cut.withColumns({"from_x": F.greatest(F.col("xa"), start), "to_x": F.least(F.col("xb"), end)})
+    kept = cut.filter(F.col("from_x") < F.col("to_x"))
+    return kept.select(
+        F.col("poly_id").alias(f"{tag}_poly_id"), F.col("strip").alias(f"{tag}_strip"),
+        *[F.col(c).alias(f"{tag}_{c}") for c in ("s", "xa", "ya", "m", "from_x", "to_x", "hi")],
     )
-    cut = cut.filter(F.col("from_x") < F.col("to_x"))
-    return cut.select(tag, "strip", *[F.col(c).alias(f"{tag}_{c}") for c in ("s", "xa", "ya", "m", "from_x", "to_x", "hi")])
 
 
-def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None, width: float | None = None) -> DataFrame:
+def _strips_between(low: Column, high: Column, tag: str) -> Column:
+    x0, w = F.col(f"{tag}_x0"), F.col(f"{tag}_w")
+    return F.explode(F.sequence(F.floor((low - x0) / w), F.floor((high - x0) / w)))
+
+
+def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
     """Area shared by each overlapping pair (``p`` of left, ``q`` of right).
 
     Over every x, the length two sets of intervals share is a signed sum of minima over pairs of
-    their ends. Summed over pairs of edges in the same vertical strip and integrated in closed
+    their ends. Summed over pairs of edge pieces above the same stretch of x and integrated in closed
     form, this gives the area without building the shape of the overlap. Heights are taken from
-    the bottom of the overlap; edges wholly below it cancel out and are left aside.
+    the bottom of the overlap; edges wholly below it cancel out and are left aside. Strips follow
+    the number of edges, so a polygon with very many edges meets others a few edges at a time.
     """
-    size = size or g.typical_cell(right, 1)
-    width = width or size
-    pairs = box_pairs(g.bounds(left), g.bounds(right), size)
-    p = lookup_join(pairs, _pieces(left, width, "p"), "p", "inner")
-    p = p.filter((F.col("p_hi") >= F.col("oy0")) & (F.col("p_to_x") > F.col("ox0")) & (F.col("p_from_x") < F.col("ox1")))
-    both = lookup_join(p, _pieces(right, width, "q"), ["q", "strip"], "inner")
-
-    lo = F.greatest("p_from_x", "q_from_x")
-    hi = F.least("p_to_x", "q_to_x")
-    both = both.withColumns({"lo": lo, "hi": hi}).filter((F.col("lo") < F.col("hi")) & (F.col("q_hi") >= F.col("oy0")))
+    strips = {"x0": F.col("xmin"), "w": g.strip_width("xmin", "xmax")}
+    p_boxes = materialise(g.bounds(left).withColumns(strips), "boxes")
+    q_boxes = materialise(g.bounds(right).withColumns(strips), "boxes")
+    pairs = box_pairs(p_boxes, q_boxes, size or g.typical_cell(q_boxes))
+    kept = ["p_poly_id", "q_poly_id", "ox0", "oy0", "ox1", "oy1"]
+
+    across = pairs.select(*kept, "q_x0", "q_w", _strips_between(F.col("ox0"), F.col("ox1"), "p").alias("p_strip"))
+    p = lookup_join(across, _pieces(left, p_boxes, "p"), ["p_poly_id", "p_strip"], "inner")
+    p = p.withColumns({"p_from_x": F.greatest("p_from_x", "ox0"), "p_to_x": F.least("p_to_x", "ox1")})
+    p = p.filter((F.col("p_hi") >= F.col("oy0")) & (F.col("p_from_x") < F.col("p_to_x"))).drop("p_strip")
+    p = p.select("*", _strips_between(F.col("p_from_x"), F.col("p_to_x"), "q").alias("q_strip"))
+    both = lookup_join(p, _pieces(right, q_boxes, "q"), ["q_poly_id", "q_strip"], "inner")
+    both = both.withColumns({"lo": F.greatest("p_from_x", "q_from_x"), "hi": F.least("p_to_x", "q_to_x")})
+    both = both.filter((F.col("lo") < F.col("hi")) & (F.col("q_hi") >= F.col("oy0")))
 
     def height(tag: str, x: str) -> Column:
         return F.col(f"{tag}_ya") + (F.col(x) - F.col(f"{tag}_xa")) * F.col(f"{tag}_m") - F.col("oy0")
 
     both = both.withColumns(
-        {"e0": height("p", "lo"), "e1": height("p", "hi"), "f0": height("q", "lo"), "f1": height("q", "hi"), "w": F.col("hi") - F.col("lo")}
+        {"e0": height("p", "lo"), "e1": height("p", "hi"), "f0": height("q", "lo"), "f1": height("q", "hi"), "width": F.col("hi") - F.col("lo")}
     )
-    e0, e1, f0, f1, w = (F.col(c) for c in ("e0", "e1", "f0", "f1", "w"))
+    e0, e1, f0, f1, w = (F.col(c) for c in ("e0", "e1", "f0", "f1", "width"))
     t = F.try_divide(f0 - e0, (f0 - e0) - (f1 - e1))
     meet = e0 + t * (e1 - e0)
     integral = (
@@ -253,5 +287,7 @@ def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None,
         .otherwise((f0 + meet) * w * t / 2 + (meet + e1) * w * (1 - t) / 2)
     )
     box = F.max((F.col("ox1") - F.col("ox0")) * (F.col("oy1") - F.col("oy0")))
-    summed = both.groupBy("p", "q").agg(F.sum(F.col("p_s") * F.col("q_s") * integral).alias("area"), box.alias("_box"))
+    summed = both.groupBy(F.col("p_poly_id").alias("p"), F.col("q_poly_id").alias("q")).agg(
+        F.sum(F.col("p_s") * F.col("q_s") * integral).alias("area"), box.alias("_box")
+    )
     return summed.filter(F.col("area") > F.col("_box") * 1e-9).select("p", "q", "area")
