@@ -11,15 +11,21 @@ from pyspark.sql import types as T
 _TEXT_RULES = {"nullValue": "NA", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
 
 
+def _empty_as_null(df: DataFrame) -> DataFrame:
+    """A quoted empty cell is missing too."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text})
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Delimited text with a header. Cells are trimmed; ``NA`` and empty cells are NULL."""
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **_TEXT_RULES)
+    return _empty_as_null(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **_TEXT_RULES))
 
 
 def read_headerless(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Delimited text without a header: text columns ``X1`` to ``Xn``."""
     schema = T.StructType([T.StructField(f"X{i}", T.StringType()) for i in range(1, width + 1)])
-    return spark.read.csv(path, schema=schema, header=False, **_TEXT_RULES)
+    return _empty_as_null(spark.read.csv(path, schema=schema, header=False, **_TEXT_RULES))
 
 
 def read_keeping_blanks(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
@@ -28,7 +34,7 @@ def read_keeping_blanks(spark: SparkSession, path: str | list[str], schema: T.St
     Written text loses the difference between nothing and an empty text, so every missing text
     cell reads as empty here, as the fast reader does.
     """
-    df = read_csv(spark, path, schema)
+    df = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **_TEXT_RULES)
     text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in text})
 
