@@ -15,22 +15,23 @@ def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str, value:
 
 
 def access_to_long(df: DataFrame, ids: list[str], value: str = "accessibility", pct: bool = False) -> DataFrame:
-    """One row per measure column, its name split into ``service`` and ``time_cut``."""
-    pattern = r"^access_.*_\d+_pct$" if pct else r"^access_.*_\d+$"
-    columns = naming.matching(df, pattern)
-    long = df.unpivot(ids, columns, "_measure", value)
-    parts = r"^access_(.*)_(\d+)(_pct)?$"
-    return long.select(
-        *ids,
-        F.regexp_extract("_measure", parts, 1).alias("service"),
-        F.regexp_extract("_measure", parts, 2).cast("int").alias("time_cut"),
-        value,
-    )
+    """One row per measure column, its name split into ``service`` and ``time_cut``.
+
+    Names are split once for the column, not for every row.
+    """
+    columns = naming.matching(df, r"^access_.*_\d+_pct$" if pct else r"^access_.*_\d+$")
+    parts = []
+    for column in columns:
+        service, cut = naming.split_access_name(column)
+        parts += [F.lit(service), F.lit(cut), F.col(column)]
+    return df.select(*ids, F.stack(F.lit(len(columns)), *parts).alias("service", "time_cut", value))
 
 
 def nearest_to_long(df: DataFrame, ids: list[str], value: str = "tt_minutes") -> DataFrame:
-    long = df.unpivot(ids, naming.starts_with(df, "nearest"), "service", value)
-    return long.withColumn("service", F.regexp_replace("service", "^nearest_", ""))
+    """One row per ``nearest_<service>`` column, the prefix left out."""
+    columns = naming.starts_with(df, "nearest_")
+    parts = [part for c in columns for part in (F.lit(c.removeprefix("nearest_")), F.col(c))]
+    return df.select(*ids, F.stack(F.lit(len(columns)), *parts).alias("service", value))
 
 
 def totals_to_long(totals: DataFrame, name: str, value: str) -> DataFrame:

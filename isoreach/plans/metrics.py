@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from isoreach.functions import naming
 from isoreach.operators.joins import BROADCAST_BYTES, lookup_join
-from isoreach.operators.reshape import access_to_long
+from isoreach.operators.reshape import access_to_long, totals_to_long
 
 CUTS = tuple(range(15, 121, 15))
 KEYS = ("mode", "time_of_day", "from_id")
@@ -68,10 +68,16 @@ def measures(
     nearest: Mapping[str, str] | None = None,
     cuts: Sequence[int] = CUTS,
     id_column: str = "id",
+    complete: bool = False,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``access_<service>_<cut>`` and ``nearest_<service>`` for every origin of every slice.
 
+    An origin appears when it has a pair, even if ``land_use`` knows none of its destinations. Say
+    ``complete`` when it knows all of them: the join then needs no missing weights, which is faster.
+    Weights are added up as floating numbers (exact for whole numbers up to 2^53) and returned in
+    their own type.
+
     The first aggregate keeps at most one row per origin and cut, so partial aggregation removes
     nearly all of the matrix before the shuffle, however many rows one origin has. The second
     one spreads these few rows over the cuts.
@@ -79,10 +85,12 @@ def measures(
     cumulative = cumulative_services(land_use, id_column) if cumulative is None else cumulative
     nearest = nearest_services(land_use, id_column) if nearest is None else nearest
     columns = list(dict.fromkeys([*cumulative.values(), *nearest.values()]))
-    weights = land_use.select(F.col(id_column).alias("to_id"), *columns)
+    weights = land_use.select(
+        F.col(id_column).alias("to_id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    )
 
     pairs = matrix.filter(F.col("travel_time").isNotNull()).select(*KEYS, "to_id", "travel_time")
-    joined = lookup_join(pairs, weights, "to_id", "left", limit)
+    joined = lookup_join(pairs, weights, "to_id", "inner" if complete else "left", limit)
 
     per_cut = joined.groupBy(*KEYS, _first_cut(F.col("travel_time"), cuts).alias("_cut")).agg(
         *[F.sum(column).alias(f"_s_{service}") for service, column in cumulative.items()],
@@ -91,12 +99,12 @@ def measures(
             for service, column in nearest.items()
         ],
     )
-    zero = {service: F.lit(0).cast(land_use.schema[column].dataType) for service, column in cumulative.items()}
+    own_type = {service: land_use.schema[column].dataType for service, column in cumulative.items()}
     return per_cut.groupBy(*KEYS).agg(
         *[
-            F.coalesce(F.sum(F.when(F.col("_cut") <= cut, F.col(f"_s_{service}"))), zero[service]).alias(
-                naming.access_name(service, cut)
-            )
+            F.coalesce(F.sum(F.when(F.col("_cut") <= cut, F.col(f"_s_{service}"))), F.lit(0.0))
+            .cast(own_type[service])
+            .alias(naming.access_name(service, cut))
             for service in cumulative
             for cut in cuts
         ],
@@ -129,10 +137,18 @@ def with_relative(
 
 
 def relative_long(access: DataFrame, land_use: DataFrame, services: Mapping[str, str]) -> DataFrame:
-    """(keys, service, time_cut, accessibility) with the relative measure."""
-    wide = with_relative(access, land_use, services)
-    ids = [k for k in ("geo_code", *KEYS) if k in wide.columns]
-    return access_to_long(wide, ids, pct=True)
+    """(keys, service, time_cut, accessibility) with the relative measure.
+
+    The wide measures become rows first and find their total by service name: one row per service,
+    so few that they are broadcast.
+    """
+    ids = [k for k in ("geo_code", *KEYS) if k in access.columns]
+    absolute = [naming.access_name(s, c) for s in services for c in CUTS if naming.access_name(s, c) in access.columns]
+    doubles = access.select(*ids, *[F.col(c).cast("double").alias(c) for c in absolute])
+    totals = totals_to_long(service_totals(land_use, services), "service", "_total")
+    long = access_to_long(doubles, ids).join(F.broadcast(totals), "service")
+    share = F.bround(F.try_divide("accessibility", F.col("_total")) * 100, 4)
+    return long.select(*ids, "service", "time_cut", share.alias("accessibility"))
 
 
 def access_table(

@@ -10,19 +10,21 @@ from isoreach.operators import geometry as g
 from isoreach.operators import ordering, reshape, stats
 from isoreach.plans import analysis, metrics
 from isoreach.registry import REGISTRY
-from isoreach.registry.core import CUMULATIVE, CUTS, EXTRA, NEAREST, duck, inputs, wide_access
+from isoreach.registry.core import CUMULATIVE, CUTS, EXTRA, NEAREST, duck, wide_access
+from isoreach.session import materialise
 
 IDS = ["mode", "time_of_day", "from_id"]
 MORNING = "(time_of_day IS NULL OR time_of_day = 'am')"
 
 
 def relative(spark, sf_dir):
+    """The reports start from stored measures, as they are read more than once."""
     access, land_use = wide_access(spark, sf_dir, nearest={})
-    return metrics.relative_long(access, land_use, CUMULATIVE)
+    return metrics.relative_long(materialise(access, "access"), land_use, CUMULATIVE)
 
 
 def nearest_long(spark, sf_dir):
-    return reshape.nearest_to_long(wide_access(spark, sf_dir, cumulative={})[0], IDS)
+    return reshape.nearest_to_long(materialise(wide_access(spark, sf_dir, cumulative={})[0], "nearest"), IDS)
 
 
 def rounded(df, columns, digits=6):

@@ -10,7 +10,7 @@ from isoreach.plans import metrics
 from isoreach.registry import REGISTRY
 from isoreach.registry.core import CUMULATIVE, duck, wide_access
 from isoreach.schemas import schema
-from isoreach.session import scratch_path
+from isoreach.session import materialise, scratch_path
 from isoreach.sources import readers, sinks
 
 sql = fx.duck_sql
@@ -111,7 +111,7 @@ def s08(spark, sf_dir):
 def s09(spark, sf_dir):
     """Long measures in one folder per service and mode."""
     access, land_use = wide_access(spark, sf_dir, nearest={})
-    long = metrics.relative_long(access, land_use, CUMULATIVE).withColumnRenamed("from_id", "geo_code")
+    long = metrics.relative_long(materialise(access, "access"), land_use, CUMULATIVE).withColumnRenamed("from_id", "geo_code")
     path = scratch_path(spark, "s09")
     sinks.write_long_measures(long, path)
     return spark.read.schema(schema("geo_code long, time_of_day string, time_cut int, accessibility double, service string, mode string")).parquet(path)

@@ -45,18 +45,15 @@ def write_matrix(df: DataFrame, path: str, files: int) -> None:
     )
 
 
-def write_long_measures(long: DataFrame, path: str, files_per_slice: int = 1) -> None:
+def write_long_measures(long: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Long measures in one folder per service and mode.
 
-    Rows are first gathered by folder and a part number taken from the zone, so that each folder
-    gets ``files_per_slice`` files instead of one from every task, and no folder is one task's work.
+    Rows are first cut into ranges of equal size by service, mode and zone. A folder then gets as
+    many files as it has ranges, instead of one from every task, and a folder that holds most of the
+    rows is written by many tasks. ``long`` should be a stored table, since it is also counted.
     """
-    part = F.pmod(F.xxhash64("geo_code"), F.lit(files_per_slice))
-    (
-        long.repartition("service", "mode", part)
-        .write.partitionBy("service", "mode")
-        .parquet(path)
-    )
+    files = max(1, -(-long.count() // rows_per_file))
+    long.repartitionByRange(files, "service", "mode", "geo_code").write.partitionBy("service", "mode").parquet(path)
 
 
 def write_service_tables(access: DataFrame, services: Sequence[str], cuts: Sequence[int], path: str) -> None:
