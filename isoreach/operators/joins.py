@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +35,6 @@ def measured_bytes(df: DataFrame) -> int:
     return row["n"] * fixed + (row["v"] or 0)
 
 
-def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint, only where the measured size allows it."""
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
-
-
 def hot_keys(df: DataFrame, on: list[str], sample: float = SAMPLE_SHARE) -> DataFrame | None:
     """Keys holding at least ``HOT_SHARE`` of the sampled rows: at most ``1 / HOT_SHARE`` of them."""
     counts = df.select(*on).dropna().sample(sample, seed=7).groupBy(*on).count()
@@ -64,32 +59,34 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     sample: float = SAMPLE_SHARE,
 ) -> DataFrame:
-    """Equi-join of ``big`` with ``lookup``; ``how`` is left, inner, left_semi or left_anti."""
+    """Equi-join of ``big`` with ``lookup``; ``how`` is left, inner, left_semi or left_anti.
+
+    Beyond the limit ``big`` is read twice, for its hot and its other rows, so it should be cheap to
+    read there. A hot key whose own lookup rows exceed the limit is left to the skew handling of
+    adaptive execution.
+    """
     keys = [on] if isinstance(on, str) else list(on)
     if measured_bytes(lookup) <= limit:
         return big.join(F.broadcast(lookup), keys, how)
 
-    has_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    keyed = big.filter(~has_null)
-    hot = hot_keys(keyed, keys, sample)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    hot = hot_keys(big, keys, sample)
     hot_rows = None if hot is None else lookup.join(F.broadcast(hot), keys, "left_semi")
     if hot_rows is not None and measured_bytes(hot_rows) <= limit:
+        # Rows without a key match nothing, so they stay with the rows that are not shuffled.
+        marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+        stays = F.coalesce("_hot", no_key)
         parts = [
-            keyed.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, how),
-            keyed.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_rows), keys, how),
+            marked.filter(~stays).drop("_hot").join(lookup, keys, how),
+            marked.filter(stays).drop("_hot").join(F.broadcast(hot_rows), keys, how),
         ]
     else:
-        parts = [keyed.join(lookup, keys, how)]
-    if how in ("left", "left_anti"):
-        # Rows without a key match nothing, so they need no shuffle either.
-        parts.append(big.filter(has_null))
+        parts = [big.filter(~no_key).join(lookup, keys, how)]
+        if how in ("left", "left_anti"):
+            parts.append(big.filter(no_key))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*parts[0].columns)
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join where NULL keys match each other; keeps one copy of every key."""
     tagged = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])

@@ -15,10 +15,12 @@ from isoreach.session import materialise
 
 
 def sorted_slices(df: DataFrame, order: Sequence[Column | str], slices: int | None = None) -> DataFrame:
-    """``df`` plus ``_slice``: every row of a slice sorts before every row of the next one."""
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *order).withColumn("_slice", F.spark_partition_id())
-    return materialise(ranged, "slices")
+    """``df`` plus ``_slice``: every row of a slice sorts before every row of the next one.
+
+    Without a number of slices, adaptive execution joins neighbouring small ones.
+    """
+    ranged = df.repartitionByRange(slices, *order) if slices else df.repartitionByRange(*order)
+    return materialise(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def global_row_number(

@@ -119,7 +119,8 @@ def keep_inside(points: DataFrame, mask: DataFrame | PolygonLayer) -> DataFrame:
 def points_within(points: DataFrame, polygons: DataFrame | PolygonLayer, radius: float) -> DataFrame:
     """Pairs of a point and a polygon at most ``radius`` away from it, inside included."""
     layer = _layer(polygons)
-    size = max(layer.size, radius)
+    # Cells not much wider than the radius keep a dense place from pairing points with far edges.
+    size = max(2 * radius, layer.size / 16)
     inside = points_in_polygons(points, layer)
     reach = g.edge_cells(layer.edges, size, radius).select("poly_id", "x1", "y1", "x2", "y2", "cx", "cy")
     near = lookup_join(g.with_cell(points.select("id", "x", "y"), size), reach, ["cx", "cy"], "inner")

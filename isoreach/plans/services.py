@@ -15,6 +15,7 @@ from isoreach.operators import spatial as sp
 from isoreach.operators.joins import lookup_join
 from isoreach.operators.lookup import fill_from_lookup, override_missing
 from isoreach.operators.reshape import stack
+from isoreach.session import materialise
 
 # Name patterns and type lists the selections are defined by.
 BRANDS = ("Lidl", "ALDI", "Co-op", "Sainsbury", "Tesco", "Asda", "Morrisons")
@@ -96,13 +97,18 @@ def is_general_hospital(name: str) -> Column:
 
 
 def zone_by_point(df: DataFrame, zones: DataFrame | sp.PolygonLayer, zone: str, x: str, y: str, key: str) -> DataFrame:
-    """Fills a blank or missing ``zone`` from the polygon the point lies in; other rows stay as they are."""
-    lost = df.filter(nulls.is_blank(zone)).select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
-    pairs = sp.points_in_polygons(lost, zones).select(F.col("id").alias(key), F.col("poly_id").cast("string").alias("_found"))
-    # Only rows without a zone have pairs, so the others cannot be multiplied.
-    joined = lookup_join(df, pairs, key, "left")
+    """Fills a blank or missing ``zone`` from the polygon the point lies in; other rows stay as they are.
+
+    ``key`` tells the points apart: rows with the same key lie in the same place.
+    """
+    lost = df.filter(nulls.is_blank(zone)).select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).dropDuplicates(["id"])
+    pairs = materialise(sp.points_in_polygons(lost, zones), "zone-pairs")
+    pairs = pairs.select(F.col("id").alias(key), F.col("poly_id").cast("string").alias("_found"))
+    # Rows that have a zone are not joined: a point on a border must not multiply them.
+    asked = F.when(nulls.is_blank(zone), F.col(key))
+    joined = lookup_join(df.withColumn("_key", asked), pairs.withColumnRenamed(key, "_key"), "_key", "left")
     filled = F.when(nulls.is_blank(zone), F.col("_found")).otherwise(F.col(zone))
-    return joined.withColumn(zone, filled).drop("_found")
+    return joined.withColumn(zone, filled).select(*df.columns)
 
 
 def hospitals(
@@ -121,14 +127,11 @@ def hospitals(
     e = e.select(F.col("organisation_id").cast("string").alias("source_id"), F.col("organisation_name").alias("name"), F.col("lsoa11").alias("lsoa"))
 
     s = naming.clean_names(scotland).filter(is_general_hospital("location_name"))
-    s = s.withColumn("_id", F.xxhash64("location_name", "x_coordinate", "y_coordinate"))
-    blank = s.filter(nulls.is_blank("data_zone")).select(
-        F.col("_id").alias("id"), F.col("x_coordinate").alias("x"), F.col("y_coordinate").alias("y")
-    ).dropDuplicates(["id"])
-    pairs = sp.points_in_polygons(blank, zones).select(F.col("id").alias("_id"), F.col("poly_id").cast("string").alias("_found"))
-    s = lookup_join(s, pairs, "_id", "left").select(
-        F.col("location_name").alias("name"), F.when(nulls.is_blank("data_zone"), F.col("_found")).otherwise(F.col("data_zone")).alias("lsoa")
+    s = s.select(
+        F.col("location_name").alias("name"), F.col("data_zone").alias("lsoa"), "x_coordinate", "y_coordinate",
+        F.concat_ws("|", "x_coordinate", "y_coordinate").alias("_place"),
     )
+    s = zone_by_point(s, zones, "lsoa", "x_coordinate", "y_coordinate", "_place").select("name", "lsoa")
     w = wales.filter(F.col("type") != "CHC Local Committee").select("name", F.col("lsoa11").alias("lsoa"))
     return stack(e, s, w)
 
@@ -159,7 +162,8 @@ def is_large_brand() -> Column:
 
 def supermarkets(points: DataFrame, mask: DataFrame, areas: DataFrame | sp.PolygonLayer, area_lookup: DataFrame) -> DataFrame:
     """Shops of the large brands within the mask, with output area and zone in Great Britain."""
-    inside = sp.keep_inside(points.filter(is_large_brand()), mask)
+    branded = materialise(points.filter(is_large_brand()), "shops")
+    inside = materialise(sp.keep_inside(branded, mask), "shops")
     placed = sp.join_zone(inside, sp.points_in_polygons(inside, areas), "oa11cd")
     zones = naming.clean_names(area_lookup).select("oa11cd", "lsoa11cd")
     return lookup_join(placed, zones, "oa11cd", "left").filter(F.col("lsoa11cd").rlike(BRITAIN))
@@ -237,7 +241,7 @@ def schools(england: DataFrame, wales: DataFrame, scotland: DataFrame) -> DataFr
 
 def urban_centres(centres: DataFrame, zone_centres: DataFrame, zones: DataFrame | sp.PolygonLayer) -> tuple[DataFrame, DataFrame]:
     """(main, secondary) centres with their zone. They are recognised by name, so one name may be both."""
-    placed = sp.zone_or_nearest(centres, zones, "geo_code")
+    placed = materialise(sp.zone_or_nearest(centres, zones, "geo_code"), "centres")
     current = zone_centres.filter(F.col("zone_type").isin("lsoa11", "dz11"))
 
     def named(column: str) -> DataFrame:
