@@ -35,8 +35,9 @@ def measured_bytes(df: DataFrame) -> int:
     return row["n"] * fixed + (row["v"] or 0)
 
 
-def hot_keys(df: DataFrame, on: list[str], sample: float = SAMPLE_SHARE) -> DataFrame | None:
+def hot_keys(df: DataFrame, on: list[str], sample: float | None = None) -> DataFrame | None:
     """Keys holding at least ``HOT_SHARE`` of the sampled rows: at most ``1 / HOT_SHARE`` of them."""
+    sample = SAMPLE_SHARE if sample is None else sample
     counts = df.select(*on).dropna().sample(sample, seed=7).groupBy(*on).count()
     total = counts.agg(F.sum("count")).first()[0]
     if not total:
@@ -56,8 +57,8 @@ def lookup_join(
     lookup: DataFrame,
     on: str | list[str],
     how: str = "left",
-    limit: int = BROADCAST_BYTES,
-    sample: float = SAMPLE_SHARE,
+    limit: int | None = None,
+    sample: float | None = None,
 ) -> DataFrame:
     """Equi-join of ``big`` with ``lookup``; ``how`` is left, inner, left_semi or left_anti.
 
@@ -66,6 +67,7 @@ def lookup_join(
     adaptive execution.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    limit = BROADCAST_BYTES if limit is None else limit
     if measured_bytes(lookup) <= limit:
         return big.join(F.broadcast(lookup), keys, how)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.functions import naming
-from isoreach.operators.joins import BROADCAST_BYTES, lookup_join
+from isoreach.operators.joins import lookup_join
 from isoreach.operators.reshape import access_to_long, totals_to_long
 
 CUTS = tuple(range(15, 121, 15))
@@ -69,7 +69,7 @@ def measures(
     cuts: Sequence[int] = CUTS,
     id_column: str = "id",
     complete: bool = False,
-    limit: int = BROADCAST_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """``access_<service>_<cut>`` and ``nearest_<service>`` for every origin of every slice.
 
