@@ -350,6 +350,51 @@ def l13(spark, sf_dir):
     return weights.zone_weights(spine, counts, "zone_id")
 
 
+_LISTS = {
+    "gp_practices": "service = 'gp_practices'",
+    "supermarkets": "service = 'supermarkets'",
+    "primary_schools": "service = 'primary_schools' AND source_id % 3 <> 0",
+    "secondary_schools": "service = 'primary_schools' AND source_id % 2 = 0",
+    "hospitals": "service = 'hospitals'",
+    "pharmacies": "service = 'pharmacies'",
+    "main_bua": "source_id % 50 = 0",
+    "sub_bua": "source_id % 20 = 0",
+}
+
+
+@REGISTRY.add(
+    "J04_star_land_use",
+    sql(
+        "SELECT CAST(z.id AS VARCHAR) AS id, z.employment_all, z.employment_promo_1, "
+        + ", ".join(f"COALESCE({s}.n, 0) AS {s}" for s in _LISTS)
+        + ", COALESCE(z.park_ha, 0) AS park_ha, COALESCE(z.park_accesspoints, 0) AS park_accesspoints FROM f_zone z "
+        + " ".join(f"LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM f_poi WHERE {where} GROUP BY 1) {s} ON {s}.zone_id = z.id" for s, where in _LISTS.items())
+    ),
+)
+def j04(spark, sf_dir):
+    """All zone weights from the prepared lists: one aggregate over their points, one join to the zones."""
+    poi, zone = fx.view(spark, sf_dir, "f_poi"), fx.view(spark, sf_dir, "f_zone")
+
+    def listed(service, zone_name):
+        return poi.filter(_LISTS[service]).select("source_id", F.col("zone_id").alias(zone_name))
+
+    code = F.col("id").cast("string")
+    schools = poi.filter("service = 'primary_schools'").select(
+        F.col("zone_id").alias("lsoa11"), (F.col("source_id") % 3 != 0).alias("type_primary"), (F.col("source_id") % 2 == 0).alias("type_secondary")
+    )
+    return weights.land_use(
+        employment=zone.select(code.alias("lsoa11cd"), "employment_all", "employment_promo_1"),
+        practices=listed("gp_practices", "lsoa11"),
+        supermarkets=listed("supermarkets", "lsoa11cd"),
+        schools=schools,
+        hospitals=listed("hospitals", "lsoa"),
+        pharmacies=listed("pharmacies", "lsoa11"),
+        main_centres=listed("main_bua", "geo_code"),
+        sub_centres=listed("sub_bua", "geo_code"),
+        green=zone.filter("park_ha IS NOT NULL").select(code.alias("geo_code"), "park_ha", "park_accesspoints"),
+    )
+
+
 @REGISTRY.add(
     "L14_points_lookup",
     sql(
