@@ -89,8 +89,16 @@ def lookup_join(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*parts[0].columns)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join where NULL keys match each other; keeps one copy of every key."""
+def null_safe_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", lookup: bool = False
+) -> DataFrame:
+    """Join where NULL keys match each other; keeps one copy of every key.
+
+    ``lookup`` says that many rows of ``left`` share a key: ``right`` is then measured and broadcast
+    where its size allows, so that no task receives all rows of a key.
+    """
+    if lookup and measured_bytes(right) <= BROADCAST_BYTES:
+        right = F.broadcast(right)
     tagged = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     joined = left.join(tagged, match, how)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from isoreach.operators.joins import null_safe_join
 from isoreach.operators.ordering import exact_quantiles
 from isoreach.operators.reshape import totals_to_long
+from isoreach.session import materialise
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -78,10 +79,10 @@ def box_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     present = df.filter(F.col(value).isNotNull())
     quartiles = exact_quantiles(present, keys, value, QUARTILES)
     spread = F.col("q3") - F.col("q1")
-    fenced = quartiles.withColumns({"_low": F.col("q1") - 1.5 * spread, "_high": F.col("q3") + 1.5 * spread})
+    fenced = materialise(quartiles.withColumns({"_low": F.col("q1") - 1.5 * spread, "_high": F.col("q3") + 1.5 * spread}), "fences")
     # One row per (value, key) with its count is all the whiskers need.
     counted = present.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = null_safe_join(counted, fenced, list(keys), "inner")
+    joined = null_safe_join(counted, fenced, list(keys), "inner", lookup=True)
     inside = F.col("_v").between(F.col("_low"), F.col("_high"))
     return joined.groupBy(*keys).agg(
         F.first("q1").alias("q1"),

@@ -14,6 +14,7 @@ from isoreach.operators.joins import lookup_join
 from isoreach.operators.ordering import exact_quantiles, global_row_number
 from isoreach.operators.reshape import to_wide
 
+# Modes with their labels, and the rank that ends the large cities.
 MODES = ("bicycle", "pt", "walk")
 MODE_LABELS = {"bicycle": "Bicycle", "pt": "Public transport", "walk": "Walk"}
 LARGE_CITIES = 25
@@ -121,5 +122,5 @@ def destination_totals(current: DataFrame, previous: DataFrame, services: Sequen
 def sector_totals(current: DataFrame, groups: DataFrame, services: Sequence[str]) -> DataFrame:
     """Jobs by industrial group; ``groups`` has ``abbreviation, broad_group``."""
     totals = stats.totals_long(current, list(services), "destination", "total_23").filter(F.col("destination").rlike("[0-9]$"))
-    clean = groups.select(F.regexp_replace("abbreviation", "^﻿", "").alias("destination"), "broad_group")
+    clean = groups.select(F.regexp_replace("abbreviation", "^\ufeff", "").alias("destination"), "broad_group")
     return totals.join(clean, "destination", "left").select("destination", "broad_group", "total_23")

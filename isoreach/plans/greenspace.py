@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial as sp
-from isoreach.operators.joins import null_safe_join
+from isoreach.operators.joins import lookup_join, null_safe_join
 from isoreach.operators.stats import count_by
 from isoreach.session import materialise
 
+# Kind of site, metres between outline points, metres of tolerance at borders.
 PARK = "Public Park Or Garden"
 MAX_GAP = 50.0
 TOLERANCE = 10.0
@@ -22,12 +23,12 @@ def park_entrances(site_edges: DataFrame, access: DataFrame) -> tuple[DataFrame,
     A site that no access point touches is taken to be open along its whole outline.
     """
     park_ids = site_edges.select(F.col("poly_id").alias("ref_to_greenspace_site")).distinct()
-    listed = access.join(park_ids, "ref_to_greenspace_site", "left_semi").select(
+    listed = lookup_join(access, park_ids, "ref_to_greenspace_site", "left_semi").select(
         F.concat(F.lit("a"), F.col("access_id")).alias("id"), "x", "y"
     )
     everywhere = access.select(F.col("access_id").alias("id"), "x", "y")
-    entered = sp.points_in_polygons(everywhere, site_edges).select("poly_id").distinct()
-    closed = site_edges.join(entered, "poly_id", "left_anti")
+    entered = materialise(sp.points_in_polygons(everywhere, site_edges).select("poly_id").distinct(), "entered")
+    closed = lookup_join(site_edges, entered, "poly_id", "left_anti")
     outline = g.boundary_points(closed, MAX_GAP).select(
         F.concat_ws("-", F.lit("b"), "poly_id", "ring_id", "seq", "step").alias("id"), "x", "y"
     )
@@ -41,7 +42,7 @@ def summary(sites: DataFrame, site_edges: DataFrame, access: DataFrame, zone_edg
     counted under a NULL code.
     """
     parks = sites.filter(F.col("function_") == PARK).select(F.col("id").alias("poly_id"))
-    park_edges = site_edges.join(parks, "poly_id", "left_semi")
+    park_edges = lookup_join(site_edges, parks, "poly_id", "left_semi")
 
     shared = sp.overlay_areas(park_edges, zone_edges)
     hectares = shared.groupBy(F.col("q").alias("geo_code")).agg((F.sum("area") / 10_000).alias("park_ha"))

@@ -16,6 +16,7 @@ from isoreach.functions import naming
 from isoreach.operators.joins import lookup_join
 from isoreach.operators.reshape import access_to_long, totals_to_long
 
+# Time limits in minutes.
 CUTS = tuple(range(15, 121, 15))
 KEYS = ("mode", "time_of_day", "from_id")
 

@@ -33,6 +33,10 @@ PRIMARY_PHASES = ("Primary", "Middle deemed primary", "All-through")
 SECONDARY_PHASES = ("Secondary", "Middle deemed secondary", "All-through")
 LARGE_SHOP_SQM = 280
 BRITAIN = "^(E|S|W)"
+MENTAL_HEALTH = "Mental Health Hospital"
+OVERSEAS = "Jersey General Hospital"
+COMMITTEE = "CHC Local Committee"
+CURRENT_ZONES = ("lsoa11", "dz11")
 
 
 # --- codes ---
@@ -117,9 +121,9 @@ def hospitals(
     """``source_id, name, lsoa`` of general hospitals."""
     e = naming.clean_names(england)
     e = e.filter(
-        (F.col("sub_type") != "Mental Health Hospital")
+        (F.col("sub_type") != MENTAL_HEALTH)
         & is_general_hospital("organisation_name")
-        & (F.col("organisation_name") != "Jersey General Hospital")
+        & (F.col("organisation_name") != OVERSEAS)
     )
     e = fill_from_lookup(e, live, "postcode", "pcds", ["lsoa11"])
     e = geodesy.wgs84_to_grid(e, "latitude", "longitude", "x", "y")
@@ -132,7 +136,7 @@ def hospitals(
         F.concat_ws("|", "x_coordinate", "y_coordinate").alias("_place"),
     )
     s = zone_by_point(s, zones, "lsoa", "x_coordinate", "y_coordinate", "_place").select("name", "lsoa")
-    w = wales.filter(F.col("type") != "CHC Local Committee").select("name", F.col("lsoa11").alias("lsoa"))
+    w = wales.filter(F.col("type") != COMMITTEE).select("name", F.col("lsoa11").alias("lsoa"))
     return stack(e, s, w)
 
 
@@ -242,7 +246,7 @@ def schools(england: DataFrame, wales: DataFrame, scotland: DataFrame) -> DataFr
 def urban_centres(centres: DataFrame, zone_centres: DataFrame, zones: DataFrame | sp.PolygonLayer) -> tuple[DataFrame, DataFrame]:
     """(main, secondary) centres with their zone. They are recognised by name, so one name may be both."""
     placed = materialise(sp.zone_or_nearest(centres, zones, "geo_code"), "centres")
-    current = zone_centres.filter(F.col("zone_type").isin("lsoa11", "dz11"))
+    current = zone_centres.filter(F.col("zone_type").isin(*CURRENT_ZONES))
 
     def named(column: str) -> DataFrame:
         names = current.select(F.col(column).alias("name")).distinct()

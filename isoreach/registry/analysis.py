@@ -431,7 +431,7 @@ def l11(spark, sf_dir):
 def l12(spark, sf_dir):
     kinds = fx.table(spark, sf_dir, "part").select("p_type").distinct()
     suffix = F.when(F.col("p_type") == "PROMO", "_1").when(F.col("p_type") == "STANDARD", "_2").otherwise("_9")
-    groups = kinds.select(F.concat(F.lit("﻿employment_"), F.lower("p_type"), suffix).alias("abbreviation"), F.col("p_type").alias("broad_group"))
+    groups = kinds.select(F.concat(F.lit("\ufeffemployment_"), F.lower("p_type"), suffix).alias("abbreviation"), F.col("p_type").alias("broad_group"))
     return analysis.sector_totals(fx.view(spark, sf_dir, "f_landuse"), groups, _SERVICES)
 
 
