@@ -127,3 +127,22 @@ def test_matrix_layout_splits_one_hot_origin(spark, tmp_path):
     sinks.write_matrix(hot, path, 5)
     per_file = spark.read.parquet(path).groupBy(F.col("_metadata.file_name")).count().collect()
     assert len(per_file) == 5 and max(r["count"] for r in per_file) < 10_000
+
+
+def test_fanout_splits_one_hot_folder(spark, tmp_path):
+    zone = F.col("id").cast("string").alias("geo_code")
+    service = F.when(F.col("id") % 3 == 0, "parks").otherwise("hospitals").alias("service")
+    long = spark.range(9000).select(zone, service, F.lit("walk").alias("mode"), F.lit(1.5).alias("accessibility"))
+    path = str(tmp_path / "fan")
+    sinks.write_long_measures(long, path, rows_per_file=1000)
+    back = spark.read.parquet(path)
+    files = back.groupBy("service", F.col("_metadata.file_name")).count().collect()
+    assert back.count() == 9000 and max(r["count"] for r in files) < 2500
+    assert sum(r["service"] == "hospitals" for r in files) >= 5 and len(files) <= 11
+
+
+def test_complete_weights_give_the_same_measures(small):
+    matrix, land = small
+    known = matrix.filter("to_id != 'x'")
+    a, b = metrics.measures(known, land), metrics.measures(known, land, complete=True)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
