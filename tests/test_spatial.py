@@ -166,11 +166,13 @@ def test_boundary_gaps(spark, star_edges, stars):
     assert set((pytest.approx(x), pytest.approx(y)) == (x, y) for x, y in stars[3]) == {True}
 
 
-def test_published_grid_position(spark):
-    """The tower at Greenwich's grid square, from the public converter, within the datum shift's accuracy."""
-    df = spark.createDataFrame([(530000.0, 180000.0)], "x double, y double")
-    row = geodesy.grid_to_wgs84(df).first()
-    assert row["lat"] == pytest.approx(51.5040, abs=1e-4) and row["long"] == pytest.approx(-0.1284, abs=1e-4)
+def test_projection_of_the_published_worked_example(spark):
+    """Ordnance Survey's example on the grid's own datum: 52 39 27.2531 N, 1 43 4.5177 E."""
+    lat, lon = math.radians(52 + 39 / 60 + 27.2531 / 3600), math.radians(1 + 43 / 60 + 4.5177 / 3600)
+    start = F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    there = geodesy._chain(start, geodesy._radii("lat lon"), geodesy._project)
+    row = spark.range(1).select(there.alias("g")).select("g.*").first()
+    assert (row["e"], row["n"]) == (pytest.approx(651409.903, abs=2e-3), pytest.approx(313177.270, abs=2e-3))
 
 
 def test_no_nested_loops(spark, star_edges):
