@@ -75,7 +75,7 @@ def measures(
     """``access_<service>_<cut>`` and ``nearest_<service>`` for every origin of every slice.
 
     An origin appears when it has a pair, even if ``land_use`` knows none of its destinations. Say
-    ``complete`` when it knows all of them: the join then needs no missing weights, which is faster.
+    ``complete`` when it knows all of them: the join then produces no missing weights.
     Weights are added up as floating numbers (exact for whole numbers up to 2^53) and returned in
     their own type.
 
