@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: str | None = None
-
 
 def local_session(cores: str = "8", app: str = "isoreach", **conf: str) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
@@ -30,19 +27,11 @@ def local_session(cores: str = "8", app: str = "isoreach", **conf: str) -> Spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of this machine.
-    """
-    global _local_scratch
+    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder of the session's warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="isoreach-")
-    return _local_scratch
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
