@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoreach.llm import decontamination, reputation
+from isoreach.llm import counting, decontamination, packing, reputation, tokenfile
+from isoreach.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +16,36 @@ def op2_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def vocabulary(name: str) -> str:
+    """Where an installed public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-file")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
+    return tokenfile.documents(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ENTRIES = {
     "op2_reputation": (op2_reputation, reputation.judge_sql()),
+    "op5_tokenfile": (op5_tokenfile, None),
+    "op8_packing": (op8_packing, None),
+    "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, None),
 }
