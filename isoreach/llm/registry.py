@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isoreach.llm import counting, decontamination, packing, reputation, tokenfile
+from isoreach.llm import counting, decontamination, packing, reputation, tokenfile, toxicity
 from isoreach.session import scratch_path
 
 
@@ -29,6 +29,10 @@ def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.documents(spark, path)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
@@ -45,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = {
     "op2_reputation": (op2_reputation, reputation.judge_sql()),
     "op5_tokenfile": (op5_tokenfile, None),
+    "op6_toxicity": (op6_toxicity, None),
     "op8_packing": (op8_packing, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, None),
