@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isoreach.llm import counting, decontamination, packing, reputation, tokenfile, toxicity
+from isoreach.llm import counting, decontamination, packing, reputation, suffixes, tokenfile, toxicity
 from isoreach.session import scratch_path
 
 
@@ -33,6 +34,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs, length=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False)
@@ -50,6 +58,7 @@ ENTRIES = {
     "op2_reputation": (op2_reputation, reputation.judge_sql()),
     "op5_tokenfile": (op5_tokenfile, None),
     "op6_toxicity": (op6_toxicity, None),
+    "op7_suffixes": (op7_suffixes, None),
     "op8_packing": (op8_packing, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, None),
