@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoreach.llm import counting, decontamination, packing, reputation, suffixes, tokenfile, toxicity
+from isoreach.llm import counting, decontamination, jaccard, packing, reputation, suffixes, tokenfile, toxicity
 from isoreach.session import scratch_path
 
 
@@ -24,6 +24,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-file")
     tokenfile.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -56,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES = {
     "op2_reputation": (op2_reputation, reputation.judge_sql()),
+    "op4_jaccard": (op4_jaccard, None),
     "op5_tokenfile": (op5_tokenfile, None),
     "op6_toxicity": (op6_toxicity, None),
     "op7_suffixes": (op7_suffixes, None),
