@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoreach.llm import counting, decontamination, jaccard, packing, reputation, suffixes, tokenfile, toxicity
+from isoreach.llm import counting, decontamination, extraction, jaccard, metric, packing, reputation, suffixes, tokenfile, toxicity
 from isoreach.session import scratch_path
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -24,6 +28,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.neighbours(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -59,7 +67,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTRIES = {
+    "op1_extraction": (op1_extraction, None),
     "op2_reputation": (op2_reputation, reputation.judge_sql()),
+    "op3_metric": (op3_metric, None),
     "op4_jaccard": (op4_jaccard, None),
     "op5_tokenfile": (op5_tokenfile, None),
     "op6_toxicity": (op6_toxicity, None),
