@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -401,3 +402,27 @@ def _splitters(docs: DataFrame, length: int, n_docs: int, buckets: int) -> tuple
     order = np.lexsort((gram, lead))
     at = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) >= buckets else order
     return lead[at], gram[at]
+
+
+def cut_texts(docs: DataFrame, length: int = 50, **params) -> DataFrame:
+    """The columns of ``docs`` with the repeats cut out of ``text`` and, where there is one, ``n_chars`` counted anew.
+
+    A character that a cut has left in part is dropped. A text that is nothing but repeats goes with its row; one that
+    was null or empty before stays.
+    """
+    names = docs.columns
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.array([n == 0 for n in batch.column("n_removed").to_pylist()])
+            kept = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+            own = batch.column("text")
+            text = pc.if_else(whole, own, pa.array(kept, own.type))
+            stays = pa.array([w or k != "" for w, k in zip(whole.to_pylist(), kept, strict=True)], pa.bool_())
+            columns_ = {n: batch.column(n) for n in names} | {"text": text}
+            if "n_chars" in columns_:
+                n = columns_["n_chars"]
+                columns_["n_chars"] = pc.if_else(whole, n, pa.array(list(map(len, kept)), n.type))
+            yield pa.RecordBatch.from_arrays(list(columns_.values()), names=names).filter(stays)
+
+    return remove_repeats(docs, length, **params).mapInArrow(finish, docs.schema)
