@@ -1,19 +1,24 @@
 """Token ids of whole texts by a tokenizer file, inside Spark tasks.
 
 White space separates tokens for the word tokenizer, so a text is cut at blanks and line ends, every distinct piece is
-encoded once per worker by the library, and a text's ids are its pieces' ids in a row. Tests compare this with the
-library on whole texts. The cache is dropped when it is large; that costs time, not ids.
+encoded once per worker by the library, and a text's ids are its pieces' ids in a row. A piece that is one word of plain
+letters, perhaps with a mark after it, has the ids of the word in lower case and those of the mark; such words are given
+to the library many at once, and the vocabulary's word ends tell them apart. Tests compare this with the library on
+whole texts. The caches are dropped when they are large; that costs time, not ids.
 """
 
 from __future__ import annotations
 
 import itertools
 import os
+import re
 
 import numpy as np
 
 _CACHE_PIECES = 800_000
 _CACHE_LENGTH = 80
+#: Letters whose lower case and composition are the same for any library, and marks that are tokens of their own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 
 
 class WordIds:
@@ -23,20 +28,63 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.marks = {m: self._one(m) for m in ["", *".,;:!?|"]}
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _one(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _cut(self, ids: list[int], ends: np.ndarray) -> list[bytes]:
+        """The ids as bytes, cut after ``ends`` ids."""
+        data = self._bytes(ids)
+        ends = (ends * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _add_words(self, new: list[str]) -> None:
+        """Plain words in lower case."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self.ends[np.array(ids, dtype=np.int64)]) + 1
+        if len(ends) == len(new):
+            self.words.update(zip(new, self._cut(ids, ends), strict=True))
+        else:
+            self.words.update({w: self._one(w) for w in new})
+
+    def _add(self, new: list[str]) -> None:
+        """Pieces of any kind."""
+        plain, odd = [], []
+        for p in new:
+            m = _PLAIN.fullmatch(p)
+            if m:
+                plain.append((p, m[1].lower(), m[2]))
+            else:
+                odd.append(p)
+        words = list({w for _, w, _ in plain}.difference(self.words))
+        if words:
+            self._add_words(words)
+        self.known.update({p: self.words[w] + self.marks[mark] for p, w, mark in plain})
+        if odd:
+            coded = self.tokenizer.encode(odd, is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(odd)))
+            self.known.update(zip(odd, self._cut(coded.ids, ends), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > _CACHE_PIECES:
-            self.known = {"": b""}
+            self._forget()
         known = self.known
         new = list(set(itertools.chain.from_iterable(pieces)).difference(known))
-        coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(coded.ids, dtype=self.dtype).tobytes()
-        ends = np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(new)))
-        ends = (ends * self.dtype.itemsize).tolist()
-        known.update({p: ids[a:b] for p, a, b in zip(new, [0, *ends], ends, strict=False)})
+        self._add(new)
         out = [b"".join([known[p] for p in row]) for row in pieces]
         for p in new:
             if len(p) > _CACHE_LENGTH:
