@@ -200,6 +200,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
 
     # At most 2 * sample rows of three numbers, where ids repeat in documents a few more.
     points = rows.mapInArrow(features, "total double, density double, toxic int").toPandas().sort_values(["toxic", "total", "density"])
+    if not len(points):
+        return lexicon
     toxic = points["toxic"].to_numpy().astype(float)
     share = np.where(toxic == 1, sizes[1] / max(1, toxic.sum()), sizes.get(0, 0) / max(1, (1 - toxic).sum()))
     lexicon.curve = _fit_curve(points[["total", "density"]].to_numpy(), toxic, share / share.mean())
