@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
                     ELSE 'supermarkets' END AS service,
                CASE WHEN o_orderkey % 41 = 0 THEN NULL
                     ELSE (o_orderkey * 7919) % (SELECT COUNT(*) FROM {part}) END AS zone_id
-        FROM {orders} WHERE o_totalprice > 400000""",
+        FROM {orders}""",
     "f_zone": """
         SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS employment_all,
                CAST(CASE WHEN p_type = 'PROMO' THEN p_size ELSE 0 END AS BIGINT) AS employment_promo_1,

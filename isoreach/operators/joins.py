@@ -44,8 +44,6 @@ def hot_keys(df: DataFrame, on: list[str], sample: float | None = None) -> DataF
         return None
     hot = (
         counts.filter(F.col("count") >= max(2, total * HOT_SHARE))
-        .orderBy(F.desc("count"))
-        .limit(int(1 / HOT_SHARE))
         .select(*on)
         .collect()
     )

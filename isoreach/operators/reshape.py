@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.functions import naming
+from isoreach.session import materialise
 
 
 def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
@@ -54,6 +55,10 @@ def stack_labelled(frames: dict[str, DataFrame], label: str) -> DataFrame:
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Without the columns that are NULL in every row; one aggregate decides for all of them."""
+    """Without the columns that are NULL in every row; one aggregate decides for all of them.
+
+    The input is stored first, so it is computed once.
+    """
+    df = materialise(df, "sparse")
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
     return df.select(*[c for c in df.columns if counts[c] > 0])

@@ -16,8 +16,6 @@ from isoreach.operators import geometry as g
 from isoreach.operators.joins import lookup_join
 from isoreach.session import materialise
 
-_WORLD = 4.1e7
-
 
 def _crosses(x: Column, y: Column) -> Column:
     """Whether a ray to the right of (x, y) passes the edge; a vertex counts for one of its edges."""
@@ -141,7 +139,10 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, size: float | None = No
     the point on the grid whose cells are at least that large. Nothing is searched in rounds.
     """
     size = size or g.typical_cell(g.bounds(edges))
-    top = max(1, math.ceil(math.log2(_WORLD / size)))
+    # The coarsest grid spans points and edges together, so every point finds a vertex on it.
+    places = points.select("x", "y").unionByName(edges.select(F.col("x1").alias("x"), F.col("y1").alias("y")))
+    far = places.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    top = max(1, math.ceil(math.log2(max(far["w"] or 0, far["h"] or 0, size) / size)))
     width = g.level_size(size)
     nine = F.array(*[F.struct(F.lit(i).cast("bigint").alias("dx"), F.lit(j).cast("bigint").alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
@@ -170,7 +171,8 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, size: float | None = No
     # Edges only on the grids some point needs: at most one number per grid.
     used = sorted(r[0] for r in reach.select("level").distinct().collect())
     if not used:
-        return reach.join(edges.select("poly_id").limit(0)).select("id", "poly_id", F.col("reach").alias("distance"))
+        kind = edges.schema["poly_id"].dataType
+        return reach.select("id", F.lit(None).cast(kind).alias("poly_id"), F.col("reach").alias("distance"))
     levelled = edges.select("poly_id", "x1", "y1", "x2", "y2", F.explode(F.lit(used)).alias("level"))
     indexed = g.edge_cells(levelled, width).select("poly_id", "x1", "y1", "x2", "y2", "level", "cx", "cy")
     pairs = lookup_join(around(reach.drop("reach")), indexed, ["level", "cx", "cy"], "inner")
@@ -248,7 +250,7 @@ def _strips_between(low: Column, high: Column, tag: str) -> Column:
     return F.explode(F.sequence(F.floor((low - x0) / w), F.floor((high - x0) / w)))
 
 
-def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
+def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None, tolerance: float = 1.5e-14) -> DataFrame:
     """Area shared by each overlapping pair (``p`` of left, ``q`` of right).
 
     Over every x, the length two sets of intervals share is a signed sum of minima over pairs of
@@ -256,6 +258,9 @@ def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None)
     form, this gives the area without building the shape of the overlap. Heights are taken from
     the bottom of the overlap; edges wholly below it cancel out and are left aside. Strips follow
     the number of edges, so a polygon with very many edges meets others a few edges at a time.
+
+    Polygons that only touch share no area, up to the rounding of the sum: a pair counts as touching
+    when its area is at most ``tolerance`` (some sixty roundings) of the sizes that were added up.
     """
     strips = {"x0": F.col("xmin"), "w": g.strip_width("xmin", "xmax")}
     p_boxes = materialise(g.bounds(left).withColumns(strips), "boxes")
@@ -287,8 +292,9 @@ def overlay_areas(left: DataFrame, right: DataFrame, size: float | None = None)
         .when(e0 < f0, (e0 + meet) * w * t / 2 + (meet + f1) * w * (1 - t) / 2)
         .otherwise((f0 + meet) * w * t / 2 + (meet + e1) * w * (1 - t) / 2)
     )
-    box = F.max((F.col("ox1") - F.col("ox0")) * (F.col("oy1") - F.col("oy0")))
+    largest = F.greatest(F.abs("oy0"), F.abs("oy1"), F.abs("p_ya"), F.abs("q_ya"))
+    rounding = F.sum(F.abs(integral) + w * largest) * tolerance
     summed = both.groupBy(F.col("p_poly_id").alias("p"), F.col("q_poly_id").alias("q")).agg(
-        F.sum(F.col("p_s") * F.col("q_s") * integral).alias("area"), box.alias("_box")
+        F.sum(F.col("p_s") * F.col("q_s") * integral).alias("area"), rounding.alias("_rounding")
     )
-    return summed.filter(F.col("area") > F.col("_box") * 1e-9).select("p", "q", "area")
+    return summed.filter(F.col("area") > F.col("_rounding")).select("p", "q", "area")

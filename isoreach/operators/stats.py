@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from isoreach.operators.joins import null_safe_join
 from isoreach.operators.ordering import exact_quantiles
@@ -33,11 +34,11 @@ def totals_long(df: DataFrame, columns: Sequence[str], name: str, value: str) ->
 def share_of_total(df: DataFrame, key: Column, key_name: str, value: str, total_name: str, share_name: str) -> DataFrame:
     """Sum per key and its part of the grand total.
 
-    The grand total is one aggregate row attached to the grouped rows.
+    The grand total is a window over the grouped rows, so the input is read once.
     """
     grouped = df.groupBy(key.alias(key_name)).agg(F.sum(value).alias(total_name))
-    grand = df.agg(F.sum(value).cast("double")).first()[0]
-    return grouped.withColumn(share_name, F.try_divide(F.col(total_name).cast("double"), F.lit(grand).cast("double")))
+    grand = F.sum(total_name).over(Window.partitionBy())
+    return grouped.withColumn(share_name, F.try_divide(F.col(total_name).cast("double"), grand.cast("double")))
 
 
 def most_frequent(df: DataFrame, column: str, k: int, name: str = "n") -> DataFrame:

@@ -20,6 +20,12 @@ MODE_LABELS = {"bicycle": "Bicycle", "pt": "Public transport", "walk": "Walk"}
 LARGE_CITIES = 25
 
 
+def known_modes(df: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """The same rows; a mode that is not among ``modes`` is an error when it is met, not a lost row."""
+    unknown = F.raise_error(F.concat(F.lit("unknown mode: "), F.coalesce("mode", F.lit("NULL")))).cast("string")
+    return df.withColumn("mode", F.when(F.col("mode").isin(*modes), F.col("mode")).otherwise(unknown))
+
+
 def morning_only(df: DataFrame) -> DataFrame:
     """Rows of the morning, and all rows of modes without a time of day."""
     if "time_of_day" not in df.columns:
@@ -36,12 +42,13 @@ def access_statistics(relative: DataFrame) -> DataFrame:
     return stats.distribution(morning_only(relative), ["mode", "service", "time_cut"], "accessibility", "access")
 
 
-def mode_ratio(relative: DataFrame, zone: str = "geo_code") -> DataFrame:
+def mode_ratio(relative: DataFrame, zone: str = "geo_code", modes: Sequence[str] = MODES) -> DataFrame:
     """Modes side by side, bicycle as a ratio of public transport, and which reaches more.
 
-    The ratio is NULL where public transport reaches nothing.
+    The ratio is NULL where public transport reaches nothing. ``modes`` are the columns; the table may have no other.
     """
-    wide = to_wide(morning_only(relative), [zone, "service", "time_cut"], "mode", list(MODES), "accessibility")
+    rows = known_modes(morning_only(relative), modes)
+    wide = to_wide(rows, [zone, "service", "time_cut"], "mode", list(modes), "accessibility")
     winner = F.when(F.col("bicycle") > F.col("pt"), "bike").when(F.col("bicycle") <= F.col("pt"), "pt")
     return wide.withColumns({"pt_bike_diff": nulls.ratio("bicycle", "pt"), "bike": winner})
 
@@ -79,10 +86,11 @@ def nearest_statistics(nearest: DataFrame) -> DataFrame:
     return box.withColumn("label", text.service_label("service"))
 
 
-def unreachable(nearest: DataFrame) -> DataFrame:
-    """Origins without any reachable place, per service, one column per mode."""
-    counts = stats.count_by(morning_only(nearest).filter(F.col("tt_minutes").isNull()), ["service", "mode"])
-    return to_wide(counts, ["service"], "mode", list(MODES), "n")
+def unreachable(nearest: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
+    """Origins without any reachable place, per service, one column for each of ``modes``; no other mode may occur."""
+    lost = morning_only(nearest).filter(F.col("tt_minutes").isNull())
+    counts = known_modes(stats.count_by(lost, ["service", "mode"]), modes)
+    return to_wide(counts, ["service"], "mode", list(modes), "n")
 
 
 def order_by_median(df: DataFrame, key: str, value: str) -> DataFrame:

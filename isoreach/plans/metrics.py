@@ -137,14 +137,23 @@ def with_relative(
     return access.withColumns(shares)
 
 
-def relative_long(access: DataFrame, land_use: DataFrame, services: Mapping[str, str]) -> DataFrame:
+def relative_long(
+    access: DataFrame, land_use: DataFrame, services: Mapping[str, str], cuts: Sequence[int] | None = None
+) -> DataFrame:
     """(keys, service, time_cut, accessibility) with the relative measure.
 
+    All cuts that the table has, or those asked for; a cut asked for that it lacks is an error.
     The wide measures become rows first and find their total by service name: one row per service,
     so few that they are broadcast.
     """
     ids = [k for k in ("geo_code", *KEYS) if k in access.columns]
-    absolute = [naming.access_name(s, c) for s in services for c in CUTS if naming.access_name(s, c) in access.columns]
+    if cuts is None:
+        absolute = [c for c in naming.matching(access, r"^access_.*_\d+$") if naming.split_access_name(c)[0] in services]
+    else:
+        absolute = [naming.access_name(s, c) for s in services for c in cuts]
+    missing = [s for s in services if not any(naming.split_access_name(c)[0] == s for c in absolute)]
+    if missing or not set(absolute) <= set(access.columns):
+        raise ValueError(f"the table lacks measures: {missing or sorted(set(absolute) - set(access.columns))}")
     doubles = access.select(*ids, *[F.col(c).cast("double").alias(c) for c in absolute])
     totals = totals_to_long(service_totals(land_use, services), "service", "_total")
     long = access_to_long(doubles, ids).join(F.broadcast(totals), "service")
@@ -172,7 +181,9 @@ def access_table(
 
 
 def service_slice(access: DataFrame, service: str, cuts: Sequence[int] = CUTS) -> DataFrame:
-    """Columns of one service, by exact name."""
+    """Columns of one service, by exact name; not every service has a nearest place."""
     names = [naming.access_name(service, c) for c in cuts] + [naming.pct_name(service, c) for c in cuts]
-    names.append(naming.nearest_name(service))
-    return access.select("geo_code", "mode", "time_of_day", *[n for n in names if n in access.columns])
+    if not set(names) <= set(access.columns):
+        raise ValueError(f"the table lacks measures: {sorted(set(names) - set(access.columns))}")
+    nearest = [n for n in (naming.nearest_name(service),) if n in access.columns]
+    return access.select("geo_code", "mode", "time_of_day", *names, *nearest)

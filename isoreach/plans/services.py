@@ -103,14 +103,15 @@ def is_general_hospital(name: str) -> Column:
 def zone_by_point(df: DataFrame, zones: DataFrame | sp.PolygonLayer, zone: str, x: str, y: str, key: str) -> DataFrame:
     """Fills a blank or missing ``zone`` from the polygon the point lies in; other rows stay as they are.
 
-    ``key`` tells the points apart: rows with the same key lie in the same place.
+    Rows are told apart by ``key`` and place together, so a key may be missing or stand for several places.
     """
-    lost = df.filter(nulls.is_blank(zone)).select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).dropDuplicates(["id"])
+    place = F.to_json(F.struct(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y")), {"ignoreNullFields": "false"})
+    lost = df.filter(nulls.is_blank(zone)).select(place.alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).dropDuplicates(["id"])
     pairs = materialise(sp.points_in_polygons(lost, zones), "zone-pairs")
-    pairs = pairs.select(F.col("id").alias(key), F.col("poly_id").cast("string").alias("_found"))
+    pairs = pairs.select(F.col("id").alias("_key"), F.col("poly_id").cast("string").alias("_found"))
     # Rows that have a zone are not joined: a point on a border must not multiply them.
-    asked = F.when(nulls.is_blank(zone), F.col(key))
-    joined = lookup_join(df.withColumn("_key", asked), pairs.withColumnRenamed(key, "_key"), "_key", "left")
+    asked = F.when(nulls.is_blank(zone), place)
+    joined = lookup_join(df.withColumn("_key", asked), pairs, "_key", "left")
     filled = F.when(nulls.is_blank(zone), F.col("_found")).otherwise(F.col(zone))
     return joined.withColumn(zone, filled).select(*df.columns)
 

@@ -43,14 +43,13 @@ def quantiles(value: str, names: dict[str, float], digits: int = 6) -> str:
     duck(
         "\nUNION ALL ".join(
             f"SELECT mode, time_of_day, from_id, '{s}' AS service, {c} AS time_cut, CAST({naming.access_name(s, c)} AS DOUBLE) AS accessibility FROM q_access"
-            for s in ("employment_all", "hospitals", "parks")
+            for s in CUMULATIVE
             for c in CUTS
         )
     ),
 )
 def r01(spark, sf_dir):
-    services = {s: CUMULATIVE[s] for s in ("employment_all", "hospitals", "parks")}
-    access = wide_access(spark, sf_dir, services, {})[0]
+    access = wide_access(spark, sf_dir, nearest={})[0]
     doubles = access.withColumns({c: F.col(c).cast("double") for c in naming.starts_with(access, "access")})
     return reshape.access_to_long(doubles, IDS)
 
@@ -60,7 +59,10 @@ def r02(spark, sf_dir):
     return nearest_long(spark, sf_dir)
 
 
-_LAND = ("employment_all", "employment_promo_1", "hospitals", "gp_practices", "main_bua", "park_ha")
+_LAND = (
+    "employment_all", "employment_promo_1", "employment_standard_2", "employment_economy_3", "hospitals", "gp_practices",
+    "main_bua", "park_ha", "park_accesspoints",
+)
 
 
 @REGISTRY.add(
@@ -110,13 +112,12 @@ def u02(spark, sf_dir):
 @REGISTRY.add(
     "U03_union_many_shapes",
     duck(
-        "SELECT from_id, mode, 'hospitals' AS service, tt_minutes FROM q_nearest_long WHERE service = 'hospitals'"
-        " UNION ALL SELECT from_id, mode, 'parks', tt_minutes FROM q_nearest_long WHERE service = 'parks'"
+        "SELECT from_id, mode, service, tt_minutes FROM q_nearest_long"
     ),
 )
 def u03(spark, sf_dir):
-    wide = wide_access(spark, sf_dir, {}, {s: NEAREST[s] for s in ("hospitals", "parks")})[0]
-    parts = [reshape.nearest_to_long(wide.select("from_id", "mode", f"nearest_{s}"), ["from_id", "mode"]) for s in ("hospitals", "parks")]
+    wide = materialise(wide_access(spark, sf_dir, cumulative={})[0], "nearest")
+    parts = [reshape.nearest_to_long(wide.select("from_id", "mode", f"nearest_{s}"), ["from_id", "mode"]) for s in NEAREST]
     return reshape.stack(*parts)
 
 
@@ -326,6 +327,32 @@ def l07(spark, sf_dir):
     return rounded(analysis.mode_ratio(relative(spark, sf_dir), "from_id"), ["pt_bike_diff"])
 
 
+_REGIONS = f"""
+    SELECT r.*, ROUND(bicycle / NULLIF(pt, 0), 6) AS pt_bike_diff, CASE WHEN bicycle > pt THEN 'bike' WHEN bicycle <= pt THEN 'pt' END AS bike,
+           s.s_name AS lad17nm, n.n_name AS rgn11nm, z.zone_id AS ttwa, c.pop_ranking,
+           CASE WHEN c.pop_ranking IS NULL THEN NULL WHEN c.pop_ranking < 25 THEN 'city' ELSE 'other' END AS city_large
+    FROM (SELECT from_id AS geo_code, service, time_cut, MAX(CASE WHEN mode = 'bicycle' THEN accessibility END) AS bicycle,
+                 MAX(CASE WHEN mode = 'pt' THEN accessibility END) AS pt, MAX(CASE WHEN mode = 'walk' THEN accessibility END) AS walk
+          FROM q_relative_long WHERE {MORNING} AND service = 'employment_all' AND time_cut IN (30, 60) GROUP BY 1, 2, 3) r
+    JOIN supplier s ON s.s_suppkey = r.geo_code JOIN nation n ON n.n_nationkey = s.s_nationkey AND n.n_name = 'NATION_3'
+    LEFT JOIN f_point p ON p.id = r.geo_code LEFT JOIN f_zonepoly z ON p.x BETWEEN z.xa AND z.xb AND p.y BETWEEN z.ya AND z.yb
+    LEFT JOIN (SELECT n_nationkey, ROW_NUMBER() OVER (ORDER BY pop DESC, n_nationkey) AS pop_ranking
+               FROM (SELECT n_nationkey, COUNT(c_custkey) AS pop FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) t) c
+      ON c.n_nationkey = z.zone_id"""
+
+
+@REGISTRY.add("L07_regions", duck(_REGIONS))
+def l07_regions(spark, sf_dir):
+    """Modes side by side in one region, with district, travel-to-work area and size class."""
+    supplier, nation = fx.table(spark, sf_dir, "supplier"), fx.table(spark, sf_dir, "nation")
+    places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    regions = analysis.region_lookup(places.select(F.col("s_suppkey").alias("lsoa11cd"), F.col("s_name").alias("lad17nm"), F.col("n_name").alias("rgn11nm")))
+    areas = l21(spark, sf_dir).withColumnRenamed("id", "geo_code")
+    rows = relative(spark, sf_dir).withColumnRenamed("from_id", "geo_code")
+    compared = analysis.area_comparison(rows, regions, materialise(areas, "areas"), "NATION_3", "employment_all", (30, 60))
+    return rounded(compared, ["pt_bike_diff"])
+
+
 @REGISTRY.add(
     "L08_access_stats",
     duck(

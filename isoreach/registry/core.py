@@ -9,6 +9,7 @@ from isoreach.functions import naming
 from isoreach.operators import joins, reshape
 from isoreach.plans import metrics
 from isoreach.registry import REGISTRY
+from isoreach.session import materialise
 
 CUTS = metrics.CUTS
 CUMULATIVE = {
@@ -107,8 +108,8 @@ def l02(spark, sf_dir):
 
 
 _SLICES = "\nUNION ALL ".join(
-    f"SELECT '{mode}' AS mode, {tod} AS time_of_day, t.from_id, {sql_cumulative({'hospitals': 'hospitals'})},"
-    f" {sql_nearest({'hospitals': 'hospitals'})} FROM f_ttm t LEFT JOIN f_landuse w ON w.id = t.to_id"
+    f"SELECT '{mode}' AS mode, {tod} AS time_of_day, t.from_id, {sql_cumulative()},"
+    f" {sql_nearest()} FROM f_ttm t LEFT JOIN f_landuse w ON w.id = t.to_id"
     f" WHERE t.mode = '{mode}' GROUP BY {group}"
     for mode, tod, group in (
         ("pt", "t.time_of_day", "t.time_of_day, t.from_id"),
@@ -133,8 +134,7 @@ def l03(spark, sf_dir):
             "bicycle": (slice_of("bicycle", "travel_time_adj").drop("mode", "time_of_day"), "travel_time_adj"),
         }
     )
-    only = {"hospitals": "hospitals"}
-    return metrics.measures(matrix, land_use, only, only)
+    return metrics.measures(matrix, land_use, CUMULATIVE, NEAREST)
 
 
 @REGISTRY.add("L04_relative", duck("SELECT * FROM q_relative"))
@@ -187,16 +187,15 @@ def l06(spark, sf_dir):
 @REGISTRY.add(
     "J06_null_safe_merge",
     duck(
-        "SELECT a.mode, a.time_of_day, a.from_id, a.access_hospitals_60, n.nearest_hospitals FROM q_access a"
+        "SELECT a.*, n.* EXCLUDE (mode, time_of_day, from_id) FROM q_access a"
         " LEFT JOIN q_nearest n ON n.mode = a.mode AND n.from_id = a.from_id"
         " AND n.time_of_day IS NOT DISTINCT FROM a.time_of_day"
     ),
 )
 def j06(spark, sf_dir):
     """Two results merged on a key part that is NULL for two of three modes."""
-    only = {"hospitals": "hospitals"}
-    access = wide_access(spark, sf_dir, only, {})[0].select(*metrics.KEYS, "access_hospitals_60")
-    nearest = wide_access(spark, sf_dir, {}, only)[0]
+    access = wide_access(spark, sf_dir, nearest={})[0]
+    nearest = wide_access(spark, sf_dir, cumulative={})[0]
     return joins.null_safe_join(access, nearest, list(metrics.KEYS))
 
 
@@ -228,18 +227,61 @@ def p13(spark, sf_dir):
     return reshape.drop_empty_columns(walk.select(*metrics.KEYS, "access_hospitals_15", "nearest_hospitals"))
 
 
+def _service_rows(service: str) -> str:
+    """Columns of one service under general names, from the wide table."""
+    values = [f"CAST({naming.access_name(service, c)} AS DOUBLE) AS access_{c}" for c in CUTS]
+    values += [f"{naming.pct_name(service, c)} AS pct_{c}" for c in CUTS]
+    nearest = naming.nearest_name(service) if service in NEAREST else "NULL"
+    return f"SELECT '{service}' AS service, geo_code, mode, time_of_day, {', '.join(values)}, CAST({nearest} AS INT) AS nearest FROM w"
+
+
+SERVICE_ROWS = f"WITH w AS ({_WIDE}) " + "\nUNION ALL ".join(_service_rows(s) for s in CUMULATIVE)
+
+
+def general_names(one, service):
+    """A service's own table with the service left out of the column names."""
+    values = [F.col(naming.access_name(service, c)).cast("double").alias(f"access_{c}") for c in CUTS]
+    values += [F.col(naming.pct_name(service, c)).alias(f"pct_{c}") for c in CUTS]
+    nearest = F.col(naming.nearest_name(service)) if naming.nearest_name(service) in one.columns else F.lit(None)
+    return one.select("geo_code", "mode", "time_of_day", *values, nearest.cast("int").alias("nearest"))
+
+
+def stored_access(spark, sf_dir):
+    ttm, land_use = inputs(spark, sf_dir)
+    return materialise(metrics.access_table(ttm, land_use, CUMULATIVE, NEAREST), "access")
+
+
+@REGISTRY.add("R05_service_split", duck(f"SELECT * FROM ({SERVICE_ROWS}) s"))
+def r05(spark, sf_dir):
+    """The table of every service and mode, stacked."""
+    access = stored_access(spark, sf_dir)
+    tables = {
+        (service, mode): general_names(metrics.service_slice(access.filter(F.col("mode") == mode), service), service)
+        for service in CUMULATIVE
+        for mode in ("bicycle", "pt", "walk")
+    }
+    return reshape.stack(*[t.withColumn("service", F.lit(service)) for (service, _), t in tables.items()])
+
+
+OTHER_CUTS = (7, 20, 45, 150)
+
+
 @REGISTRY.add(
-    "R05_service_split",
+    "L04_other_cuts",
     duck(
-        "SELECT a.from_id AS geo_code, a.mode, a.time_of_day, "
-        + ", ".join(f"a.{naming.access_name('gp_practices', c)}" for c in CUTS)
-        + ", n.nearest_gp_practices FROM q_access a JOIN q_nearest n ON n.mode = a.mode AND n.from_id = a.from_id"
-        " AND n.time_of_day IS NOT DISTINCT FROM a.time_of_day"
+        "\nUNION ALL ".join(
+            f"SELECT t.mode, t.time_of_day, t.from_id, '{s}' AS service, {c} AS time_cut, round_even(CAST(SUM(CASE WHEN t.travel_time <= {c}"
+            f" THEN w.{col} ELSE 0 END) AS DOUBLE) / NULLIF((SELECT {s} FROM q_totals), 0) * 100, 4) AS accessibility {PAIRS}"
+            for s, col in CUMULATIVE.items()
+            for c in OTHER_CUTS
+        )
     ),
 )
-def r05(spark, sf_dir):
-    access = wide_access(spark, sf_dir)[0].withColumnRenamed("from_id", "geo_code")
-    return metrics.service_slice(access, "gp_practices")
+def l04_other(spark, sf_dir):
+    """Time limits other than the published ones."""
+    ttm, land_use = inputs(spark, sf_dir)
+    access = metrics.measures(ttm, land_use, CUMULATIVE, {}, OTHER_CUTS)
+    return metrics.relative_long(access, land_use, CUMULATIVE)
 
 
 @REGISTRY.add(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isoreach import fixtures as fx
-from isoreach.functions import text
+from isoreach.functions import naming, text
+from isoreach.operators import reshape
 from isoreach.plans import metrics
 from isoreach.registry import REGISTRY
-from isoreach.registry.core import CUMULATIVE, duck, wide_access
+from isoreach.registry.core import CUMULATIVE, CUTS, SERVICE_ROWS, duck, general_names, stored_access, wide_access
 from isoreach.schemas import schema
 from isoreach.session import materialise, scratch_path
 from isoreach.sources import readers, sinks
@@ -25,8 +26,9 @@ def stored_csv(df, spark, label, header=True):
 
 @REGISTRY.add("S01_csv_header", sql("SELECT id, NULLIF(name, '') AS name, brand, sub_type FROM f_named"))
 def s01(spark, sf_dir):
-    """Padded, blank and NA cells of a delimited file."""
+    """Padded, blank and NA cells of a delimited file with its columns in another order and some more."""
     padded = fx.view(spark, sf_dir, "f_named").withColumn("brand", F.concat(F.lit("  "), "brand", F.lit(" ")))
+    padded = padded.select("sub_type", F.lit(7).alias("extra"), "brand", "id", F.col("name").alias("old name"), "name")
     return readers.read_csv(spark, stored_csv(padded, spark, "s01"), NAMED)
 
 
@@ -59,20 +61,23 @@ def s04(spark, sf_dir):
 def _tree(spark, sf_dir):
     root = scratch_path(spark, "tree")
     poi = fx.view(spark, sf_dir, "f_poi")
-    for service in ("hospitals", "pharmacies"):
-        sinks.write_csv(poi.filter(F.col("service") == service), f"{root}/{service}/access_{service}.csv")
+    orders = {"hospitals": ["zone_id", "source_id", "service"], "pharmacies": ["service", "source_id", "zone_id"]}
+    for service in ("hospitals", "pharmacies", "gp_practices", "primary_schools"):
+        own = poi.filter(F.col("service") == service).withColumn(f"{service}_note", F.lit("x"))
+        own = own.select(*orders.get(service, own.columns))
+        sinks.write_csv(own, f"{root}/{service}/access_{service}.csv")
     sinks.write_csv(poi.filter(F.col("service") == "supermarkets"), f"{root}/supermarkets/notes.csv")
     return readers.read_tree(spark, root, "*.csv", schema("source_id long, service string, zone_id long"))
 
 
-@REGISTRY.add("S05_tree_read", sql("SELECT source_id, service, zone_id FROM f_poi WHERE service IN ('hospitals', 'pharmacies', 'supermarkets')"))
+@REGISTRY.add("S05_tree_read", sql("SELECT source_id, service, zone_id FROM f_poi"))
 def s05(spark, sf_dir):
     return _tree(spark, sf_dir).drop("file_path")
 
 
 @REGISTRY.add(
     "F13_files_by_name",
-    sql("SELECT service, COUNT(*) AS n, TRUE AS measures FROM f_poi WHERE service IN ('hospitals', 'pharmacies') GROUP BY 1 UNION ALL SELECT service, COUNT(*), FALSE FROM f_poi WHERE service = 'supermarkets' GROUP BY 1"),
+    sql("SELECT service, COUNT(*) AS n, TRUE AS measures FROM f_poi WHERE service <> 'supermarkets' GROUP BY 1 UNION ALL SELECT service, COUNT(*), FALSE FROM f_poi WHERE service = 'supermarkets' GROUP BY 1"),
 )
 def f13(spark, sf_dir):
     """Files chosen by a pattern of their path, and by its opposite."""
@@ -117,6 +122,20 @@ def s09(spark, sf_dir):
     return spark.read.schema(schema("geo_code long, time_of_day string, time_cut int, accessibility double, service string, mode string")).parquet(path)
 
 
+@REGISTRY.add("S09_public_tables", duck(f"SELECT * FROM ({SERVICE_ROWS}) s"))
+def s09_public(spark, sf_dir):
+    """The public table of every service and mode, written, read back by name and stacked."""
+    path = scratch_path(spark, "public")
+    sinks.write_service_tables(stored_access(spark, sf_dir), list(CUMULATIVE), CUTS, path)
+    found = []
+    for service in CUMULATIVE:
+        names = [naming.access_name(service, c) for c in CUTS] + [naming.pct_name(service, c) for c in CUTS]
+        columns = ", ".join(["geo_code long, mode string, time_of_day string", *[f"{n} double" for n in names], f"{naming.nearest_name(service)} int"])
+        read = readers.read_tree(spark, f"{path}/{service}", "*.csv", schema(columns), absent=True)
+        found.append(general_names(read, service).withColumn("service", F.lit(service)))
+    return reshape.stack(*found)
+
+
 @REGISTRY.add(
     "S10_plain_numbers",
     sql("SELECT p_partkey, RTRIM(RTRIM(CAST(CAST(p_retailprice / 1000000 AS DECIMAL(38,12)) AS VARCHAR), '0'), '.') AS shown FROM part"),
@@ -125,10 +144,17 @@ def s10(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select("p_partkey", text.fixed_point(F.col("p_retailprice") / 1_000_000, 12).alias("shown"))
 
 
-@REGISTRY.add("S11_inventory")
+@REGISTRY.add(
+    "S11_inventory",
+    sql("SELECT CONCAT('./kind=', p_type) AS folder, CAST(SUM(strlen(p_name) + 1) AS BIGINT) AS size FROM part GROUP BY 1"),
+)
 def s11(spark, sf_dir):
-    """Path, type and size of the given files; their contents are not read."""
-    return sinks.inventory(spark, sf_dir)
+    """Sizes of files that hold the names of all parts, one folder for each type; their contents are not read."""
+    path = scratch_path(spark, "s11-files")
+    fx.table(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), "p_name").write.partitionBy("kind").text(path)
+    files = sinks.inventory(spark, path).filter(F.col("type") == "file")
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    return files.groupBy(folder).agg(F.sum("size").alias("size"))
 
 
 @REGISTRY.add(

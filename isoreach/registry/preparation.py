@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isoreach import fixtures as fx
-from isoreach.functions import naming, nulls, text
+from isoreach.functions import geodesy, naming, nulls, text
 from isoreach.operators import geometry as g
 from isoreach.operators import joins, lookup, reshape, stats
 from isoreach.plans import analysis, services, weights
@@ -91,14 +91,15 @@ def p14(spark, sf_dir):
 
 
 @REGISTRY.add("P10_P16_keyed_codes", sql(
-    "SELECT destination_cd, total_22, UPPER(destination_cd) AS label FROM f_prev WHERE destination_cd IN (SELECT service FROM f_poi)"
+    "SELECT p_partkey, p_type, CASE p_type WHEN 'PROMO' THEN 'Offer' WHEN 'STANDARD' THEN 'Usual' ELSE 'Other ' || LOWER(p_type) END AS label FROM part WHERE p_partkey IN (SELECT zone_id FROM f_poi)"
 ))
 def p16(spark, sf_dir):
     """A mapping is joined by key, and membership in another table is a semi join."""
-    prev = fx.view(spark, sf_dir, "f_prev")
-    labels = prev.select("destination_cd", F.upper("destination_cd").alias("label"))
-    served = fx.view(spark, sf_dir, "f_poi").select(F.col("service").alias("destination_cd")).distinct()
-    return prev.join(labels, "destination_cd").join(served, "destination_cd", "left_semi")
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    label = F.when(F.col("p_type") == "PROMO", "Offer").when(F.col("p_type") == "STANDARD", "Usual")
+    labels = part.select("p_type").distinct().withColumn("label", F.coalesce(label, F.concat(F.lit("Other "), F.lower("p_type"))))
+    served = fx.view(spark, sf_dir, "f_poi").select(F.col("zone_id").alias("p_partkey")).distinct()
+    return part.join(labels, "p_type").join(served, "p_partkey", "left_semi")
 
 
 # --- filters ---
@@ -524,7 +525,7 @@ _SCHOOLS = {
                         COALESCE(phase IN ('Secondary', 'Middle deemed secondary', 'All-through'), FALSE) AND low_age < 16 AND high_age >= 16 AS type_secondary
                  FROM f_eng) e
            LEFT JOIN f_zonepoly z ON e.code IS NULL AND e.easting BETWEEN z.xa AND z.xb AND e.northing BETWEEN z.ya AND z.yb
-           WHERE e.type_primary OR e.type_secondary
+           WHERE (e.type_primary OR e.type_secondary) AND e.urn % 13 <> 0 AND e.urn % 17 <> 0 AND e.urn % 19 <> 0
            UNION ALL
            SELECT CAST(w.urn AS VARCHAR), w.name, CONCAT(COALESCE(w.street, 'NA'), ' | ', COALESCE(w.town, 'NA'), ' | NA | NA | ', w.postcode),
                   w.a, w.b, c.lsoa11, TRIM(w.postcode), c.lat
@@ -545,8 +546,9 @@ def l17(spark, sf_dir):
     eng, wal, sco = (fx.spark_sql(spark, sf_dir, f"SELECT * FROM {n}", extra) for n in ("f_eng", "f_wal", "f_sco"))
     zones = g.rectangle_edges(fx.view(spark, sf_dir, "f_zonepoly"), "zone_id")
     england = eng.select(
-        F.col("urn").alias("URN"), F.col("name").alias("EstablishmentName"), F.lit("Open").alias("EstablishmentStatus (name)"),
-        F.lit("Not applicable").alias("AdmissionsPolicy (name)"), F.lit("Community school").alias("TypeOfEstablishment (name)"),
+        F.col("urn").alias("URN"), F.col("name").alias("EstablishmentName"), F.when(F.col("urn") % 13 == 0, "Closed").otherwise("Open").alias("EstablishmentStatus (name)"),
+        F.when(F.col("urn") % 17 == 0, "Selective").otherwise("Not applicable").alias("AdmissionsPolicy (name)"),
+        F.when(F.col("urn") % 19 == 0, "Other independent school").otherwise("Community school").alias("TypeOfEstablishment (name)"),
         F.col("phase").alias("PhaseOfEducation (name)"), F.col("low_age").alias("StatutoryLowAge"), F.col("high_age").alias("StatutoryHighAge"),
         F.col("lsoa_code").alias("LSOA (code)"), F.col("easting").alias("Easting"), F.col("northing").alias("Northing"),
         F.col("street").alias("Street"), nulls.typed_null("string").alias("Locality"), nulls.typed_null("string").alias("Address3"),
@@ -602,7 +604,8 @@ def l18(spark, sf_dir):
 _HOSPITALS = {
     "f_hosp_eng": """SELECT id, CASE WHEN name LIKE '%ring' THEN name || ' Day Hospital' WHEN name LIKE 'red%' THEN name || ' Elder unit' ELSE name END AS name,
                             CASE sub_type WHEN 'PROMO' THEN 'Mental Health Hospital' ELSE sub_type END AS sub_type,
-                            CASE WHEN id % 6 = 0 THEN 'none' ELSE 'PC' || CAST(id % 150 AS VARCHAR) END AS postcode FROM f_named WHERE id % 2 = 0""",
+                            CASE WHEN id % 6 = 0 THEN 'none' ELSE 'PC' || CAST(id % 150 AS VARCHAR) END AS postcode,
+                            CAST(id * 7919 % 500 AS DOUBLE) * 1000 + 250 AS x, CAST(id * 104729 % 500 AS DOUBLE) * 1000 + 250 AS y FROM f_named WHERE id % 2 = 0""",
     "f_hosp_sco": """SELECT id, name || ' ' || CAST(id AS VARCHAR) || CASE WHEN id % 5 = 0 THEN ' dental' ELSE '' END AS name, CASE WHEN id % 4 = 1 THEN '' WHEN id % 4 = 3 THEN 'S' || CAST(id AS VARCHAR) END AS zone,
                             CAST(id * 7919 % 500 AS DOUBLE) * 1000 + 250 AS x, CAST(id * 104729 % 500 AS DOUBLE) * 1000 + 250 AS y FROM f_named WHERE id % 2 = 1""",
     "f_hosp_wal": "SELECT c_name AS name, CASE c_mktsegment WHEN 'MACHINERY' THEN 'CHC Local Committee' ELSE c_mktsegment END AS type, 'W' || CAST(c_nationkey AS VARCHAR) AS lsoa11 FROM {customer}",
@@ -613,8 +616,9 @@ _DENY = "'(mental|psychiatr(y|ic)|elder(|ly)|learning disabili(ty|ties)|psychoge
 @REGISTRY.add(
     "L19_hospitals",
     sql(
-        f"""SELECT CAST(h.id AS VARCHAR) AS source_id, h.name, c.lsoa11 AS lsoa FROM f_hosp_eng h
+        f"""SELECT CAST(h.id AS VARCHAR) AS source_id, h.name, COALESCE(c.lsoa11, CAST(z.zone_id AS VARCHAR)) AS lsoa FROM f_hosp_eng h
               LEFT JOIN (SELECT * FROM f_postcode WHERE doterm IS NULL) c ON c.pcds = h.postcode
+              LEFT JOIN f_zonepoly z ON c.lsoa11 IS NULL AND h.x BETWEEN z.xa AND z.xb AND h.y BETWEEN z.ya AND z.yb
               WHERE h.sub_type <> 'Mental Health Hospital' AND NOT COALESCE(regexp_matches(h.name, {_DENY}), FALSE) AND h.name <> 'Jersey General Hospital'
             UNION ALL SELECT NULL, s.name, CASE WHEN COALESCE(s.zone, '') = '' THEN CAST(z.zone_id AS VARCHAR) ELSE s.zone END FROM f_hosp_sco s
               LEFT JOIN f_zonepoly z ON COALESCE(s.zone, '') = '' AND s.x BETWEEN z.xa AND z.xb AND s.y BETWEEN z.ya AND z.yb
@@ -626,10 +630,10 @@ _DENY = "'(mental|psychiatr(y|ic)|elder(|ly)|learning disabili(ty|ties)|psychoge
 def l19(spark, sf_dir):
     extra = {k: v.replace("VARCHAR", "STRING") for k, v in _HOSPITALS.items()}
     eng, sco, wal = (fx.spark_sql(spark, sf_dir, f"SELECT * FROM {n}", extra) for n in ("f_hosp_eng", "f_hosp_sco", "f_hosp_wal"))
-    # England's unmatched rows lie far off the test zones, so their zone stays open.
-    england = eng.select(
+    # Places well inside the grid's kilometre squares, so that the conversion's error cannot move them to another zone.
+    england = geodesy.grid_to_wgs84(eng, "x", "y", "lat", "long").select(
         F.col("id").alias("OrganisationID"), F.col("name").alias("OrganisationName"), F.col("sub_type").alias("SubType"), F.col("postcode").alias("Postcode"),
-        F.lit(40.0).alias("Latitude"), F.lit(-40.0).alias("Longitude"),
+        F.col("lat").alias("Latitude"), F.col("long").alias("Longitude"),
     )
     scotland = sco.select(F.col("name").alias("LocationName"), F.col("zone").alias("DataZone"), F.col("x").alias("XCoordinate"), F.col("y").alias("YCoordinate"))
     live = services.live_codes(fx.view(spark, sf_dir, "f_postcode"))

@@ -55,6 +55,21 @@ def k02(spark, sf_dir):
     return found.select("id", F.col("poly_id").alias("zone_id"), F.round("distance", 6).alias("distance"))
 
 
+@REGISTRY.add(
+    "K02_far_points",
+    fx.duck_sql(
+        f"""SELECT id, zone_id, ROUND(d, 3) AS distance FROM (
+              SELECT p.id, z.zone_id, {DIST} AS d, ROW_NUMBER() OVER (PARTITION BY p.id ORDER BY {DIST}, z.zone_id) AS rn
+              FROM (SELECT id, x + 200000000 + id AS x, y * 1000 - 70000000 AS y FROM f_point) p, f_zonepoly z) t WHERE rn = 1"""
+    ),
+)
+def k02_far(spark, sf_dir):
+    """Points far beyond all zones."""
+    far = points(spark, sf_dir).select("id", (F.col("x") + 200_000_000 + F.col("id")).alias("x"), (F.col("y") * 1000 - 70_000_000).alias("y"))
+    found = sp.nearest_polygon(far, zones(spark, sf_dir))
+    return found.select("id", F.col("poly_id").alias("zone_id"), F.round("distance", 3).alias("distance"))
+
+
 @REGISTRY.add(
     "K02_zone_or_nearest",
     fx.duck_sql(

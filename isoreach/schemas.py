@@ -1,4 +1,4 @@
-"""Declared schemas of the inputs. Nothing is inferred from the data."""
+"""Schemas are declared, nothing is inferred from the data."""
 
 from __future__ import annotations
 
@@ -11,23 +11,3 @@ def schema(text: str) -> T.StructType:
     """``"name kind, name kind"`` as a schema of nullable columns."""
     fields = [part.split() for part in text.split(",")]
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in fields])
-
-
-POSTCODES = schema(
-    "pcds string, oa11 string, lsoa11 string, lat double, long double, doterm string, oscty string"
-)
-GP_SCOTLAND = schema("PracticeCode string, GPPracticeName string, Postcode string")
-OA_LOOKUP = schema("OA11CD string, LSOA11CD string, LAD17NM string, RGN11NM string")
-EMPLOYMENT_ALL = schema("area string, mnemonic string, Total double")
-URBAN_CENTRES = schema("name string, pop11 double, imputed_easting double, imputed_northing double")
-ZONE_CENTRES = schema("zone string, zone_type string, main_bua string, nearest_bua string")
-HOSPITALS_ENGLAND = schema(
-    "organisation_id string, organisation_name string, sub_type string, postcode string,"
-    " latitude double, longitude double"
-)
-HOSPITALS_SCOTLAND = schema("LocationName string, DataZone string, XCoordinate double, YCoordinate double")
-HOSPITALS_WALES = schema("name string, type string, lsoa11 string")
-INDUSTRIAL_GROUPS = schema("abbreviation string, broad_group string")
-TRAVEL_MATRIX = schema("from_id string, to_id string, time_of_day string, travel_time_p50 int, travel_time_adj int")
-EDGES = schema("poly_id long, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double")
-SERVICE_POINT = schema("source_id string, name string, zone_id string, x double, y double")

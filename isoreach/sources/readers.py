@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,28 @@ def _empty_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in text})
 
 
+def _by_name(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, absent: bool = False, rules: dict | None = None
+) -> DataFrame:
+    """The columns of ``schema`` by their names in the header, with the path of their file.
+
+    Files may have other columns too and any order. All files of one call share a header; one that differs is an error
+    while reading. A column that the header lacks is an error, or with ``absent`` NULL.
+    """
+    rules = _TEXT_RULES if rules is None else rules
+    header = spark.read.csv(path, header=True, **rules).columns
+    missing = [n for n in schema.names if n not in header]
+    if missing and not absent:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {header}")
+    typed = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in header])
+    df = spark.read.csv(path, schema=typed, header=True, enforceSchema=False, **rules)
+    wanted = [F.lit(None).cast(f.dataType).alias(f.name) if f.name in missing else F.col(f"`{f.name}`") for f in schema.fields]
+    return df.select(*wanted, F.col("_metadata.file_path").alias("file_path"))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Delimited text with a header. Cells are trimmed; ``NA`` and empty cells are NULL."""
-    return _empty_as_null(spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **_TEXT_RULES))
+    """Delimited text with a header; columns by name. Cells are trimmed; ``NA`` and empty cells are NULL."""
+    return _empty_as_null(_by_name(spark, path, schema).select(*schema.names))
 
 
 def read_headerless(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -34,7 +54,7 @@ def read_keeping_blanks(spark: SparkSession, path: str | list[str], schema: T.St
     Written text loses the difference between nothing and an empty text, so every missing text
     cell reads as empty here, as the fast reader does.
     """
-    df = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **_TEXT_RULES)
+    df = _by_name(spark, path, schema).select(*schema.names)
     text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in text})
 
@@ -66,22 +86,22 @@ def read_after_preamble(
     return rows.filter(F.col(required).isNotNull()) if required else rows
 
 
-def read_tree(spark: SparkSession, path: str, pattern: str, schema: T.StructType) -> DataFrame:
+def read_tree(spark: SparkSession, path: str, pattern: str, schema: T.StructType, absent: bool = False) -> DataFrame:
     """All delimited files under ``path`` whose name fits the glob, with the file they came from.
 
-    Files need the same columns; tables of different services are read one by one and stacked.
+    Columns are taken by name, so files of different services may have different columns in different orders. The files
+    of one folder share a header; each folder's header is read once. With ``absent``, a column that a folder's files lack
+    is NULL there; otherwise it is an error.
     """
-    df = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .csv(path, schema=schema, header=True, **_TEXT_RULES)
-    )
-    return df.select("*", F.col("_metadata.file_path").alias("file_path"))
-
-
-def read_parquet_tree(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(path)
-    return df.select("*", F.col("_metadata.file_path").alias("file_path"))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).inputFiles()
+    folders: dict[str, list[str]] = {}
+    for name in sorted(found):
+        folders.setdefault(name.rsplit("/", 1)[0], []).append(name)
+    if not folders:
+        empty = T.StructType([*schema.fields, T.StructField("file_path", T.StringType())])
+        return spark.createDataFrame([], empty)
+    frames = [_by_name(spark, files, schema, absent) for files in folders.values()]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_directory(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -37,8 +37,7 @@ def write_matrix(df: DataFrame, path: str, files: int) -> None:
     """
     order = ["mode", "time_of_day", "from_id", "to_id"]
     (
-        df.filter(F.col("travel_time").isNotNull())
-        .repartitionByRange(files, *order)
+        df.repartitionByRange(files, *order)
         .sortWithinPartitions(*order)
         .write.partitionBy("mode", "time_of_day")
         .parquet(path)
