@@ -26,7 +26,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``n`` powers of the base and of its inverse."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = max(n, 1 << 20, len(_powers[0]) * 5 // 4)
         full = []
         for base in (_ODD, _BACK):
             p = np.full(size, base, np.uint64)

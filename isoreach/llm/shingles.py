@@ -13,7 +13,7 @@ _BLANK[list(BLANKS)] = True
 #: A-Z count as a-z.
 _FOLDED = BYTE.copy()
 _FOLDED[65:91] = BYTE[97:123]
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +42,10 @@ from isoreach.session import materialise
 GRAM = 16
 _PLACE = np.uint64(24)
 #: Bytes handled as one array; a longer text is taken in parts that overlap, so that each window lies in one part.
-_BUFFER = 4 << 20
-_FLUSH = 2_000_000
+_BUFFER = (1 << 20) - 64
+_FLUSH = 1_000_000
+#: Documents whose suffixes are found at a time.
+_ROWS = 250
 _BLOBS = "part long, kind int, blob binary"
 
 
@@ -181,8 +184,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
             yield _by(_bucket(lead[mine], gram[mine], split).astype(np.int64), 0, lead[mine], gram[mine], span[mine], doc[mine], at[mine])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                rows = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, _ROWS):
+                rows = batch.slice(k, _ROWS)
                 rows = rows.filter(rows.column("doc_id").is_valid())
                 ids = rows.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
                 a = anchors_of(_texts(rows), length)
@@ -253,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
                     m = mine[rows_of]
                     data = b"".join([raw[d][x : y + length] for d, x, y in zip(a.doc[m].tolist(), a.lo[m].tolist(), a.hi[m].tolist(), strict=True)])
                     head = columns.dump(numbers[rows_of], a_doc[m], a.lo[m], a.hi[m] - a.lo[m])
-                    packed = columns.dump(np.frombuffer(data, np.uint8).astype(np.uint64))
+                    packed = zstandard.ZstdCompressor(level=1).compress(data)
                     out.append(_rows([int(bucket[rows_of[0]])], 2, [len(head).to_bytes(8, "little") + head + packed]))
         return pa.Table.from_batches(out or [_rows([], 2, [])])
 
@@ -263,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
         for blob in table.column("blob").to_pylist():
             n = int.from_bytes(blob[:8], "little")
             held.append(columns.load(blob[8 : 8 + n]))
-            data.append(columns.load(blob[8 + n :])[0].astype(np.uint8))
+            data.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + n :]), np.uint8))
         group, doc, lo, more = (np.concatenate(c) for c in zip(*held, strict=True))
         hashes = Rolling(np.concatenate(data)).every(length)
         sizes = more + length
@@ -306,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
             sizes = np.array([len(t) for t in raw], np.int64)
             base = np.cumsum(sizes) - sizes
             buffer = np.frombuffer(b"".join(raw), np.uint8)
-            change = np.zeros(len(buffer) + 1, np.int64)
+            change = np.zeros(len(buffer) + 1, np.int32)
             if whole:
                 a = anchors_of(raw, length)
                 mine, _ = _matches((ids[a.doc], a.at, a.span & np.uint64(0xFFFF)), tuple(whole))
@@ -335,8 +338,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
 
 
 def _slices(texts: pa.Table) -> Iterator[pa.Table]:
-    for k in range(0, texts.num_rows, 1000):
-        yield texts.slice(k, 1000)
+    for k in range(0, texts.num_rows, _ROWS):
+        yield texts.slice(k, _ROWS)
 
 
 #: Stands for a null doc_id, which no list of matches holds.
