@@ -6,11 +6,14 @@ is copied a thousand times costs as much as one.
 1. Order. Shingles are ordered by hash, frequent ones last. Frequent ones (in more than ``frequent`` sets among the first
    shingles of all sets; the ``MOST_FREQUENT`` most frequent) are a bounded table. The order changes the work, never the
    result.
-2. Index lists. Two sets above the threshold share one of their first n - ceil(t * n) + 1 shingles. These go to buckets
-   by hash; a bucket forms the lists. A list is sorted by set size and cut into blocks; a block is skipped where sizes,
-   or the shingles left after this position, cannot reach the overlap that is needed, and where it is already connected
-   with the other block. What remains says which sets must meet: clusters, the components of these candidates.
-3. Verification in cells. The sets of a cluster meet in one cell, those of a large cluster in cells of two blocks each.
+2. Index lists. Two sets above the threshold share at least l of their first n - ceil(t * n) + l shingles, for any l up
+   to the overlap that is needed; l grows with the set size n, so long texts are not compared for a few common phrases.
+   These shingles go to buckets by hash; a bucket forms the lists. Pairs of a list of at most ``SHORT`` sets are counted
+   over all lists. A longer list, of copies mostly, is sorted by set size and cut into blocks; a block is skipped where
+   sizes, or the shingles left after this position, cannot reach the overlap that is needed, and where it is already
+   connected with the other block. Pairs counted l times and sets of long lists are candidates; clusters are the
+   components of the candidates.
+3. Verification in cells, by the first 48 bits of the hashes. The sets of a cluster meet in one cell, those of a large cluster in cells of two blocks each.
    A cell computes the overlap of a set with all others from an index once, and derives those of a similar set from it
    by the lists of the few shingles in which the two differ. No pairs leave a cell, only each set's least linked set.
 4. Links of all cells are joined to components, and contents to documents.
@@ -38,11 +41,20 @@ from isoreach.session import materialise
 MOST_FREQUENT = 1_000_000
 _LIST_BLOCK = 64
 _BLOBS = "part long, kind int, blob binary"
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
+#: Lists of at most so many sets are taken pair by pair.
+SHORT = 8
+#: Bits of a shingle's hash that are compared inside a cell.
+_CELL_BITS = np.uint64(48)
+
+
+def shared_first(n: np.ndarray) -> np.ndarray:
+    """How many first shingles two sets must share; the smaller of theirs counts."""
+    return 1 + n // 50
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (percent * n + 99) // 100 + 1
+    return np.minimum(n, n - (percent * n + 99) // 100 + shared_first(n))
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -118,7 +130,8 @@ def _list_links(names: np.ndarray, n: np.ndarray, place: np.ndarray, percent: in
         return x
 
     order = np.argsort(n, kind="stable")
-    names, n, left = names[order], n[order], (n - place)[order]
+    # Of the first shared shingles, this one may be the last that must be shared.
+    names, n, left = names[order], n[order], (n - place + shared_first(n) - 1)[order]
     blocks = [slice(k, k + _LIST_BLOCK) for k in range(0, len(n), _LIST_BLOCK)]
     most_left = [int(left[b].max()) for b in blocks]
     keys = [[int(x) for x in names[b]] for b in blocks]
@@ -143,7 +156,9 @@ def _list_links(names: np.ndarray, n: np.ndarray, place: np.ndarray, percent: in
 
 
 def _candidates(docs: DataFrame, size: int, percent: int, often: np.ndarray, parts: int) -> DataFrame:
-    """Rows of two kinds: 0 for two names that may be linked (a, b), 1 for a document: doc_id a, name b, set size n."""
+    """Rows of three kinds. 1, a document: doc_id a, name b, set size n. 0, names a and b of a long list. 2, names a and b
+    that met in c short lists and must meet in n.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +204,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, often: np.ndarray, par
         out = []
         for blob in (b for b, k in zip(blobs, kinds, strict=True) if k == 1):
             ids, missing, name, n = columns.load(blob)
-            out.append(pa.table({"kind": pa.array(np.ones(len(ids), np.int32)), "a": pa.array(ids, mask=missing == 1), "b": pa.array(name), "n": pa.array(n)}))
+            out.append(pa.table({"kind": pa.array(np.ones(len(ids), np.int32)), "a": pa.array(ids, mask=missing == 1), "b": pa.array(name), "n": pa.array(n), "c": pa.array(n)}))
         sent = [columns.load(b) for b, k in zip(blobs, kinds, strict=True) if k == 0]
         if sent:
             shingle, name, n, place = (np.concatenate(c) for c in zip(*sent, strict=True))
@@ -200,19 +215,27 @@ def _candidates(docs: DataFrame, size: int, percent: int, often: np.ndarray, par
             first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             length = np.diff(np.append(first, len(shingle)))
             root: dict[int, int] = {}
-            two = first[length == 2]
-            least = overlap_needed(n[two], n[two + 1], percent)
-            two = two[np.minimum(n[two] - place[two], n[two + 1] - place[two + 1]) >= least]
-            pairs = np.unique(np.column_stack([name[two], name[two + 1]]), axis=0) if len(two) else np.zeros((0, 2), np.int64)
-            for a, m in zip(first[length > 2].tolist(), length[length > 2].tolist()):
+            for a, m in zip(first[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
                 _list_links(name[a : a + m], n[a : a + m], place[a : a + m], percent, root)
-            more = np.array([(x, y) for x, y in root.items() if x != y], np.int64).reshape(-1, 2)
-            both = np.concatenate([pairs, more])
-            out.append(pa.table({"kind": np.zeros(len(both), np.int32), "a": both[:, 0], "b": both[:, 1], "n": np.zeros(len(both), np.int64)}))
+            long = np.array([(x, y) for x, y in root.items() if x != y], np.int64).reshape(-1, 2)
+            out.append(pa.table({"kind": np.zeros(len(long), np.int32), "a": long[:, 0], "b": long[:, 1], "n": np.zeros(len(long), np.int64), "c": np.zeros(len(long), np.int64)}))
+            left, must = n - place, shared_first(n)
+            found = []
+            for m in range(2, SHORT + 1):
+                start = first[length == m]
+                for i in range(m):
+                    for j in range(i + 1, m):
+                        x, y = start + i, start + j
+                        need, share = overlap_needed(n[x], n[y], percent), np.minimum(must[x], must[y])
+                        can = np.minimum(left[x], left[y]) + share - 1 >= need
+                        x, y = x[can], y[can]
+                        found.append(np.column_stack([name[x], name[y], np.minimum(share, need)[can]]))
+            pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            out.append(pa.table({"kind": np.full(len(pairs), 2, np.int32), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "c": times.astype(np.int64)}))
         return pa.concat_tables(out)
 
     sent = docs.select("doc_id", "text").mapInArrow(postings, _BLOBS)
-    return materialise(sent.groupBy("part").applyInArrow(lists, "kind int, a long, b long, n long"), "candidates")
+    return materialise(sent.groupBy("part").applyInArrow(lists, "kind int, a long, b long, n long, c long"), "candidates")
 
 
 def cell_links(names: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +292,7 @@ def _verified(docs: DataFrame, needed: DataFrame, size: int, percent: int, block
             found = []
             for s, name, places in zip(_sets(rows, size), rows.column("name").to_pylist(), rows.column("places").to_pylist(), strict=True):
                 if name_of(s) == name:
-                    blob = columns.dump(s)
+                    blob = columns.dump(np.diff(s >> (np.uint64(64) - _CELL_BITS), prepend=np.uint64(0)))
                     found += [(p, name, blob) for p in places]
             if found:
                 place, name, blob = zip(*found, strict=True)
@@ -282,7 +305,7 @@ def _verified(docs: DataFrame, needed: DataFrame, size: int, percent: int, block
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
             rows = rows[np.append(True, np.diff(name[rows]) != 0)]
-            a, b = cell_links(name[rows], [columns.load(blobs[r])[0] for r in rows.tolist()], percent)
+            a, b = cell_links(name[rows], [np.cumsum(columns.load(blobs[r])[0]) for r in rows.tolist()], percent)
             out_a.append(a)
             out_b.append(b)
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
@@ -292,7 +315,7 @@ def _verified(docs: DataFrame, needed: DataFrame, size: int, percent: int, block
     return materialise(sets.groupBy("part").applyInArrow(verify, "a long, b long"), "links")
 
 
-def components(docs: DataFrame, size: int = 4, percent: int = 85, frequent: int = 30, block: int = 1024) -> DataFrame:
+def components(docs: DataFrame, size: int = 4, percent: int = 85, frequent: int = 8, block: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links)."""
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
@@ -301,7 +324,9 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, frequent: int
     often = _frequent(docs, size, percent, frequent, parts)
     found = _candidates(docs, size, percent, often, parts)
     named = found.filter("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("name"), "n")
-    clusters = connected(found.filter("kind = 0").select("a", "b")).withColumnRenamed("node", "name")
+    often_met = found.filter("kind = 2").groupBy("a", "b", "n").agg(F.sum("c").alias("c")).filter(F.col("c") >= F.col("n"))
+    near = found.filter("kind = 0").select("a", "b").unionByName(often_met.select("a", "b"))
+    clusters = connected(near).withColumnRenamed("node", "name")
     least = named.filter("doc_id IS NOT NULL AND n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     needed = materialise(least.join(clusters, "name").withColumnRenamed("component", "cluster"), "needed")
     sizes = materialise(needed.groupBy("cluster").agg(F.count("*").alias("members")), "cluster-sizes")
