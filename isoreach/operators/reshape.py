@@ -11,10 +11,6 @@ from isoreach.functions import naming
 from isoreach.session import materialise
 
 
-def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
-    return df.unpivot(ids, columns, name, value)
-
-
 def access_to_long(df: DataFrame, ids: list[str], value: str = "accessibility", pct: bool = False) -> DataFrame:
     """One row per measure column, its name split into ``service`` and ``time_cut``.
 

@@ -14,9 +14,8 @@ from isoreach.operators.joins import lookup_join
 from isoreach.operators.ordering import exact_quantiles, global_row_number
 from isoreach.operators.reshape import to_wide
 
-# Modes with their labels, and the rank that ends the large cities.
+# Modes, and the rank that ends the large cities.
 MODES = ("bicycle", "pt", "walk")
-MODE_LABELS = {"bicycle": "Bicycle", "pt": "Public transport", "walk": "Walk"}
 LARGE_CITIES = 25
 
 
@@ -33,10 +32,6 @@ def morning_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("time_of_day").isNull() | (F.col("time_of_day") == "am"))
 
 
-def with_nation(df: DataFrame, zone: str = "geo_code") -> DataFrame:
-    return df.withColumn("nation", text.first_letter(zone))
-
-
 def access_statistics(relative: DataFrame) -> DataFrame:
     """Mean, spread and quartiles of the morning's relative access by mode, service and cut."""
     return stats.distribution(morning_only(relative), ["mode", "service", "time_cut"], "accessibility", "access")
