@@ -159,8 +159,13 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400_000, group_bytes: int = 12 << 20) -> DataFrame:
-    """All columns of ``docs`` and: kept (binary, the bytes that stay), n_bytes, n_removed, n_spans."""
+def remove_repeats(
+    docs: DataFrame, length: int = 50, bucket_suffixes: int = 400_000, group_bytes: int = 12 << 20, as_texts: bool = False
+) -> DataFrame:
+    """All columns of ``docs`` and: kept (binary, the bytes that stay), n_bytes, n_removed, n_spans.
+
+    With ``as_texts`` the columns of ``docs`` only, as ``cut_texts`` describes them.
+    """
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
@@ -295,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
 
     names = [f.name for f in docs.schema.fields]
     extra = [T.StructField("kept", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]]
-    schema = T.StructType([*[f for f in docs.schema.fields], *extra])
+    schema = docs.schema if as_texts else T.StructType([*docs.schema.fields, *extra])
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         blobs = list(zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True))
@@ -324,14 +329,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_suffixes: int = 400
             first[base[sizes > 0]] = gone[base[sizes > 0]]
             n_spans = np.append(0, np.cumsum(first))
             kept = [buffer[x:y][~gone[x:y]].tobytes() for x, y in zip(base.tolist(), ends.tolist(), strict=True)]
-            values = [pa.array(kept, pa.binary()), pa.array(sizes), pa.array(total[ends] - total[base]), pa.array(n_spans[ends] - n_spans[base])]
-            chunk = rows.select(names).combine_chunks()
-            arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in chunk.columns]
-            out.append(pa.Table.from_arrays([*arrays, *values], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"]))
+            removed = total[ends] - total[base]
+            chunk = rows.select(names)
+            if as_texts:
+                out.append(_as_texts(chunk, kept, removed))
+                continue
+            for name, values in (("kept", pa.array(kept, pa.binary())), ("n_bytes", sizes), ("n_removed", removed), ("n_spans", n_spans[ends] - n_spans[base])):
+                chunk = chunk.append_column(name, pa.array(values))
+            out.append(chunk)
         if not out:
-            out = [texts.select(names).append_column("kept", pa.array([], pa.binary()))]
-            for n in ("n_bytes", "n_removed", "n_spans"):
-                out[0] = out[0].append_column(n, pa.array([], pa.int64()))
+            out = [texts.select(names)]
+            for name in [] if as_texts else ["kept", "n_bytes", "n_removed", "n_spans"]:
+                out[0] = out[0].append_column(name, pa.array([], pa.binary() if name == "kept" else pa.int64()))
         return pa.concat_tables(out)
 
     return grouped.cogroup(covers.groupBy("part")).applyInArrow(cut, schema)
@@ -413,19 +422,18 @@ def cut_texts(docs: DataFrame, length: int = 50, **params) -> DataFrame:
     A character that a cut has left in part is dropped. A text that is nothing but repeats goes with its row; one that
     was null or empty before stays.
     """
-    names = docs.columns
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = pa.array([n == 0 for n in batch.column("n_removed").to_pylist()])
-            kept = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-            own = batch.column("text")
-            text = pc.if_else(whole, own, pa.array(kept, own.type))
-            stays = pa.array([w or k != "" for w, k in zip(whole.to_pylist(), kept, strict=True)], pa.bool_())
-            columns_ = {n: batch.column(n) for n in names} | {"text": text}
-            if "n_chars" in columns_:
-                n = columns_["n_chars"]
-                columns_["n_chars"] = pc.if_else(whole, n, pa.array(list(map(len, kept)), n.type))
-            yield pa.RecordBatch.from_arrays(list(columns_.values()), names=names).filter(stays)
-
-    return remove_repeats(docs, length, **params).mapInArrow(finish, docs.schema)
+    return remove_repeats(docs, length, as_texts=True, **params)
+
+
+def _as_texts(rows: pa.Table, kept: list[bytes], removed: np.ndarray) -> pa.Table:
+    whole = pa.array(removed == 0)
+    text = [k.decode("utf-8", "ignore") for k in kept]
+    stays = pa.array((removed == 0) | np.array([t != "" for t in text], bool))
+    new = {"text": pa.array(text), "n_chars": pa.array(list(map(len, text)), pa.int64())}
+    for name, values in new.items():
+        if name in rows.column_names:
+            own = rows.column(name).combine_chunks()
+            own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
+            at = rows.column_names.index(name)
+            rows = rows.set_column(at, rows.schema.field(at), pc.if_else(whole, own, values.cast(own.type)))
+    return rows.filter(stays)

@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-_CACHE_PIECES = 800_000
+_CACHE_PIECES = 400_000
 _CACHE_LENGTH = 80
 #: Letters whose lower case and composition are the same for any library, and marks that are tokens of their own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")

@@ -121,8 +121,8 @@ def held_out(doc_id: Column) -> Column:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            yield batch.slice(k, 500).to_pylist()
+        for k in range(0, batch.num_rows, 250):
+            yield batch.slice(k, 250).to_pylist()
 
 
 def _supports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +259,10 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params)
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            clean = [_score(lexicon.curve, *_features(machine, words_of(t))) < threshold for t in texts]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for k in range(0, batch.num_rows, 250):
+                rows = batch.slice(k, 250)
+                texts = rows.column("text").to_pylist()
+                clean = [_score(lexicon.curve, *_features(machine, words_of(t))) < threshold for t in texts]
+                yield rows.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
