@@ -72,10 +72,6 @@ def _sets(rows: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return sets_of([t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()], size)
 
 
-def _row(part: int, kind: int, blob: bytes) -> tuple[int, int, bytes]:
-    return part, kind, blob
-
-
 def _out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
