@@ -41,7 +41,7 @@ from isoreach.session import materialise
 MOST_FREQUENT = 1_000_000
 _LIST_BLOCK = 64
 _BLOBS = "part long, kind int, blob binary"
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 #: Lists of at most so many sets are taken pair by pair.
 SHORT = 8
 #: Bits of a shingle's hash that are compared inside a cell.
@@ -97,7 +97,7 @@ def _frequent(docs: DataFrame, size: int, percent: int, frequent: int, parts: in
         for rows in _batches(batches):
             for s in _sets(rows, size):
                 if len(s):
-                    held.append(s[: 2 * int(prefix_size(np.int64(len(s)), percent))])
+                    held.append(s[: 2 * int(prefix_size(np.int64(len(s)), percent))].copy())
             if sum(map(len, held)) > 2 * _FLUSH:
                 yield flush()
                 held = []
@@ -181,7 +181,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, often: np.ndarray, par
                     if len(late):
                         is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         s = np.concatenate([s[~is_late], s[is_late]])
-                    first = s[: int(prefix_size(np.int64(n), percent))]
+                    first = s[: int(prefix_size(np.int64(n), percent))].copy()
                     held[name] = first, n
                     count += len(first)
             ids, names, ns = zip(*known, strict=True)

@@ -47,6 +47,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
                     [pa.array(same[0]), pa.array(starts), rows.column("doc_id").cast(pa.int64()), pa.array(lengths), pa.array(coded, pa.binary()), pa.array(same[1])],
                     names=["part", "start_in_part", "doc_id", "n_tokens", "ids", "width"],
                 )
+        coder.forget()
 
     schema = "part long, start_in_part long, doc_id long, n_tokens long, ids binary, width int"
     return materialise(docs.select("doc_id", "text").mapInArrow(ids_of, schema), "token-ids")

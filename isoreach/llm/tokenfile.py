@@ -126,6 +126,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, block_id
                         block, start, doc_ids, coded, size = block + 1, start + size, [], [], 0
         if coded:
             yield row()
+        coder.forget()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, BLOCKS).write.parquet(path)

@@ -32,9 +32,10 @@ class WordIds:
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.marks = {m: self._one(m) for m in ["", *".,;:!?|"]}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the caches; workers outlive a task and other operators need their memory."""
         self.known: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
@@ -81,7 +82,7 @@ class WordIds:
         """Ids of each text as little-endian bytes of ``dtype``."""
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > _CACHE_PIECES:
-            self._forget()
+            self.forget()
         known = self.known
         new = list(set(itertools.chain.from_iterable(pieces)).difference(known))
         self._add(new)
