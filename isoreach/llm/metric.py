@@ -9,7 +9,8 @@ product in double precision, and no other cell is needed for them.
 
 A cell of any size is cut into blocks of home vectors and blocks of all vectors, and each pair of blocks is a group of
 its own, so a label, a source or a copied vector that holds a third of all rows is spread out. No pairs leave a block:
-each home vector reports its number of links there and the least vector it is connected with.
+each home vector reports its number of links there, and every vector that is linked there, guests included, the least
+vector it is connected with, so that the stars of all blocks hold each link's connection.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components links with nothing, nor does
 one without a label; vectors of different lengths never link; a repeated vec_id counts once, by its least label and
@@ -138,7 +139,9 @@ def neighbours(embeddings: DataFrame, cosine: float = 0.93, cell: int = 4000, bl
             left.append(a_at[x + k])
             right.append(b_at[y])
         root = local_roots(len(names), np.concatenate(left), np.concatenate(right))
-        return pa.table({"vec_id": a_ids, "n": n, "root": names[root[a_at]]})
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        n = np.concatenate([n, np.zeros(len(moved), np.int64)])
+        return pa.table({"vec_id": np.concatenate([a_ids, names[moved]]), "n": n, "root": np.concatenate([names[root[a_at]], names[root[moved]]])})
 
     out = rows.unionByName(met).groupBy(*key, "i", "j").applyInArrow(compare, "vec_id long, n long, root long")
     out = materialise(out, "vector-links")

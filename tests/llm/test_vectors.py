@@ -55,6 +55,20 @@ def test_same_as_all_pairs(spark, params):
     assert rows(metric.neighbours(df, **params), *COLUMNS) == plain(given, params.get("cosine", 0.93))
 
 
+@pytest.mark.parametrize("params", [{"cell": 6, "block": 64}, {"cell": 1000, "block": 4}, {"cell": 8, "block": 3}])
+def test_chains_across_cells_and_blocks(spark, params):
+    rng = np.random.default_rng(7)
+    given = []
+    for label in range(6):  # each a chain of vectors that only link with their neighbours
+        at = np.deg2rad(20.0 * np.arange(10))
+        chain = np.zeros((10, 16), np.float32)
+        chain[:, label], chain[:, label + 1] = np.cos(at), np.sin(at)
+        given += [(v.tolist(), label % 3) for v in chain]
+    given = [(int(i), *g) for i, g in zip(rng.permutation(len(given)), given, strict=True)]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<float>, label int")
+    assert rows(metric.neighbours(df, **params), *COLUMNS) == plain(given)
+
+
 def test_repeated_and_missing_ids_and_empty(spark):
     schema = "vec_id long, embedding array<float>, label int"
     df = spark.createDataFrame([(1, [1.0, 0.0], 5), (1, [1.0, 0.0], 5), (None, [1.0, 0.0], 5), (2, [1.0, 0.01], 5)], schema)
