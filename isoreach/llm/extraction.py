@@ -9,7 +9,7 @@ What is main text. Where a page marks its article (``article`` or ``main``), onl
 headings there are never template parts, since copied articles recur as well, but other containers inside that recur and
 hold less than ``most_share`` of the article's text are deleted. Without such a mark it is the body. Elements that are no
 text by their tag, role, class or id (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) go everywhere.
+styles, reader comments) go everywhere; but a class or id alone never drops what holds the article or most of the text.
 
 Blocks: tags in ``INLINE`` do not end a block, ``br`` is white space, every other tag ends one. Character references are
 decoded, then white space inside a block becomes one blank.
@@ -53,7 +53,16 @@ _TOKEN = re.compile(
     r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?P<cut>\Z))|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words that may follow a mark in a name ("ad-slot", not "social-science"), and words that turn it into a layout's name.
+_HOLDERS = frozenset(
+    "area articles bar block body box button buttons container content count form header icon icons inner info item items "
+    "law link links list message outer panel policy posts section signup slot text thread title toggle top unit wrap wrapper".split()
+)
+_LAYOUT = frozenset("has hide no non not with without".split())
+#: Marks of parts that often consist of articles of their own.
+_ARTICLES = frozenset("comment comments related reply".split())
+#: All attributes one after the other, so that a name is never found inside a value.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -66,6 +75,7 @@ class Node:
     start: int
     end: int = -1
     hash: int = 0
+    marked: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -76,18 +86,65 @@ class Page:
     texts: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def _no_text(tag: str, attrs: str, inside_main: bool) -> bool:
+def _marks(value: str) -> set[str]:
+    """The marks that the names of a class or an id hold."""
+    found = set()
+    for name in value.split():
+        words = _WORD.findall(name)
+        last = max((k for k, w in enumerate(words) if w in _MARKS), default=-1)
+        if last >= 0 and _HOLDERS.issuperset(words[last + 1 :]) and _LAYOUT.isdisjoint(words[:last]):
+            found |= _MARKS.intersection(words)
+    return found
+
+
+def _no_text(tag: str, attrs: str, inside_main: bool) -> tuple[bool, frozenset[str]]:
+    """Whether the element is no text by its tag, role or a hidden attribute, and the marks of its class and id."""
     if tag in NO_TEXT or tag == "header" and not inside_main:
-        return True
+        return True, frozenset()
     if tag in ("html", "body", *MAIN) or not attrs.strip():
-        return False
+        return False, frozenset()
+    marks = set()
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and not _MARKS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return True, frozenset()
+        if name in ("class", "id"):
+            marks |= _marks(value)
+    return False, frozenset(marks)
+
+
+def _drop_marked(page: Page) -> None:
+    """Drops the elements whose class or id marks them, except those that hold the article or most of the text."""
+    nodes = page.nodes
+    if not any(n.marked for n in nodes):
+        return
+    size, holds, under = [0] * len(nodes), [n.main and n.tag in MAIN for n in nodes], [False] * len(nodes)
+    total = 0
+    for k, _, text in page.texts:
+        if k < 0 or not nodes[k].drop:
+            total += len(text)
+            if k >= 0:
+                size[k] += len(text)
+    for k in range(len(nodes) - 1, -1, -1):
+        if nodes[k].parent >= 0:
+            size[nodes[k].parent] += size[k]
+            holds[nodes[k].parent] |= holds[k]
+    for k, node in enumerate(nodes):
+        under[k] = bool(node.marked) or node.parent >= 0 and under[node.parent]
+    elsewhere = any(n.main and n.tag in MAIN and not under[k] for k, n in enumerate(nodes))
+    within = [total] * len(nodes)  # text of the article around, else of the page
+    for k, node in enumerate(nodes):
+        if node.parent >= 0:
+            above = nodes[node.parent]
+            within[k] = size[node.parent] if above.tag in MAIN and above.main else within[node.parent]
+            node.drop |= above.drop
+        if node.marked and not node.drop:
+            most = 2 * size[k] >= within[k] > 0
+            if node.main:
+                node.drop = not most
+            else:
+                node.drop = not (holds[k] and not node.marked & _ARTICLES or most and not elsewhere)
+        node.main &= not node.drop or node.parent >= 0 and nodes[node.parent].main
 
 
 def parse(source: str) -> Page:
@@ -142,11 +199,13 @@ def parse(source: str) -> Page:
                     break
         above = nodes[stack[-1]] if stack else None
         inside = above is not None and above.main
-        drop = (above is not None and above.drop) or _no_text(tag, m["attrs"], inside)
-        nodes.append(Node(tag, stack[-1] if stack else -1, drop, inside or tag in MAIN and not drop, len(said)))
+        drop, marked = _no_text(tag, m["attrs"], inside)
+        drop |= above is not None and above.drop
+        nodes.append(Node(tag, stack[-1] if stack else -1, drop, inside or tag in MAIN and not drop, len(said), marked=marked))
         stack.append(len(nodes) - 1)
         said.append(f"<{tag}>")
     close(0)
+    _drop_marked(page)
     holds_main = set()
     for k, node in enumerate(nodes):
         if node.tag in MAIN and node.main:

@@ -29,6 +29,27 @@ def test_article_only(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.collect())
 
 
+def test_attributes_are_read_one_by_one(spark):
+    article = "<article><h1>Title</h1><p>Some text of the article</p></article>"
+    whole = "Title Some text of the article"
+    attrs = [
+        'style="overflow:hidden"', 'data-href="/the-hidden-valley"', 'data-title="hidden gems"', 'data-href="/x?id=comment"',
+        'class="no-sidebar post"', 'class="entry social-science"', 'class="has-widget"', 'class="sidebar"', 'id=nav data-x', "title='role=alert'",
+    ]
+    given = [(i, f"http://h{i}.org/", f"<body><div {a}>{article}</div><p>Outside</p></body>") for i, a in enumerate(attrs)]
+    gone = ["hidden", 'a="b" HIDDEN', "aria-hidden='true'", "role=dialog"]
+    given += [(100 + i, f"http://g{i}.org/", f"<body><div {a}>Box</div><p>Plain text of the page</p></body>") for i, a in enumerate(gone)]
+    gone = ["class='x ad-slot'", "id='site-footer'", "class=cookie-notice", "class='share-buttons'"]
+    given += [(200 + i, f"http://k{i}.org/", f"<body><div {a}>Box</div><p>Plain text of the page</p></body>") for i, a in enumerate(gone)]
+    given += [(300, "http://c.org/", f"<body>{article}<div id=comments><article>A very long comment, longer than all else here</article></div></body>")]
+    given += [(301, "http://d.org/", "<body><div class='widget'>All the text of a page</div><p>Foot</p></body>")]
+    given += [(302, "http://e.org/", "<main><div class='social'><p>All the text of an article</p><div class='promo'>Buy</div></div></main>")]
+    got = texts(extraction.extract(pages(spark, given)))
+    assert [got[i] for i in range(len(attrs))] == [whole] * len(attrs)
+    assert {got[k] for k in got if 100 <= k < 300} == {"Plain text of the page"}
+    assert [got[k] for k in (300, 301, 302)] == [whole, "All the text of a page Foot", "All the text of an article"]
+
+
 def test_parts_that_recur_on_a_host_go(spark):
     page = "<body><div class=top>Welcome <i>here</i></div><div><p>Text {0}</p><p>Same line</p></div><div>Until {0}</div></body>"
     given = [(i, f"http://one.org/{i}", page.format(i)) for i in range(4)] + [(9, "http://two.org/", page.format(9))]
