@@ -1,13 +1,17 @@
 """Main text of web pages: site templates are found by counting element subtrees per host and are then deleted.
 
-First pass: each page is parsed and every element subtree gets a hash of its tags and text. (host, hash) pairs are
-counted once a page, before and after the shuffle. A subtree on at least ``min_pages`` pages of its host is a template
-part. Second pass: the template hashes of a page come back to it by page_id, those subtrees are deleted, and the text of
-what is left is joined.
+First pass: each page is parsed and every element subtree gets a hash of its tags and text, and a key of the main text
+around it. A subtree with ``min_pages`` different keys on its host, and with as many as ``least_share`` of the host's
+different texts, is a template part: copies of a page have one key, however many they are. Distinct (host, hash, key)
+are counted before and after the shuffle. Second pass: the template hashes of a page come back to it by page_id, those
+subtrees are deleted, and the text of what is left is joined.
 
 What is main text. Where a page marks its article (``article`` or ``main``), only text inside counts; paragraphs and
-headings there are never template parts, since copied articles recur as well, but other containers inside that recur and
-hold less than ``most_share`` of the article's text are deleted. Without such a mark it is the body. Elements that are no
+headings there are never template parts, since copied articles recur as well. Other containers inside (lists, tables,
+sections, ...) are deleted when they hold less than ``most_share`` of the article's text and when also the first and the
+longest block of the article outside of them have enough different keys, so that neither copies nor near copies lose a
+part. Only labels (a ``div`` of up to ``_LABEL`` characters without a sentence, such as "Read on") go with copies, too,
+where they stand on half of the host's pages. Without such a mark main text is the body. Elements that are no
 text by their tag, role, class or id (menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) go everywhere; but a class or id alone never drops what holds the article or most of the text.
 
@@ -15,7 +19,8 @@ Blocks: tags in ``INLINE`` do not end a block, ``br`` is white space, every othe
 decoded, then white space inside a block becomes one blank.
 
 Defined results: null or empty html has an empty text, never null; broken markup is read as far as it goes (unclosed
-elements end with their parent, a tag cut off at the end is dropped); a null url has an empty host; rows that share a
+elements end with their parent, a tag cut off at the end is dropped); pages without a host are no site, so counting finds
+nothing on them; rows that share a
 page_id are pages of their own and know each other's template parts; a null page_id keeps parts that only counting finds.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm.reputation import host_of
+from isoreach.session import materialise
 
 #: Fixed names of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -63,6 +70,9 @@ _LAYOUT = frozenset("has hide no non not with without".split())
 _ARTICLES = frozenset("comment comments related reply".split())
 #: All attributes one after the other, so that a name is never found inside a value.
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+#: Most characters of a label, and what ends a sentence.
+_LABEL = 20
+_SENTENCE = re.compile(r"[.!?;:。！？]")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -80,10 +90,11 @@ class Node:
 
 @dataclass
 class Page:
-    """Elements in order, and the text pieces: (element, block number, text)."""
+    """Elements in order, the text pieces (element, block number, text), and the place of each piece among all tokens."""
 
     nodes: list[Node] = field(default_factory=list)
     texts: list[tuple[int, int, str]] = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
 
 
 def _marks(value: str) -> set[str]:
@@ -166,6 +177,7 @@ def parse(source: str) -> Page:
                 page.texts.append((stack[-1], block, text))
             else:
                 page.texts.append((-1, block, text))
+            page.places.append(len(said))
             said.append(" ".join(text.split()))
             continue
         if m["tag"] is None or m["cut"] is not None:
@@ -181,6 +193,7 @@ def parse(source: str) -> Page:
             continue
         if tag == "br":
             page.texts.append((stack[-1] if stack else -1, block, " "))
+            page.places.append(len(said))
         if tag in VOID:
             continue
         if tag in CLOSES_P:
@@ -216,10 +229,59 @@ def parse(source: str) -> Page:
         # The frame of the page, the article itself and its paragraphs are never template parts.
         if node.tag in ("html", "body") or k in holds_main or node.main and node.tag in KEPT_BLOCKS | INLINE:
             continue
-        node.hash = xxhash.xxh64_intdigest("\0".join(said[node.start : node.end])) - (1 << 63)
+        # Inside an article a subtree is counted for itself, since more is asked of it.
+        node.hash = xxhash.xxh64_intdigest("\0".join(said[node.start : node.end]), seed=int(node.main)) - (1 << 63)
     return page
 
 
+def evidence(page: Page, most_share: float = 0.3) -> list[tuple[int, int, int]]:
+    """(hash, kind, key) of each different subtree; hash 0 is the page itself.
+
+    The key is of the main text outside the subtree (kind 0), in an article also of the first (1) and the longest (2)
+    block outside; kind 3 marks labels of an article, where they hold less than ``most_share`` of its text together.
+    """
+    nodes = page.nodes
+    has_main = any(n.main for n in nodes)
+    spots, sums, blocks = [], [0], {}
+    for place, (k, block, text) in zip(page.places, page.texts, strict=True):
+        if has_main if k < 0 else nodes[k].drop or has_main and not nodes[k].main:
+            continue
+        said = " ".join(text.split())
+        if said:
+            spots.append(place)
+            sums.append(sums[-1] + xxhash.xxh64_intdigest(said))
+            blocks.setdefault(block, (place, []))[1].append(said)
+    key = lambda x: (x & 0xFFFFFFFF) - (1 << 31)
+    out = {(0, 0): key(sums[-1])}
+    starts, ranked, before, after, labels = [], [], [], [], []
+    if any(n.hash and n.main for n in nodes):
+        starts = [place for place, _ in blocks.values()]
+        ranked = [(len(t), xxhash.xxh64_intdigest(t)) for t in (" ".join(parts) for _, parts in blocks.values())]
+        before, after = [(0, 0)], [(0, 0)]  # the longest block of the first k, and of the last k
+        for r in ranked:
+            before.append(max(before[-1], r))
+        for r in reversed(ranked):
+            after.append(max(after[-1], r))
+    parents = {n.parent for n in nodes}
+    for k, node in enumerate(nodes):
+        if not node.hash or (node.hash, 0) in out:
+            continue
+        a, b = bisect_left(spots, node.start), bisect_left(spots, node.end)
+        out[node.hash, 0] = key(sums[-1] - sums[b] + sums[a])
+        if node.main:
+            i, j = bisect_left(starts, node.start), bisect_left(starts, node.end)
+            first = ranked[0] if i > 0 else ranked[j] if j < len(ranked) else (0, 0)
+            out[node.hash, 1] = key(first[1])
+            out[node.hash, 2] = key(max(before[i], after[len(ranked) - j])[1])
+            text = " ".join(t for _, parts in list(blocks.values())[i:j] for t in parts) if node.tag == "div" and k not in parents else ""
+            if 0 < len(text) <= _LABEL and not _SENTENCE.search(text):
+                labels.append((node.hash, len(text)))
+    # Short divs that make up the article are its text.
+    if sum(n for _, n in labels) < most_share * sum(n for n, _ in ranked):
+        out |= {(h, 3): 0 for h, _ in labels}
+    return [(h, kind, x) for (h, kind), x in out.items()]
+
+
 def main_text(page: Page, template: frozenset[int] | set[int], most_share: float = 0.3) -> str:
     """The text without template parts; blocks joined by a blank."""
     nodes = page.nodes
@@ -249,24 +311,36 @@ def main_text(page: Page, template: frozenset[int] | set[int], most_share: float
     return " ".join(line for line in lines if line)
 
 
-def extract(pages: DataFrame, min_pages: int = 3, most_share: float = 0.3) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, most_share: float = 0.3, least_share: float = 0.02) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_template (deleted subtrees that counting found)."""
     own = pages.select("page_id", "url", "html")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hosts, hashes = [], [], []
+            ids, hosts, hashes, kinds, keys = [], [], [], [], []
             for row in batch.to_pylist():
-                for h in {n.hash for n in parse(row["html"] or "").nodes if n.hash}:
+                for h, kind, key in evidence(parse(row["html"] or ""), most_share):
                     ids.append(row["page_id"])
                     hosts.append(row["host"])
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["page_id", "host", "hash"])
-
-    hosted = own.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    found = hosted.mapInArrow(subtrees, "page_id long, host string, hash long")
-    counted = found.groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
-    mine = found.filter("page_id IS NOT NULL").join(counted.select("host", "hash"), ["host", "hash"])
+                    kinds.append(kind)
+                    keys.append(key)
+            arrays = [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(kinds, pa.int8()), pa.array(keys, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "host", "hash", "kind", "key"])
+
+    hosted = own.select("page_id", host_of(F.col("url")).alias("host"), "html").filter("host <> ''")
+    found = hosted.mapInArrow(subtrees, "page_id long, host string, hash long, kind byte, key int")
+    counted = found.groupBy("host", "hash", "kind", "key").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("host", "hash", "kind").agg(F.count("*").alias("keys"), F.sum("n").alias("pages"))
+    counted = counted.groupBy("host", "hash").agg(
+        F.min(F.when(F.col("kind") < 3, F.col("keys"))).alias("keys"), F.max("pages").alias("pages"), F.max("kind").alias("kind")
+    )
+    counted = materialise(counted.filter((F.col("pages") >= min_pages) | (F.col("hash") == 0)), "subtree-counts")
+    hosts = counted.filter("hash = 0").select("host", F.col("keys").alias("host_keys"), F.col("pages").alias("host_pages"))
+    recurs = F.col("keys") >= F.greatest(F.lit(min_pages), F.col("host_keys") * least_share)
+    label = (F.col("kind") == 3) & (2 * F.col("pages") >= F.col("host_pages"))
+    counted = counted.filter("hash <> 0").join(hosts, "host").filter(recurs | label)
+    mine = found.filter("page_id IS NOT NULL AND hash <> 0 AND kind = 0").join(counted.select("host", "hash"), ["host", "hash"])
     mine = mine.groupBy("page_id").agg(F.collect_set("hash").alias("hashes"))
     known = "page_id long, url string, text string, n_chars long, n_template int"
 

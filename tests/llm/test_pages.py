@@ -64,6 +64,32 @@ def test_article_copies_stay_and_recurring_containers_in_them_go(spark):
     assert set(got.values()) == {"Copied text that is long enough to matter"}
 
 
+def test_copies_keep_their_parts(spark):
+    lists = "<h1>Heading</h1><p>A paragraph that holds most of the words of this article</p><ul><li>one<li>two</ul><table><tr><td>cell</table><section>Part</section>"
+    whole = "Heading A paragraph that holds most of the words of this article one two cell Part"
+    given = [(i, "http://a.org/", f"<body><nav>{i}</nav><p>Seen {i}</p><article>{lists}</article></body>") for i in range(4)]
+    given += [(10 + i, "http://b.org/", f"<article>{lists}<p>Changed {i}</p></article>") for i in range(4)]  # near copies
+    parts = "".join(f"<div>Part {k} of the text</div>" for k in range(5))
+    given += [(20 + i, "http://c.org/", f"<main>{parts}</main>") for i in range(4)]
+    given += [(30 + i, "http://d.org/", "<body><div><h1>No</h1><p>mark</p></div></body>") for i in range(4)]
+    given += [(40 + i, None, f"<body><p>Same</p><p>Own {i}</p></body>") for i in range(4)]
+    got = texts(extraction.extract(pages(spark, given)))
+    for i in range(4):
+        assert got[i] == whole
+        assert got[10 + i] == f"{whole} Changed {i}"
+        assert got[20 + i] == " ".join(f"Part {k} of the text" for k in range(5))
+        assert got[30 + i] == "No mark"
+        assert got[40 + i] == f"Same Own {i}"
+
+
+def test_parts_of_different_articles_go_by_their_share_of_the_host(spark):
+    page = "<article><h1>Title {0}</h1><p>Paragraph {0} is longer than all other parts</p><ul><li>More<li>stories</ul>{1}</article>"
+    given = [(i, "http://a.org/", page.format(i, "<table><tr><td>rare</table>" if i < 4 else "")) for i in range(300)]
+    got = texts(extraction.extract(pages(spark, given)))
+    assert got[9] == "Title 9 Paragraph 9 is longer than all other parts"
+    assert got[1] == "Title 1 Paragraph 1 is longer than all other parts rare"  # four of 300 pages
+
+
 def test_broken_markup(spark):
     odd = ["<", "<p", "a < b", "<p>a</div></p>b", "<b>a<p>b</b>c", "<script>x", "<!-- x", "&lt;p&gt; &#65;&#x42; &nbsp;z", "<p a='<>'>q", "x" * 200_000]
     got = texts(extraction.extract(pages(spark, list((i, "u", h) for i, h in enumerate(odd)))))
