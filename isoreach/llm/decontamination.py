@@ -3,14 +3,16 @@
 A text is lower-cased and split into tokens (runs of letters and digits). A seed hashes the tokens of an eight-token
 window that a mask keeps and ignores the others, so a substituted token at an ignored place does not hide a match. The
 two masks together find every aligned stretch of 13 tokens with up to two substitutions (tests try all of them).
+Items of fewer than 13 tokens have seeds of their own: all runs of so many tokens as any allowed laying leaves agreeing
+side by side (the whole item below 6 tokens). The texts get seeds of these lengths only if the benchmark has such items.
 Seeds of the training texts meet the seeds of the benchmark by an equi-join; around each hit the item is laid over the
 text and the tokens that agree are counted in every stretch of ``stretch`` tokens (the whole item if it is shorter).
 
 Documents are never shuffled: the benchmark's seeds are broadcast, and where they are more than ``broadcast_seeds`` they
 are cut into hashed slices of at most about that size, each broadcast on its own pass over the documents.
 
-Defined results: null and empty texts, and texts or items shorter than a window, match nothing; items with the same
-tokens are all reported; repeated rows of a document give the same rows again, merged by doc_id.
+Defined results: null and empty texts and items match nothing; an item of one token is in every text that has the token;
+items with the same tokens are all reported; repeated rows of a document give the same rows again, merged by doc_id.
 """
 
 from __future__ import annotations
@@ -32,6 +34,23 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+#: Items of fewer tokens have seeds of runs.
+SHORT = 13
+
+
+def run_length(n: int, stretch: int, substitutions: int) -> int:
+    """Tokens that agree side by side in any accepted laying of an item of ``n`` tokens."""
+    width = min(n, stretch)
+    allowed = min(substitutions, width // 6)
+    return -(-(width - allowed) // (allowed + 1))
+
+
+def runs_of(words: Column, length: int) -> Column:
+    """A seed for each place of a token array, the last ones of shorter runs."""
+    hashed = lambda i: F.xxhash64(F.lit(100 + length), *[F.get(words, i + o) for o in range(length)])
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.size(words) - 1), hashed)).otherwise(F.array().cast("array<bigint>"))
+
+
 def seeds_of(words: Column) -> Column:
     """All seeds of a token array, mask by mask and place by place."""
     places = F.sequence(F.lit(1), F.size(words) - (SPAN - 1))
@@ -65,9 +84,16 @@ def overlaps(
     (agreeing tokens of the best laying), n_item (tokens of the item).
     """
     items = benchmark.select("item_id", tokens_of(F.col("text")).alias("item"))
-    items = items.filter(F.size("item") >= SPAN).groupBy("item").agg(F.collect_set("item_id").alias("item_ids"))
-    places = F.size("item") - (SPAN - 1)
-    items = items.select("item", "item_ids", seeds_of(F.col("item")).alias("seeds"))
+    items = items.filter(F.size("item") > 0).groupBy("item").agg(F.collect_set("item_id").alias("item_ids"))
+    sizes = items.filter(F.size("item") < SHORT).select(F.size("item").alias("n")).distinct().collect()
+    lengths = {r["n"]: run_length(r["n"], stretch, substitutions) for r in sizes}
+    runs = sorted(set(lengths.values()))
+    seeds, places = seeds_of(F.col("item")), F.size("item") - (SPAN - 1)
+    for n, run in lengths.items():
+        short = F.size("item") == n
+        seeds = F.when(short, F.slice(runs_of(F.col("item"), run), 1, n - run + 1)).otherwise(seeds)
+        places = F.when(short, F.lit(n)).otherwise(places)
+    items = items.select("item", "item_ids", seeds.alias("seeds"))
     items = items.select("item", "item_ids", F.posexplode_outer("seeds").alias("at", "seed"))
     items = materialise(
         items.select("seed", (F.col("at") % places).cast("int").alias("item_at"), "item", "item_ids"), "benchmark-seeds"
@@ -75,14 +101,19 @@ def overlaps(
     n_seeds = items.count()
     slices = max(1, math.ceil(n_seeds / broadcast_seeds))
     texts = docs.select("doc_id", tokens_of(F.col("text")).alias("words"))
-    texts = texts.select("doc_id", "words", seeds_of(F.col("words")).alias("seeds"))
+    all_seeds = [seeds_of(F.col("words")), *[runs_of(F.col("words"), run) for run in runs]]
+    texts = texts.select("doc_id", "words", (F.concat(*all_seeds) if runs else all_seeds[0]).alias("seeds"))
     # Outer: from an inner one the optimizer derives a filter on the array, which would split the text for every seed.
     texts = texts.select("doc_id", "words", F.posexplode_outer("seeds").alias("at", "seed"))
     found = []
     for k in range(slices):
         part = items if slices == 1 else items.filter(F.pmod(F.xxhash64(F.lit(7), "seed"), F.lit(slices)) == k)
         hits = texts.join(F.broadcast(part), "seed")
-        place = (F.col("at") % (F.size("words") - (SPAN - 1))).cast("int")
+        windows = F.size("words") - (SPAN - 1)
+        place = (F.col("at") % windows).cast("int")
+        if runs:
+            masked = len(MASKS) * F.greatest(windows, F.lit(0))
+            place = F.when(F.col("at") < masked, place).otherwise(((F.col("at") - masked) % F.size("words")).cast("int"))
         shift = place - F.col("item_at")
         # The one-element generator keeps this, and the filter below, out of the join's condition.
         same = F.explode_outer(F.array(_agreeing(F.col("words"), F.col("item"), shift)))

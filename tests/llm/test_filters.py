@@ -41,6 +41,25 @@ def test_overlaps(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 5, 6, 7, 8]
 
 
+def test_items_of_all_short_lengths(spark):
+    """Every allowed set of substitutions of items of 1 to 13 tokens is found, one more is not."""
+    docs, items, want = [], [], set()
+    for n in range(1, 14):
+        item = words(n, f"n{n}x")
+        items.append((n, " ".join(item)))
+        allowed = min(2, n // 6)
+        for k in range(min(allowed + 2, n + 1)):
+            for gone in itertools.combinations(range(n), k):
+                text = " ".join("Q" if j in gone else w for j, w in enumerate(item))
+                for around in (text, f"a b c d {text} e f"):
+                    docs.append((len(docs), around))
+                    if k <= allowed:
+                        want.add((len(docs) - 1, n))
+    found = decontamination.overlaps(documents(spark, docs), benchmark(spark, items))
+    assert {tuple(r) for r in found.select("doc_id", "item_id").collect()} == want
+    assert {r["first_token"] for r in found.filter("item_id < 8").collect()} == {0, 4}
+
+
 def test_slices_of_seeds_find_the_same(spark):
     docs, items = copies(2, 60), [(i, t) for i, t in copies(2, 60)[:9]]
     whole = rows(decontamination.overlaps(documents(spark, docs), benchmark(spark, items)), "doc_id", "item_id", "n_matched")
