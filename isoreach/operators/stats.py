@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from isoreach.operators.joins import null_safe_join
 from isoreach.operators.ordering import exact_quantiles
@@ -34,11 +33,12 @@ def totals_long(df: DataFrame, columns: Sequence[str], name: str, value: str) ->
 def share_of_total(df: DataFrame, key: Column, key_name: str, value: str, total_name: str, share_name: str) -> DataFrame:
     """Sum per key and its part of the grand total.
 
-    The grand total is a window over the grouped rows, so the input is read once.
+    The grouped rows are stored, so the input is read once; their total, one row, is broadcast to them.
     """
-    grouped = df.groupBy(key.alias(key_name)).agg(F.sum(value).alias(total_name))
-    grand = F.sum(total_name).over(Window.partitionBy())
-    return grouped.withColumn(share_name, F.try_divide(F.col(total_name).cast("double"), grand.cast("double")))
+    grouped = materialise(df.groupBy(key.alias(key_name)).agg(F.sum(value).alias(total_name)), "totals")
+    grand = grouped.agg(F.sum(total_name).cast("double").alias("__grand"))
+    share = F.try_divide(F.col(total_name).cast("double"), F.col("__grand"))
+    return grouped.crossJoin(F.broadcast(grand)).select(key_name, total_name, share.alias(share_name))
 
 
 def most_frequent(df: DataFrame, column: str, k: int, name: str = "n") -> DataFrame:

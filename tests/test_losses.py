@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial as sp
+from isoreach.operators import stats
 from isoreach.plans import analysis, metrics, services
 from isoreach.schemas import schema
 from isoreach.session import scratch_path
@@ -124,3 +125,13 @@ def test_matrix_writer_keeps_pairs_without_a_time(spark):
     path = scratch_path(spark, "matrix")
     sinks.write_matrix(matrix.withColumn("travel_time", F.when(F.col("to_id") == 1, F.col("travel_time"))), path, 2)
     assert sorted(r["travel_time"] or 0 for r in spark.read.parquet(path).collect()) == [0, 8]
+
+
+def test_share_of_total_keeps_groups_spread(spark):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 7 AS double) AS v")
+    got = stats.share_of_total(df, F.col("id"), "id", "v", "total", "share")
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["id", "total", "share"] and got.count() == 1000
+    total = sum(i % 7 for i in range(1000))
+    assert all(abs(r["share"] - (r["id"] % 7) / total) < 1e-12 for r in got.collect())
+    assert stats.share_of_total(df.limit(0), F.col("id"), "id", "v", "total", "share").count() == 0
