@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoreach.llm import counting, decontamination, extraction, jaccard, metric, packing, reputation, secret_scan, suffixes, tokenfile, toxicity
+from isoreach.llm import counting, decontamination, extraction, jaccard, metric, packing, reputation, secret_scan, suffixes, tokenfile, toxicity, vector_codes
 from isoreach.session import scratch_path
 
 
@@ -66,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(table(spark, sf_dir, "documents")))
 
@@ -81,5 +85,6 @@ ENTRIES = {
     "op8_packing": (op8_packing, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_decontamination": (op10_decontamination, None),
+    "op11_vector_codes": (op11_vector_codes, vector_codes.compress_sql()),
     "op12_secret_scan": (op12_secret_scan, None),
 }
