@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isoreach.llm import counting, decontamination, extraction, jaccard, metric, packing, reputation, secret_scan, suffixes, tokenfile, toxicity, vector_codes
+from isoreach.llm import counting, decontamination, extraction, jaccard, metric, packing, reputation, secret_scan, suffixes, tokenfile, toxicity, vector_codes, whitening
 from isoreach.session import scratch_path
 
 
@@ -74,6 +74,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(table(spark, sf_dir, "documents")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no 64-bit number holds (from some 700,000 distinct vectors on) is null here; the operator has it."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 ENTRIES = {
     "op1_extraction": (op1_extraction, None),
     "op2_reputation": (op2_reputation, reputation.judge_sql()),
@@ -87,4 +93,5 @@ ENTRIES = {
     "op10_decontamination": (op10_decontamination, None),
     "op11_vector_codes": (op11_vector_codes, vector_codes.compress_sql()),
     "op12_secret_scan": (op12_secret_scan, None),
+    "op13_whitening": (op13_whitening, None),
 }
