@@ -94,6 +94,10 @@ VIEWS: dict[str, str] = {
                      CAST((p_partkey * 15485863) % 500 AS DOUBLE) * 1000 + 500 AS xc,
                      CAST((p_partkey * 32452843) % 500 AS DOUBLE) * 1000 + 300 AS yc,
                      CAST(p_size AS DOUBLE) * 40 AS side FROM {part}) t""",
+    "f_lozenge": """
+        SELECT p_partkey AS id, CAST((p_partkey * 15485863) % 500 AS DOUBLE) * 1000 + 500 AS xc,
+               CAST((p_partkey * 32452843) % 500 AS DOUBLE) * 1000 + 300 AS yc,
+               CAST(p_size AS DOUBLE) * 400 AS a, CAST(p_size AS DOUBLE) * 200 AS b FROM {part}""",
     "f_access": """
         SELECT id * 10 + 1 AS access_id, id AS ref_to_greenspace_site, xa AS x, (ya + yb) / 2 AS y
         FROM f_site WHERE id % 3 <> 0""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isoreach import fixtures as fx
 from isoreach.functions import geodesy
+from isoreach.operators import arrangement as ar
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial as sp
 from isoreach.plans import greenspace
@@ -93,12 +94,71 @@ def k03(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "K04_within_10m",
+    "K03_outline",
     fx.duck_sql(
-        f"""SELECT p.id, z.zone_id FROM (SELECT id, x + (id % 5 - 2) * 5 AS x, y + (id % 3) * 5 AS y FROM f_point) p
-            LEFT JOIN f_zonepoly z ON {DX} * {DX} + {DY} * {DY} <= 100"""
+        """SELECT 1 AS ring_id, CAST(i AS INTEGER) AS seq, CASE WHEN i IN (1, 4) THEN xa ELSE xb END AS x1, CASE WHEN i < 3 THEN ya ELSE yb END AS y1,
+                  CASE WHEN i IN (3, 4) THEN xa ELSE xb END AS x2, CASE WHEN i IN (1, 4) THEN ya ELSE yb END AS y2
+           FROM (SELECT MIN(xa) AS xa, MIN(ya) AS ya, MAX(xb) AS xb, MAX(yb) AS yb FROM f_zonepoly) t, range(1, 5) r(i)"""
     ),
 )
+def k03_outline(spark, sf_dir):
+    """The country's outline, dissolved from its zones."""
+    return ar.outlines(zones(spark, sf_dir)).select("ring_id", "seq", "x1", "y1", "x2", "y2")
+
+
+# Between neighbouring sides of sites, what is covered is a set of intervals.
+SLABS = {
+    "cuts": "SELECT function_, xa AS x FROM f_site UNION SELECT function_, xb FROM f_site",
+    "slabs": "SELECT function_, x, LEAD(x) OVER (PARTITION BY function_ ORDER BY x) AS to_x FROM cuts",
+    "spans": """SELECT c.function_, c.x, c.to_x, s.ya, s.yb,
+                       MAX(s.yb) OVER (PARTITION BY c.function_, c.x ORDER BY s.ya, s.yb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+                FROM slabs c JOIN f_site s ON s.function_ = c.function_ AND s.xa <= c.x AND s.xb >= c.to_x""",
+}
+
+
+@REGISTRY.add(
+    "K03_union_area",
+    fx.duck_sql(
+        "SELECT function_, ROUND(SUM((to_x - x) * GREATEST(yb - GREATEST(ya, COALESCE(reached, ya)), 0)), 2) AS area FROM spans GROUP BY 1",
+        SLABS,
+    ),
+)
+def k03_union(spark, sf_dir):
+    """Land covered by the sites of a kind, where sites overlap."""
+    kinds = fx.view(spark, sf_dir, "f_site").select(F.col("id").alias("poly_id"), "function_")
+    outline = ar.outlines(sites(spark, sf_dir).join(kinds, "poly_id"), "function_")
+    found = g.areas(outline.withColumnRenamed("function_", "poly_id"))
+    return found.select(F.col("poly_id").alias("function_"), F.round("area", 2).alias("area"))
+
+
+@REGISTRY.add(
+    "K04_buffer",
+    fx.duck_sql("SELECT id, ROUND((xb - xa) * (xb - xa) + 40 * (xb - xa) + 6000 * SIN(PI() / 60), 4) AS area FROM f_site"),
+)
+def k04_buffer(spark, sf_dir):
+    """Areas of the sites grown by 10 m, 30 pieces to a quarter circle."""
+    grown = g.areas(ar.buffers(sites(spark, sf_dir), 10.0))
+    return grown.select(F.col("poly_id").alias("id"), F.round("area", 4).alias("area"))
+
+
+TOLERANT = f"""SELECT p.id, z.zone_id FROM (SELECT id, x + (id % 5 - 2) * 5 AS x, y + (id % 3) * 5 AS y FROM f_point) p
+            LEFT JOIN f_zonepoly z ON {DX} * {DX} + {DY} * {DY} <= 100"""
+
+
+@REGISTRY.add("K04_buffer_join", fx.duck_sql(TOLERANT))
+def k04_buffer_join(spark, sf_dir):
+    """As K04_within_10m, by containment in the grown zones."""
+    moved = points(spark, sf_dir).select(
+        "id", (F.col("x") + (F.col("id") % 5 - 2) * 5).alias("x"), (F.col("y") + F.col("id") % 3 * 5).alias("y")
+    )
+    pairs = sp.points_in_polygons(moved, ar.buffers(zones(spark, sf_dir), 10.0))
+    return sp.join_zone(moved, pairs, "zone_id").select("id", "zone_id")
+
+
+@REGISTRY.add(
+    "K04_within_10m",
+    fx.duck_sql(TOLERANT),
+)
 def k04(spark, sf_dir):
     """Points a few metres off the borders, joined with a tolerance of 10 m."""
     moved = points(spark, sf_dir).select(
@@ -146,6 +206,65 @@ def k06_by_zone(spark, sf_dir):
     return shared.groupBy(F.col("q").alias("zone_id")).agg(F.round(F.sum("area") / 10_000, 6).alias("hectares"))
 
 
+CORNERS = "x{0} AS x1, y{0} AS y1, x{1} AS x2, y{1} AS y2"
+SHARED_BOX = f"""SELECT s.id, z.zone_id, GREATEST(s.xa, z.xa) AS x1, GREATEST(s.ya, z.ya) AS y1, LEAST(s.xb, z.xb) AS x2, GREATEST(s.ya, z.ya) AS y2,
+    LEAST(s.xb, z.xb) AS x3, LEAST(s.yb, z.yb) AS y3, GREATEST(s.xa, z.xa) AS x4, LEAST(s.yb, z.yb) AS y4 FROM f_site s JOIN f_zonepoly z ON {OVERLAP}"""
+
+
+@REGISTRY.add(
+    "K06_fragments",
+    fx.duck_sql(
+        " UNION ALL ".join(f"SELECT id, zone_id, 1 AS ring_id, {k} AS seq, {CORNERS.format(k, k % 4 + 1)} FROM ({SHARED_BOX}) t" for k in (1, 2, 3, 4))
+    ),
+)
+def k06_fragments(spark, sf_dir):
+    """The parts of the sites in each zone, as shapes."""
+    found = ar.fragments(sites(spark, sf_dir), zones(spark, sf_dir))
+    return found.select(F.col("p").alias("id"), F.col("q").alias("zone_id"), "ring_id", "seq", "x1", "y1", "x2", "y2")
+
+
+def lozenges(spark, sf_dir):
+    """Slanted shapes: |x - xc| / a + |y - yc| / b <= 1."""
+    c = {n: F.col(n) for n in ("xc", "yc", "a", "b")}
+    corners = [(c["xc"] + c["a"], c["yc"]), (c["xc"], c["yc"] + c["b"]), (c["xc"] - c["a"], c["yc"]), (c["xc"], c["yc"] - c["b"])]
+    sides = [
+        F.struct(F.lit(1).alias("ring_id"), F.lit(k + 1).alias("seq"), *[v.alias(n) for v, n in zip((*corners[k], *corners[(k + 1) % 4]), ("x1", "y1", "x2", "y2"), strict=True)])
+        for k in range(4)
+    ]
+    return fx.view(spark, sf_dir, "f_lozenge").select(F.col("id").alias("poly_id"), F.inline(F.array(*sides)))
+
+
+# Between neighbouring places where the shared height bends it is linear, so the trapezoids are exact.
+BENDS = ", ".join(
+    f"xc {sign} {d}"
+    for sign in "+-"
+    for d in ("0", "a", "a * (1 - (yb - yc) / b)", "a * (1 - (yc - ya) / b)", "a * (1 - (ya - yc) / b)", "a * (1 - (yc - yb) / b)")
+)
+HEIGHT = "GREATEST(0, LEAST(yb, yc + b * (1 - ABS({0} - xc) / a)) - GREATEST(ya, yc - b * (1 - ABS({0} - xc) / a)))"
+
+SLANTED = {
+    "met": "SELECT * FROM f_lozenge s JOIN f_zonepoly z ON xc + a > xa AND xc - a < xb AND yc + b > ya AND yc - b < yb",
+    "bends": f"""SELECT DISTINCT id, zone_id, xa, ya, xb, yb, xc, yc, a, b, GREATEST(xa, xc - a, LEAST(xb, xc + a, x)) AS x
+                 FROM (SELECT *, UNNEST([{BENDS}, xa, xb]) AS x FROM met) t""",
+    "steps": "SELECT *, LEAD(x) OVER (PARTITION BY id, zone_id ORDER BY x) AS to_x FROM bends",
+}
+
+
+@REGISTRY.add(
+    "K06_slanted_area",
+    fx.duck_sql(
+        f"""SELECT id, zone_id, ROUND(SUM((to_x - x) * ({HEIGHT.format("x")} + {HEIGHT.format("to_x")}) / 2), 1) AS area
+            FROM steps GROUP BY 1, 2 HAVING SUM((to_x - x) * ({HEIGHT.format("x")} + {HEIGHT.format("to_x")})) > 0""",
+        SLANTED,
+    ),
+)
+def k06_slanted(spark, sf_dir):
+    """Areas of the fragments of slanted shapes, from the fragments themselves."""
+    found = ar.fragments(lozenges(spark, sf_dir), zones(spark, sf_dir))
+    named = found.withColumn("poly_id", F.struct("p", "q"))
+    return g.areas(named).select(F.col("poly_id.p").alias("id"), F.col("poly_id.q").alias("zone_id"), F.round("area", 1).alias("area"))
+
+
 @REGISTRY.add("K07_area", fx.duck_sql("SELECT id, ROUND((xb - xa) * (yb - ya), 4) AS area FROM f_site"))
 def k07(spark, sf_dir):
     return g.areas(sites(spark, sf_dir)).select(F.col("poly_id").alias("id"), F.round("area", 4).alias("area"))
