@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from isoreach.llm.batches import by_bytes, tidy
 from isoreach.llm.tokens import word_ids
 
 #: Fixed values of the format: ids per word and bits per id for selectors 1 to 14.
@@ -113,23 +114,20 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, block_id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=BLOCKS.names)
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = batch.slice(k, 256)
-                texts = [t or "" for t in rows.column("text").to_pylist()]
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
-                    doc_ids.append(doc_id)
-                    coded.append(ids + end)
-                    size += len(ids) // coder.dtype.itemsize + 1
-                    if size >= block_ids:
-                        yield row()
-                        block, start, doc_ids, coded, size = block + 1, start + size, [], [], 0
+        for rows in by_bytes(batches, "text"):
+            texts = [t or "" for t in rows.column("text").to_pylist()]
+            for doc_id, ids in zip(rows.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                doc_ids.append(doc_id)
+                coded.append(ids + end)
+                size += len(ids) // coder.dtype.itemsize + 1
+                if size >= block_ids:
+                    yield row()
+                    block, start, doc_ids, coded, size = block + 1, start + size, [], [], 0
         if coded:
             yield row()
-        coder.forget()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, BLOCKS).write.parquet(path)
+    ordered.mapInArrow(tidy(encode), BLOCKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -159,4 +157,4 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     needed = read(spark, path).select("start", "doc_ids", "lengths", "words", "escapes")
-    return needed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return needed.mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,24 +1,40 @@
 """Token ids of whole texts by a tokenizer file, inside Spark tasks.
 
-White space separates tokens for the word tokenizer, so a text is cut at blanks and line ends, every distinct piece is
-encoded once per worker by the library, and a text's ids are its pieces' ids in a row. A piece that is one word of plain
-letters, perhaps with a mark after it, has the ids of the word in lower case and those of the mark; such words are given
-to the library many at once, and the vocabulary's word ends tell them apart. Tests compare this with the library on
-whole texts. The caches are dropped when they are large; that costs time, not ids.
+White space separates tokens for the word tokenizer, so texts are cut at blanks and line ends, by Arrow, many texts at a
+time. Each distinct piece of such a group is looked up once. A piece that is one word of plain letters, perhaps with a
+mark after it, has the ids of the word in lower case and those of the mark; new words are given to the library many at
+once, and the vocabulary's word ends tell them apart. Other pieces go to the library as they are. The ids of a group are
+then one gather from a flat array. Tests compare this with the library on whole texts.
+
+A table of at most ``MOST_WORDS`` words stays with the worker process across tasks: where it is full, those met in one
+group only go. That costs time, not ids. Texts beyond ``LONG`` characters are cut at a blank, so that memory follows the
+group and not the text (a longer text without any blank is one piece).
 """
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_CACHE_PIECES = 400_000
-_CACHE_LENGTH = 80
+MOST_WORDS = 300_000
+LONG = 4 << 20
+_KEPT_LENGTH = 80
 #: Letters whose lower case and composition are the same for any library, and marks that are tokens of their own.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
+_MARKS = ".,;:!?|"
+_PLAIN = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{_MARKS}]?$"
+
+
+def _check(path: str) -> None:
+    """The shortcuts above hold for lower-casing word tokenizers whose tokens mark word ends."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    steps = (held.get("normalizer") or {}).get("normalizers", [])
+    if held["model"].get("end_of_word_suffix") != "</w>" or not any(s.get("type") == "Lowercase" for s in steps):
+        raise ValueError(f"{path} is no lower-casing word tokenizer with '</w>' at word ends")
 
 
 class WordIds:
@@ -26,71 +42,121 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        _check(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.marks = {m: self._one(m) for m in ["", *".,;:!?|"]}
-        self.forget()
-
-    def forget(self) -> None:
-        """Drops the caches; workers outlive a task and other operators need their memory."""
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _one(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _cut(self, ids: list[int], ends: np.ndarray) -> list[bytes]:
-        """The ids as bytes, cut after ``ends`` ids."""
-        data = self._bytes(ids)
-        ends = (ends * self.dtype.itemsize).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        #: Row of every known word or piece; row k has ids flat[starts[k]:starts[k + 1]] and was met in met[k] groups.
+        self.rows: dict[str, int] = {}
+        self.flat, self.starts, self.met = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        marks = ["", *_MARKS]
+        self._append(marks, [self.tokenizer.encode(m, add_special_tokens=False).ids for m in marks])
+        self.fixed = len(marks)
+
+    def _append(self, names: list[str], ids: list[list[int]]) -> None:
+        self._append_flat(names, np.array([i for row in ids for i in row], self.dtype), np.array([len(row) for row in ids], np.int64))
+
+    def _append_flat(self, names: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.met)
+        self.rows.update(zip(names, range(first, first + len(names)), strict=True))
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.met = np.concatenate([self.met, np.zeros(len(names), np.int64)])
+
+    def _shrink(self) -> None:
+        """Keeps the words met in several groups, the most often met ones if these are too many."""
+        often = np.sort(self.met)[-(MOST_WORDS // 2)] if len(self.met) > MOST_WORDS // 2 else 0
+        keep = self.met >= max(2, often + 1)
+        keep[: self.fixed] = True
+        sizes = np.diff(self.starts)
+        self.flat = self.flat[np.repeat(keep, sizes)]
+        number = np.cumsum(keep) - 1
+        self.rows = {w: int(number[k]) for w, k in self.rows.items() if keep[k]}
+        self.starts = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.met = np.minimum(self.met[keep], 1)
 
     def _add_words(self, new: list[str]) -> None:
         """Plain words in lower case."""
-        ids = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
-        ends = np.flatnonzero(self.ends[np.array(ids, dtype=np.int64)]) + 1
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(new):
-            self.words.update(zip(new, self._cut(ids, ends), strict=True))
+            self._append_flat(new, ids.astype(self.dtype), np.diff(ends, prepend=0))
         else:
-            self.words.update({w: self._one(w) for w in new})
+            self._append(new, [self.tokenizer.encode(w, add_special_tokens=False).ids for w in new])
 
-    def _add(self, new: list[str]) -> None:
+    def _add_pieces(self, new: list[str]) -> None:
         """Pieces of any kind."""
-        plain, odd = [], []
-        for p in new:
-            m = _PLAIN.fullmatch(p)
-            if m:
-                plain.append((p, m[1].lower(), m[2]))
-            else:
-                odd.append(p)
-        words = list({w for _, w, _ in plain}.difference(self.words))
-        if words:
-            self._add_words(words)
-        self.known.update({p: self.words[w] + self.marks[mark] for p, w, mark in plain})
-        if odd:
-            coded = self.tokenizer.encode(odd, is_pretokenized=True, add_special_tokens=False)
-            ends = np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(odd)))
-            self.known.update(zip(odd, self._cut(coded.ids, ends), strict=True))
+        coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        sizes = np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(new))
+        self._append_flat(new, np.array(coded.ids, self.dtype), sizes)
+
+    def _rows_of(self, names: list[str], add) -> np.ndarray:
+        found = [self.rows.get(w, -1) for w in names]
+        new = [w for w, k in zip(names, found, strict=True) if k < 0]
+        if new:
+            add(new)
+            found = [self.rows[w] for w in names]
+        out = np.array(found, np.int64)
+        self.met[out] += 1
+        for w in new:
+            if len(w) > _KEPT_LENGTH:
+                del self.rows[w]
+        return out
+
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, and how many each has."""
+        if len(self.met) > MOST_WORDS or len(self.flat) > 8 * MOST_WORDS:
+            self._shrink()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        plain = pc.match_substring_regex(pieces, _PLAIN).to_numpy(zero_copy_only=False)
+        word, mark = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        chosen = pieces.filter(pa.array(plain))
+        bare = pc.utf8_rtrim(chosen, characters=_MARKS)
+        marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(chosen)).to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(bare).dictionary_encode()
+        word[plain] = self._rows_of(lower.dictionary.to_pylist(), self._add_words)[lower.indices.to_numpy()] if len(chosen) else 0
+        last = pc.utf8_slice_codeunits(chosen.filter(pa.array(marked)), -1).to_pylist()
+        at = np.flatnonzero(plain)[marked]
+        mark[at] = [self.rows[m] for m in last]
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            word[odd] = self._rows_of(pieces.take(pa.array(odd)).to_pylist(), self._add_pieces)
+        used = coded.indices.to_numpy()
+        rows = np.empty(2 * len(used), np.int64)
+        rows[::2], rows[1::2] = word[used], mark[used]
+        sizes = np.diff(self.starts)[rows]
+        before = np.cumsum(sizes) - sizes
+        ids = self.flat[np.repeat(self.starts[rows] - before, sizes) + np.arange(int(sizes.sum()))]
+        ends = np.append(before, len(ids))[2 * lists.offsets.to_numpy()]
+        return ids, np.diff(ends)
+
+    def _one(self, text: str) -> bytes:
+        """A long text, in stretches that end at a blank."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + LONG
+            if end < len(text):
+                last = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+                if last <= at:
+                    later = [p for p in (text.find(" ", end), text.find("\n", end)) if p >= 0]
+                    last = min(later, default=len(text))
+                end = last
+            out.append(self._group(pa.array([text[at:end]]))[0].tobytes())
+            at = end
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of ``dtype``."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > _CACHE_PIECES:
-            self.forget()
-        known = self.known
-        new = list(set(itertools.chain.from_iterable(pieces)).difference(known))
-        self._add(new)
-        out = [b"".join([known[p] for p in row]) for row in pieces]
-        for p in new:
-            if len(p) > _CACHE_LENGTH:
-                del known[p]
-        return out
+        short = [t if len(t) <= LONG else "" for t in texts]
+        ids, sizes = self._group(pa.array(short, pa.string()))
+        data, width = ids.tobytes(), self.dtype.itemsize
+        ends = (np.cumsum(sizes) * width).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return [c if len(t) <= LONG else self._one(t) for t, c in zip(texts, out, strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}

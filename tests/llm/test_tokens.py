@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from isoreach.llm import counting, packing, registry, tokenfile, transducer
+from isoreach.llm import counting, packing, registry, tokenfile, tokens, transducer
 from isoreach.llm.registry import vocabulary
 from isoreach.llm.tokens import WordIds
 from tests.llm.helpers import copies, documents, rows
@@ -42,6 +42,23 @@ def test_pieces_are_encoded_as_in_the_whole_text(library):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_texts_and_a_full_table(library, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", 500)
+    monkeypatch.setattr(tokens, "MOST_WORDS", 40)
+    texts = [*noise(2, 60, [*"ab \né"]), "a" * 3000, "ab c" * 900, " " * 1200, "x\n" * 700 + "y" * 600 + " z. " * 300, *(t for _, t in copies(3, 40))]
+    coder = WordIds(WORDS)
+    for k in range(0, 3 * len(texts), 7):
+        some = [texts[(k + j) % len(texts)] for j in range(7)]
+        got = [np.frombuffer(b, coder.dtype).tolist() for b in coder.encode(some)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(coder.rows) < 2000
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises((ValueError, KeyError)):
+        WordIds(vocabulary("byte_bpe_50k.json"))
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(0)
     given = [rng.integers(0, hi, n).astype(np.uint64) for n in (0, 1, 5, 700, 5000) for hi in (1, 2, 300, 50_000, 2**62)]
