@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm import columns
+from isoreach.llm.batches import by_bytes, tidy
 from isoreach.llm.components import connected, local_roots
 from isoreach.llm.shingles import name_of, sets_of
 from isoreach.session import materialise
@@ -62,10 +63,8 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return by_bytes(batches, "text", 2 << 20, 500)
 
 
 def _sets(rows: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -111,7 +110,7 @@ def _frequent(docs: DataFrame, size: int, percent: int, frequent: int, parts: in
         n = np.bincount(at, weights=n).astype(np.int64)
         return pa.table({"shingle": kinds[n > frequent].view(np.int64), "n": n[n > frequent]})
 
-    found = docs.select("text").mapInArrow(counts, _BLOBS).groupBy("part").applyInArrow(total, "shingle long, n long")
+    found = docs.select("text").mapInArrow(tidy(counts), _BLOBS).groupBy("part").applyInArrow(total, "shingle long, n long")
     top = found.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).select("shingle").toPandas()
     return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -230,7 +229,7 @@ def _candidates(docs: DataFrame, size: int, percent: int, often: np.ndarray, par
             out.append(pa.table({"kind": np.full(len(pairs), 2, np.int32), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "c": times.astype(np.int64)}))
         return pa.concat_tables(out)
 
-    sent = docs.select("doc_id", "text").mapInArrow(postings, _BLOBS)
+    sent = docs.select("doc_id", "text").mapInArrow(tidy(postings), _BLOBS)
     return materialise(sent.groupBy("part").applyInArrow(lists, "kind int, a long, b long, n long, c long"), "candidates")
 
 
@@ -307,7 +306,7 @@ def _verified(docs: DataFrame, needed: DataFrame, size: int, percent: int, block
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     texts = docs.select("doc_id", "text").join(placed, "doc_id").select("text", "name", "places")
-    sets = texts.mapInArrow(fetch, "part long, cell long, name long, blob binary")
+    sets = texts.mapInArrow(tidy(fetch), "part long, cell long, name long, blob binary")
     return materialise(sets.groupBy("part").applyInArrow(verify, "a long, b long"), "links")
 
 

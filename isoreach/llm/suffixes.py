@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isoreach.llm import columns
+from isoreach.llm.batches import by_bytes, give_back, tidy
 from isoreach.llm.grams import BYTE, Rolling, least, mix, powers
 from isoreach.session import materialise
 
@@ -44,8 +45,9 @@ _PLACE = np.uint64(24)
 #: Bytes handled as one array; a longer text is taken in parts that overlap, so that each window lies in one part.
 _BUFFER = (1 << 20) - 64
 _FLUSH = 1_000_000
-#: Documents whose suffixes are found at a time.
+#: Documents, and bytes of them, that are taken at a time.
 _ROWS = 250
+_SLICE_BYTES = 2 << 20
 _BLOBS = "part long, kind int, blob binary"
 
 
@@ -164,9 +166,11 @@ def remove_repeats(
 ) -> DataFrame:
     """All columns of ``docs`` and: kept (binary, the bytes that stay), n_bytes, n_removed, n_spans.
 
-    With ``as_texts`` the columns of ``docs`` only, as ``cut_texts`` describes them.
+    Columns of ``docs`` that have one of these four names are replaced. With ``as_texts`` the columns of ``docs`` only, as
+    ``cut_texts`` describes them.
     """
     spark = docs.sparkSession
+    docs = docs if as_texts else docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     n_bytes = size["b"] or 0
@@ -188,17 +192,15 @@ def remove_repeats(
             yield _by(np.mod(doc[~mine], buckets), 1, doc[~mine], at[~mine], span[~mine] & np.uint64(0xFFFF))
             yield _by(_bucket(lead[mine], gram[mine], split).astype(np.int64), 0, lead[mine], gram[mine], span[mine], doc[mine], at[mine])
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, _ROWS):
-                rows = batch.slice(k, _ROWS)
-                rows = rows.filter(rows.column("doc_id").is_valid())
-                ids = rows.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-                a = anchors_of(_texts(rows), length)
-                held.append((a.lead, a.gram, a.span, ids[a.doc], a.at))
-                count += len(a.at)
-                if count >= _FLUSH:
-                    yield from flush()
-                    held, count = [], 0
+        for rows in by_bytes(batches, "text", _SLICE_BYTES, _ROWS):
+            rows = rows.filter(rows.column("doc_id").is_valid())
+            ids = rows.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            a = anchors_of(_texts(rows), length)
+            held.append((a.lead, a.gram, a.span, ids[a.doc], a.at))
+            count += len(a.at)
+            if count >= _FLUSH:
+                yield from flush()
+                held, count = [], 0
         if count:
             yield from flush()
 
@@ -232,7 +234,7 @@ def remove_repeats(
             out.append(_by(np.mod(doc[open_], groups), 1, doc[open_], at[open_], check[open_], group))
         return pa.Table.from_batches([b for b in out if b.num_rows] or [_rows([], 0, [])])
 
-    sent = docs.select("doc_id", "text").mapInArrow(suffixes, _BLOBS)
+    sent = docs.select("doc_id", "text").mapInArrow(tidy(suffixes), _BLOBS)
     settled = materialise(sent.groupBy("part").applyInArrow(sort_bucket, _BLOBS), "suffix-buckets")
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups))).otherwise(F.pmod("doc_id", F.lit(groups)))
     own = "_part"
@@ -341,14 +343,14 @@ def remove_repeats(
             out = [texts.select(names)]
             for name in [] if as_texts else ["kept", "n_bytes", "n_removed", "n_spans"]:
                 out[0] = out[0].append_column(name, pa.array([], pa.binary() if name == "kept" else pa.int64()))
+        give_back()
         return pa.concat_tables(out)
 
     return grouped.cogroup(covers.groupBy("part")).applyInArrow(cut, schema)
 
 
 def _slices(texts: pa.Table) -> Iterator[pa.Table]:
-    for k in range(0, texts.num_rows, _ROWS):
-        yield texts.slice(k, _ROWS)
+    return by_bytes([texts], "text", _SLICE_BYTES, _ROWS)
 
 
 #: Stands for a null doc_id, which no list of matches holds.

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoreach.llm.batches import by_bytes, tidy
+
 MOST_CANDIDATES = 20_000
 _SHORT, _LONG = 3, 8
 
@@ -120,9 +122,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 250):
-            yield batch.slice(k, 250).to_pylist()
+    for rows in by_bytes(batches, "text", 1 << 20, 250):
+        yield rows.to_pylist()
 
 
 def _supports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
     picked = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic")
 
-    pairs = rows.mapInArrow(_supports, "entry string, before string")
+    pairs = rows.mapInArrow(tidy(_supports), "entry string, before string")
     ranked = pairs.groupBy("entry").agg(F.countDistinct("before").alias("support")).filter(F.col("support") >= support)
     candidates = [r["entry"] for r in ranked.orderBy(F.desc("support"), "entry").limit(MOST_CANDIDATES).collect()]
     wanted = frozenset(candidates)
@@ -166,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
             flat = [(e, c, n) for c in (0, 1) for e, n in counts[c].items()]
             yield _table(flat, ("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64()))
 
-    counted = rows.mapInArrow(in_texts, "entry string, toxic int, n long").groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(in_texts), "entry string, toxic int, n long").groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
     seen = {(r["entry"], r["toxic"]): r["n"] for r in counted.collect()}  # two rows a candidate at most
     texts = [max(1, seen.get(("", c), 0)) for c in (0, 1)]
     lexicon = Lexicon(_choose(candidates, seen, texts, least_ratio))
@@ -184,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
             yield _table(flat, ("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64()))
 
     if lexicon.weights:
-        met = rows.mapInArrow(forms, "entry string, toxic int, n long").groupBy("entry").agg(
+        met = rows.mapInArrow(tidy(forms), "entry string, toxic int, n long").groupBy("entry").agg(
             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"),
             F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
         )
@@ -199,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
             yield _table(flat, ("total", pa.float64()), ("density", pa.float64()), ("toxic", pa.int32()))
 
     # At most 2 * sample rows of three numbers, where ids repeat in documents a few more.
-    points = rows.mapInArrow(features, "total double, density double, toxic int").toPandas().sort_values(["toxic", "total", "density"])
+    points = rows.mapInArrow(tidy(features), "total double, density double, toxic int").toPandas().sort_values(["toxic", "total", "density"])
     if not len(points):
         return lexicon
     toxic = points["toxic"].to_numpy().astype(float)
@@ -241,7 +242,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             flat = [(r["doc_id"], _score(lexicon.curve, *_features(machine, words_of(r["text"])))) for r in part]
             yield _table(flat, ("doc_id", pa.int64()), ("score", pa.float64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
@@ -258,11 +259,9 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 250):
-                rows = batch.slice(k, 250)
-                texts = rows.column("text").to_pylist()
-                clean = [_score(lexicon.curve, *_features(machine, words_of(t))) < threshold for t in texts]
-                yield rows.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+        for rows in by_bytes(batches, "text", 1 << 20, 250):
+            texts = rows.column("text").to_pylist()
+            clean = [_score(lexicon.curve, *_features(machine, words_of(t))) < threshold for t in texts]
+            yield rows.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(tidy(keep), docs.schema)
