@@ -98,6 +98,10 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey AS id, CAST((p_partkey * 15485863) % 500 AS DOUBLE) * 1000 + 500 AS xc,
                CAST((p_partkey * 32452843) % 500 AS DOUBLE) * 1000 + 300 AS yc,
                CAST(p_size AS DOUBLE) * 400 AS a, CAST(p_size AS DOUBLE) * 200 AS b FROM {part}""",
+    "f_shift": """
+        SELECT i, j, CAST(90 + i * 0.25 - j * 0.125 + ((i * 7 + j * 13) % 5) * 0.5 AS DOUBLE) AS se,
+               CAST(-80 + i * 0.125 + j * 0.25 - ((i * 3 + j * 11) % 7) * 0.25 AS DOUBLE) AS sn
+        FROM (SELECT DISTINCT p_partkey % 53 AS i FROM {part}) a, (SELECT DISTINCT p_partkey % 53 AS j FROM {part}) b""",
     "f_access": """
         SELECT id * 10 + 1 AS access_id, id AS ref_to_greenspace_site, xa AS x, (ya + yb) / 2 AS y
         FROM f_site WHERE id % 3 <> 0""",

@@ -180,3 +180,78 @@ def wgs84_to_grid(df: DataFrame, lat: str = "lat", long: str = "long", x: str =
     steps = [_cartesian(WGS84), _shifted(1), *_geographic(AIRY), _radii("lat lon"), _project]
     placed = df.withColumn("_place", _chain(start, *steps))
     return placed.select(*kept, F.col("_place.e").alias(x), F.col("_place.n").alias(y))
+
+
+# GRS80 ellipsoid, and the European equal-area grid (EPSG 3035): origin, false east and north.
+GRS80 = (6378137.0, 6378137.0 * (1 - 1 / 298.257222101))
+EUROPE_LAT, EUROPE_LONG = math.radians(52.0), math.radians(10.0)
+EUROPE_EAST, EUROPE_NORTH = 4321000.0, 3210000.0
+
+
+def _zone_factor(lat: Column) -> Column:
+    """Area between the equator and a latitude, by the square of the axis and the longitude."""
+    e2 = _ecc2(GRS80)
+    e = math.sqrt(e2)
+    s = F.sin(lat)
+    return (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def _equal_area_fixed() -> dict[str, float]:
+    """Numbers of the projection that do not depend on the place."""
+    a, e2 = GRS80[0], _ecc2(GRS80)
+    e = math.sqrt(e2)
+    factor = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    pole, s = factor(1.0), math.sin(EUROPE_LAT)
+    beta, radius = math.asin(factor(s) / pole), a * math.sqrt(pole / 2)
+    spread = a * math.cos(EUROPE_LAT) / math.sqrt(1 - e2 * s * s) / (radius * math.cos(beta))
+    return {"pole": pole, "beta": beta, "radius": radius, "spread": spread}
+
+
+def wgs84_to_europe(df: DataFrame, lat: str = "lat", long: str = "long", x: str = "x", y: str = "y") -> DataFrame:
+    """Adds ``x`` (east) and ``y`` (north) in metres of the equal-area grid for degrees (Lambert azimuthal)."""
+    kept, k = [c for c in df.columns if c not in (x, y)], _equal_area_fixed()
+    sb, cb = math.sin(k["beta"]), math.cos(k["beta"])
+
+    def authalic(s: Column) -> Column:
+        return _with(s, "", d=s["lon"] - EUROPE_LONG, b=F.asin(_zone_factor(s["lat"]) / k["pole"]))
+
+    def project(s: Column) -> Column:
+        sine, cosine, turn = F.sin(s["b"]), F.cos(s["b"]), F.cos(s["d"])
+        size = k["radius"] * F.sqrt(2 / (1 + sb * sine + cb * cosine * turn))
+        return _with(s, "", e=EUROPE_EAST + size * k["spread"] * cosine * F.sin(s["d"]), n=EUROPE_NORTH + size / k["spread"] * (cb * sine - sb * cosine * turn))
+
+    start = F.struct(F.radians(F.col(lat).cast("double")).alias("lat"), F.radians(F.col(long).cast("double")).alias("lon"))
+    placed = df.withColumn("_place", _chain(start, authalic, project))
+    return placed.select(*kept, F.col("_place.e").alias(x), F.col("_place.n").alias(y))
+
+
+def europe_to_wgs84(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", long: str = "long") -> DataFrame:
+    """Adds ``lat`` and ``long`` in degrees for the equal-area grid.
+
+    The latitude starts from the series in the authalic latitude; two Newton steps take what the series leaves out.
+    """
+    kept, k = [c for c in df.columns if c not in (lat, long)], _equal_area_fixed()
+    e2 = _ecc2(GRS80)
+    sb, cb = math.sin(k["beta"]), math.cos(k["beta"])
+    terms = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+
+    def polar(s: Column) -> Column:
+        u, v = (s["e"] - EUROPE_EAST) / k["spread"], (s["n"] - EUROPE_NORTH) * k["spread"]
+        away = F.sqrt(u * u + v * v)
+        return _with(s, "", u=u, v=v, r=away, c=2 * F.asin(away / (2 * k["radius"])))
+
+    def authalic(s: Column) -> Column:
+        sine = F.cos(s["c"]) * sb + F.coalesce(F.try_divide(s["v"] * F.sin(s["c"]) * cb, s["r"]), F.lit(0.0))
+        lon = EUROPE_LONG + F.atan2(s["u"] * F.sin(s["c"]), s["r"] * cb * F.cos(s["c"]) - s["v"] * sb * F.sin(s["c"]))
+        return _with(s, "", lon=lon, b=F.asin(sine), q=k["pole"] * sine)
+
+    def series(s: Column) -> Column:
+        return _with(s, "lon q", lat=s["b"] + sum((t * F.sin(2 * (i + 1) * s["b"]) for i, t in enumerate(terms)), F.lit(0.0)))
+
+    def refine(s: Column) -> Column:
+        bend = 1 - e2 * F.sin(s["lat"]) * F.sin(s["lat"])
+        return _with(s, "lon q", lat=s["lat"] + (s["q"] - _zone_factor(s["lat"])) * bend * bend / (2 * (1 - e2) * F.cos(s["lat"])))
+
+    start = F.struct(F.col(x).cast("double").alias("e"), F.col(y).cast("double").alias("n"))
+    placed = df.withColumn("_place", _chain(start, polar, authalic, series, refine, refine))
+    return placed.select(*kept, F.degrees("_place.lat").alias(lat), F.degrees("_place.lon").alias(long))

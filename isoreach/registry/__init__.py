@@ -32,6 +32,6 @@ REGISTRY = Registry()
 
 def load() -> Registry:
     """All registered queries; importing the modules registers them."""
-    from isoreach.registry import analysis, core, edges, preparation, spatial  # noqa: F401
+    from isoreach.registry import analysis, coordinates, core, edges, preparation, spatial  # noqa: F401
 
     return REGISTRY

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isoreach import fixtures as fx
-from isoreach.functions import geodesy
 from isoreach.operators import arrangement as ar
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial as sp
@@ -291,17 +290,6 @@ def k09(spark, sf_dir):
     )
 
 
-@REGISTRY.add("K10_to_wgs84")
-def k10(spark, sf_dir):
-    """Grid to degrees and back; the round trip error is part of the result."""
-    there = geodesy.grid_to_wgs84(points(spark, sf_dir))
-    back = geodesy.wgs84_to_grid(there, x="x_back", y="y_back")
-    return back.select(
-        "id", F.round("lat", 8).alias("lat"), F.round("long", 8).alias("long"),
-        F.greatest(F.abs(F.col("x") - F.col("x_back")), F.abs(F.col("y") - F.col("y_back"))).alias("error_m"),
-    )
-
-
 @REGISTRY.add("K11_coordinates", fx.duck_sql("SELECT id, x, y, lat, long FROM f_point p JOIN f_postcode c ON c.pcds = CONCAT('PC', CAST(p.id AS STRING))"))
 def k11(spark, sf_dir):
     """Coordinates are plain columns on every point table."""
