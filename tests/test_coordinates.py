@@ -70,7 +70,7 @@ def test_octants_and_small_shapes_on_the_sphere(spark):
     assert area[3] == pytest.approx(math.radians(1) ** 2 * 0.75, rel=1e-4) and area[4] == pytest.approx(0, abs=1e-20)
     centre = {r["poly_id"]: (r["x"], r["y"]) for r in sphere.centroids(edges).collect()}
     assert centre[1] == (pytest.approx(45), pytest.approx(math.degrees(math.atan(1 / math.sqrt(2)))))
-    assert centre[2] == (pytest.approx(10.00005, abs=2e-9), pytest.approx(50.00005, abs=2e-9))
+    assert centre[2] == (pytest.approx(10.00005, abs=1e-8), pytest.approx(50.00005, abs=1e-8))
     assert centre[3] == (pytest.approx(-19.5, abs=1e-9), pytest.approx(0, abs=1e-9))
 
 
