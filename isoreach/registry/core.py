@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isoreach import fixtures as fx
 from isoreach.functions import naming
 from isoreach.operators import joins, reshape
-from isoreach.plans import metrics
+from isoreach.plans import increments, metrics
 from isoreach.registry import REGISTRY
 from isoreach.session import materialise
 
@@ -97,6 +97,31 @@ def wide_access(spark, sf_dir, cumulative=None, nearest=None):
     return metrics.measures(ttm, land_use, cumulative, nearest), land_use
 
 
+@REGISTRY.add(
+    "L01_incremental",
+    duck("SELECT a.*, n.* EXCLUDE (mode, time_of_day, from_id) FROM q_access a JOIN q_nearest n ON n.mode = a.mode AND n.time_of_day IS NOT DISTINCT FROM a.time_of_day AND n.from_id = a.from_id"),
+)
+def l01_incremental(spark, sf_dir):
+    """From an earlier matrix (pairs missing, others slower, some since closed) and earlier weights to today's."""
+    matrix, land_use = (materialise(df, "today") for df in inputs(spark, sf_dir))
+    place = F.xxhash64("from_id", "to_id") % 20
+    missing, slower, closed = (F.col("place") == k for k in (0, 1, 2))
+    marked = matrix.withColumn("place", F.abs(place))
+    columns = matrix.columns
+    late = marked.filter(slower).withColumn("travel_time", F.col("travel_time") + 7).select(columns)
+    gone = marked.filter(closed).withColumns({"to_id": -F.col("to_id") - 1, "travel_time": F.lit(1)}).select(columns)
+    earlier = materialise(marked.filter(~missing & ~slower).select(columns).unionByName(late).unionByName(gone), "earlier")
+    some = F.col("id") % 10 == 3
+    older = land_use.withColumns({"hospitals": F.when(some, F.lit(0)).otherwise(F.col("hospitals")).cast("bigint"), "employment_all": F.when(some, F.col("employment_all") * 2).otherwise(F.col("employment_all"))})
+    older = older.withColumn("gp_practices", F.when(F.col("id") % 10 == 4, F.lit(1)).otherwise(F.col("gp_practices")).cast("bigint"))
+    closed_zones = gone.select(F.col("to_id").alias("id"), *[F.lit(1).cast(land_use.schema[c].dataType).alias(c) for c in land_use.columns if c != "id"]).distinct()
+    older = materialise(older.unionByName(closed_zones.select(older.columns)), "older")
+    state = increments.start(earlier, older, CUMULATIVE, NEAREST)
+    added = marked.filter(missing | slower).select(columns)
+    state = increments.change_pairs(state, late.unionByName(gone), added, matrix, older)
+    return increments.measures(increments.change_weights(state, older, land_use, matrix))
+
+
 @REGISTRY.add("L01_cumulative", duck("SELECT * FROM q_access"))
 def l01(spark, sf_dir):
     return wide_access(spark, sf_dir, nearest={})[0]

@@ -12,7 +12,7 @@ from isoreach.registry import REGISTRY
 from isoreach.registry.core import CUMULATIVE, CUTS, SERVICE_ROWS, duck, general_names, stored_access, wide_access
 from isoreach.schemas import schema
 from isoreach.session import materialise, scratch_path
-from isoreach.sources import readers, sinks
+from isoreach.sources import readers, sinks, versions
 
 sql = fx.duck_sql
 NAMED = schema("id long, name string, brand string, sub_type string")
@@ -105,6 +105,17 @@ def s07(spark, sf_dir):
     return readers.read_directory(spark, path)
 
 
+@REGISTRY.add("S07_slice_repair", sql("SELECT *, CASE mode WHEN 'pt' THEN 'public' ELSE 'own' END AS slice FROM f_ttm"))
+def s07_repair(spark, sf_dir):
+    """A matrix of two slices; one held wrong times and is replaced, the other stays as it was written."""
+    matrix, path = fx.view(spark, sf_dir, "f_ttm"), scratch_path(spark, "s07-versions")
+    public, own = matrix.filter("mode = 'pt'"), matrix.filter("mode <> 'pt'")
+    wrong = public.withColumn("travel_time", F.col("travel_time") * 60).filter("from_id > 3")
+    versions.write({"public": wrong, "own": own}, path)
+    versions.write({"public": public}, path)
+    return versions.read(spark, path)
+
+
 @REGISTRY.add("S08_csv_write", sql("SELECT pcds, lsoa11, doterm, lat, long FROM f_postcode"))
 def s08(spark, sf_dir):
     path = scratch_path(spark, "s08")

@@ -198,6 +198,23 @@ def s12(spark, sf_dir):
     return state.filter(readers.select_features(F.col("tags"), "shop", ["supermarket", "bakery"])).select("id", "version")
 
 
+@REGISTRY.add(
+    "S12_timeline",
+    sql(
+        """SELECT CAST(t AS DATE) AS day, id, version FROM (
+             SELECT i.t, f.id, f.version, ROW_NUMBER() OVER (PARTITION BY i.t, f.id ORDER BY f.ts DESC, f.version DESC) AS rn
+             FROM f_feature f, generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-01', INTERVAL 1 MONTH) i(t) WHERE f.ts <= i.t) s WHERE rn = 1""",
+        _FEATURES,
+    ),
+)
+def s12_timeline(spark, sf_dir):
+    """The state of the features at the start of each of 24 months, in one pass over their versions."""
+    raw = fx.spark_sql(spark, sf_dir, "SELECT * FROM f_feature", _FEATURES)
+    months = spark.sql("SELECT explode(sequence(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-01', INTERVAL 1 MONTH)) AS instant")
+    states = readers.as_of_many(raw.select("id", "ts", "version"), "id", "ts", months, "version")
+    return states.select(F.col("instant").cast("date").alias("day"), "id", "version")
+
+
 # --- joins and lookups ---
 
 
@@ -435,14 +452,14 @@ _SHOPS = {
 @REGISTRY.add(
     "L15_supermarkets",
     sql(
-        """SELECT p.id, p.name, p.brand, p.area_sqm, p.x, p.y, z.zone_id AS oa11cd, o.lsoa11cd FROM (
+        f"""SELECT p.id, p.name, p.brand, p.area_sqm, p.x, p.y, z.zone_id AS oa11cd, o.lsoa11cd FROM (
              SELECT id, name, brand, CAST(NULL AS DOUBLE) AS area_sqm, x, y FROM f_brand_shop WHERE name IS NOT NULL AND x IS NOT NULL AND amenity IS NULL
              UNION ALL SELECT b.id, b.name, b.brand, (s.xb - s.xa) * (s.yb - s.ya), (s.xa + s.xb) / 2, (s.ya + s.yb) / 2
                FROM f_brand_shop b JOIN f_site s ON s.id = b.id WHERE b.x IS NULL AND b.amenity IS NULL AND (s.xb - s.xa) * (s.yb - s.ya) > 280) p
            JOIN f_zonepoly z ON p.x BETWEEN z.xa AND z.xb AND p.y BETWEEN z.ya AND z.yb
            JOIN f_oa o ON o.oa11cd = z.zone_id
-           WHERE (COALESCE(regexp_matches(p.name, '(lidl|aldi|co-op|sainsbury|tesco|asda|morrisons)', 'i'), FALSE)
-                  OR COALESCE(regexp_matches(p.brand, '(lidl|aldi|co-op|sainsbury|tesco|asda|morrisons)', 'i'), FALSE))
+           WHERE (COALESCE(regexp_matches(p.name, '({"|".join(services.BRANDS)})', 'i'), FALSE)
+                  OR COALESCE(regexp_matches(p.brand, '({"|".join(services.BRANDS)})', 'i'), FALSE))
              AND EXISTS (SELECT 1 FROM f_zonepoly m WHERE m.zone_id < 20 AND p.x BETWEEN m.xa AND m.xb AND p.y BETWEEN m.ya AND m.yb)
              AND regexp_matches(o.lsoa11cd, '^(E|S|W)')""",
         _SHOPS,
@@ -610,7 +627,7 @@ _HOSPITALS = {
                             CAST(id * 7919 % 500 AS DOUBLE) * 1000 + 250 AS x, CAST(id * 104729 % 500 AS DOUBLE) * 1000 + 250 AS y FROM f_named WHERE id % 2 = 1""",
     "f_hosp_wal": "SELECT c_name AS name, CASE c_mktsegment WHEN 'MACHINERY' THEN 'CHC Local Committee' ELSE c_mktsegment END AS type, 'W' || CAST(c_nationkey AS VARCHAR) AS lsoa11 FROM {customer}",
 }
-_DENY = "'(mental|psychiatr(y|ic)|elder(|ly)|learning disabili(ty|ties)|psychogeriatric|birth|maternity| eye|rheumatic|throat| nose | ear |neurology|neurosurgery|specialist emergency care|orthopaedic|heart hospital|children|dental|committee|day (hospital|care))', 'i'"
+_DENY = f"'({'|'.join((*services.PSYCHIATRIC, *services.SPECIALIST, 'committee', *services.DAY_CARE))})', 'i'"
 
 
 @REGISTRY.add(

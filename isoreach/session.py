@@ -27,10 +27,12 @@ def local_session(cores: str = "8", app: str = "isoreach", **conf: str) -> Spark
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, else a folder of the session's warehouse."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``; in one local process also one of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors can reach")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
@@ -45,5 +47,34 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     readers still get column pruning and filter pushdown.
     """
     path = scratch_path(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables that this process has written with ``materialise``.
+_written: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process; DataFrames that still read them can no longer be used."""
+    count = len(_written)
+    while _written:
+        remove_folder(spark, _written.pop())
+    return count
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder of the session's file system; none if there is no such folder."""
+    place, system = _file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, system = _file_system(spark, path)
+    system.delete(place, True)

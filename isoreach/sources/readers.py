@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isoreach.operators.joins import lookup_join
+
 _TEXT_RULES = {"nullValue": "NA", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
 
 
@@ -131,3 +133,31 @@ def as_of(df: DataFrame, key: str, ts: str, instant: str, tie: str) -> DataFrame
         .agg(F.max_by(F.struct(*rest), F.struct(F.col(ts), F.col(tie))).alias("_v"))
         .select(key, "_v.*")
     )
+
+
+def valid_times(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """Every version with ``valid_from`` and ``valid_to`` (NULL for the last): the time in which it was the latest."""
+    versions = Window.partitionBy(key).orderBy(ts, tie)
+    return df.withColumns({"valid_from": F.col(ts), "valid_to": F.lead(ts).over(versions)})
+
+
+def as_of_many(df: DataFrame, key: str, ts: str, instants: DataFrame, tie: str) -> DataFrame:
+    """The latest version of every feature at each of many instants (column ``instant``), in one pass.
+
+    Versions are valid for a stretch of time. Time is cut into as many buckets as there are instants; a version is listed
+    in the buckets its stretch meets between the first and the last instant, and meets the instants of those buckets.
+    """
+    known = instants.select(F.col("instant").cast("timestamp").alias("instant")).dropna().distinct()
+    seconds = lambda t: F.col(t).cast("double")
+    span = known.agg(F.count("*").alias("n"), F.min(seconds("instant")).alias("first"), F.max(seconds("instant")).alias("last")).first()
+    valid = valid_times(df.withColumn(ts, F.col(ts).cast("timestamp")), key, ts, tie)
+    if not span["n"]:
+        return valid.drop("valid_from", "valid_to").withColumn("instant", F.lit(None).cast("timestamp")).limit(0)
+    width = max((span["last"] - span["first"]) / span["n"], 1e-6)
+    bucket = lambda t: F.floor((t - span["first"]) / width)
+    low = F.greatest(seconds("valid_from"), F.lit(span["first"]))
+    high = F.least(F.coalesce(seconds("valid_to"), F.lit(span["last"])), F.lit(span["last"]))
+    listed = valid.filter(low <= high).withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    met = lookup_join(listed, known.withColumn("bucket", bucket(seconds("instant"))), "bucket", "inner")
+    now = (F.col("valid_from") <= F.col("instant")) & F.coalesce(F.col("instant") < F.col("valid_to"), F.lit(True))
+    return met.filter(now).select("instant", *df.columns)

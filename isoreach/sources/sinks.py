@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from isoreach.functions.naming import access_name, nearest_name, pct_name
 from isoreach.functions.text import fixed_point
+from isoreach.session import scratch_path
 
 
 def plain_numbers(df: DataFrame, digits: int = 12) -> DataFrame:
@@ -55,12 +56,21 @@ def write_long_measures(long: DataFrame, path: str, rows_per_file: int = 5_000_0
     long.repartitionByRange(files, "service", "mode", "geo_code").write.partitionBy("service", "mode").parquet(path)
 
 
+def _by_mode(access: DataFrame) -> DataFrame:
+    """The table stored with a folder per mode, cut into equal ranges of zones."""
+    path = scratch_path(access.sparkSession, "access-by-mode")
+    files = int(access.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    access.repartitionByRange(files, "mode", "geo_code").write.partitionBy("mode").parquet(path)
+    return access.sparkSession.read.schema(access.schema).parquet(path)
+
+
 def write_service_tables(access: DataFrame, services: Sequence[str], cuts: Sequence[int], path: str) -> None:
     """Public form: one table per service and mode with that service's columns, empty columns left out.
 
-    ``access`` should be a stored table, since it is read once per output table. One aggregate tells
-    which columns hold anything in which mode.
+    The table is stored once by mode; each output then reads its own mode and columns, so all outputs together read it
+    once. One aggregate tells which columns hold anything in which mode.
     """
+    access = _by_mode(access)
     present = access.groupBy("mode").agg(*[F.count(c).alias(c) for c in access.columns if c != "mode"]).collect()
     for service in services:
         names = [access_name(service, c) for c in cuts] + [pct_name(service, c) for c in cuts] + [nearest_name(service)]
