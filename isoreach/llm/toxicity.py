@@ -6,7 +6,8 @@ become plain letters, invisible characters go, everything that is no letter beco
 Learning, from labelled rows only and from a bounded sample of them (``sample`` of each class, by a hash of the id; the
 weights are corrected for the true share of the classes):
   1. Entries are whole words and word beginnings of 3 to 8 letters of toxic texts. Support is the number of different
-     words before an entry, so a text copied a thousand times supports its words once. At most ``MOST_CANDIDATES``.
+     words before an entry, so a text copied a thousand times supports its words once. All entries with enough support
+     are counted, in Spark; only those whose rates differ enough reach the driver.
   2. Each is weighted by the log of its document rates in toxic and in other texts. A beginning gives way to a longer
      entry that explains as many texts.
   3. Exception phrases: word forms, and pairs of words, that hold an entry only in texts that are not toxic.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import itertools
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -32,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoreach.llm.batches import by_bytes, tidy
+from isoreach.session import materialise
 
-MOST_CANDIDATES = 20_000
 _SHORT, _LONG = 3, 8
 
 #: Letters that look like others, and digits and signs that stand for letters.
@@ -153,24 +154,27 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
     rows = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic")
 
     pairs = rows.mapInArrow(tidy(_supports), "entry string, before string")
-    ranked = pairs.groupBy("entry").agg(F.countDistinct("before").alias("support")).filter(F.col("support") >= support)
-    candidates = [r["entry"] for r in ranked.orderBy(F.desc("support"), "entry").limit(MOST_CANDIDATES).collect()]
-    wanted = frozenset(candidates)
+    supported = pairs.groupBy("entry").agg(F.countDistinct("before").alias("support")).filter(F.col("support") >= support)
 
     def in_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _texts(batches):
             counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for row in part:
-                words = set(words_of(row["text"]))
-                counts[row["toxic"]].update(wanted.intersection(e for w in words for e in entries_of(w)))
+                counts[row["toxic"]].update({e for w in set(words_of(row["text"])) for e in entries_of(w)})
                 counts[row["toxic"]][""] += 1
             flat = [(e, c, n) for c in (0, 1) for e, n in counts[c].items()]
             yield _table(flat, ("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64()))
 
-    counted = rows.mapInArrow(tidy(in_texts), "entry string, toxic int, n long").groupBy("entry", "toxic").agg(F.sum("n").alias("n"))
-    seen = {(r["entry"], r["toxic"]): r["n"] for r in counted.collect()}  # two rows a candidate at most
-    texts = [max(1, seen.get(("", c), 0)) for c in (0, 1)]
-    lexicon = Lexicon(_choose(candidates, seen, texts, least_ratio))
+    of_class = lambda c: F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0))
+    counted = rows.mapInArrow(tidy(in_texts), "entry string, toxic int, n long").groupBy("entry").agg(of_class(1).alias("bad"), of_class(0).alias("clean"))
+    counted = materialise(counted, "entry-counts")
+    all_texts = counted.filter("entry = ''").first()
+    texts = [max(1, all_texts["clean"]), max(1, all_texts["bad"])] if all_texts else [1, 1]
+    ratio = F.log((F.col("bad") + 0.5) / (texts[1] + 1) / ((F.col("clean") + 0.5) / (texts[0] + 1)))
+    marking = counted.join(supported.select("entry"), "entry").filter(ratio >= least_ratio)
+    # Entries of the bounded sample that mark toxic texts.
+    seen = {r["entry"]: (r["bad"], r["clean"]) for r in marking.collect()}
+    lexicon = Lexicon(_choose(seen, texts))
     machine = lexicon.automaton()
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,12 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
             yield _table(flat, ("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64()))
 
     if lexicon.weights:
-        met = rows.mapInArrow(tidy(forms), "entry string, toxic int, n long").groupBy("entry").agg(
-            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"),
-            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        )
-        met = met.filter((F.col("clean") >= 3) & (F.col("bad") == 0)).orderBy(F.desc("clean"), "entry")
-        lexicon.exceptions = [r["entry"] for r in met.limit(MOST_CANDIDATES).collect()]
+        met = rows.mapInArrow(tidy(forms), "entry string, toxic int, n long").groupBy("entry").agg(of_class(0).alias("clean"), of_class(1).alias("bad"))
+        lexicon.exceptions = sorted(r["entry"] for r in met.filter((F.col("clean") >= 3) & (F.col("bad") == 0)).collect())
         machine = lexicon.automaton()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +199,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, support: int =
             flat = [(*_features(own, words_of(r["text"])), r["toxic"]) for r in part]
             yield _table(flat, ("total", pa.float64()), ("density", pa.float64()), ("toxic", pa.int32()))
 
-    # At most 2 * sample rows of three numbers, where ids repeat in documents a few more.
-    points = rows.mapInArrow(tidy(features), "total double, density double, toxic int").toPandas().sort_values(["toxic", "total", "density"])
+    points = rows.mapInArrow(tidy(features), "total double, density double, toxic int").groupBy("toxic", "total", "density").agg(F.count("*").alias("n"))
+    points = points.toPandas().sort_values(["toxic", "total", "density"])  # one row for equal points, however many rows share an id
     if not len(points):
         return lexicon
-    toxic = points["toxic"].to_numpy().astype(float)
-    share = np.where(toxic == 1, sizes[1] / max(1, toxic.sum()), sizes.get(0, 0) / max(1, (1 - toxic).sum()))
-    lexicon.curve = _fit_curve(points[["total", "density"]].to_numpy(), toxic, share / share.mean())
+    toxic, n = points["toxic"].to_numpy().astype(float), points["n"].to_numpy().astype(float)
+    share = np.where(toxic == 1, sizes[1] / max(1, (toxic * n).sum()), sizes.get(0, 0) / max(1, ((1 - toxic) * n).sum())) * n
+    lexicon.curve = _fit_curve(points[["total", "density"]].to_numpy(), toxic, share * n.sum() / share.sum())
     return lexicon
 
 
@@ -214,14 +214,10 @@ def _table(rows: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, columns, strict=True)], names=[n for n, _ in columns])
 
 
-def _choose(candidates: Iterable[str], seen: dict, texts: list[int], least_ratio: float) -> dict[str, float]:
-    """Weights of the entries that mark toxic texts, without those that another entry explains."""
-    weights, bad = {}, {}
-    for e in candidates:
-        bad[e], clean = seen.get((e, 1), 0), seen.get((e, 0), 0)
-        ratio = float(np.log((bad[e] + 0.5) / (texts[1] + 1) / ((clean + 0.5) / (texts[0] + 1))))
-        if ratio >= least_ratio:
-            weights[e] = ratio
+def _choose(seen: dict[str, tuple[int, int]], texts: list[int]) -> dict[str, float]:
+    """Weights of the entries (texts with it: toxic, others) that mark toxic texts, without those that another explains."""
+    bad = {e: b for e, (b, _) in seen.items()}
+    weights = {e: float(np.log((b + 0.5) / (texts[1] + 1) / ((c + 0.5) / (texts[0] + 1)))) for e, (b, c) in seen.items()}
     longer: dict[str, int] = {}
     for e in weights:
         stem = e.rstrip(" ")

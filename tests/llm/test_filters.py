@@ -1,5 +1,7 @@
 import itertools
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -67,6 +69,36 @@ def test_slices_of_seeds_find_the_same(spark):
     assert rows(sliced, "doc_id", "item_id", "n_matched") == whole and whole
 
 
+def test_long_items_and_many_rows_of_one_id(spark):
+    item = words(20_000)
+    swapped = [w if k % 7 else "Q" for k, w in enumerate(item[:3000])]
+    given = [(1, " ".join(["a"] * 50 + item)), (2, " ".join(swapped)), *[(None, f"x{k} " + " ".join(item[k * 40 : k * 40 + 20])) for k in range(300)]]
+    start = time.time()
+    got = rows(decontamination.overlaps(documents(spark, given), benchmark(spark, [(5, " ".join(item))])), "doc_id", "first_token", "n_matched")
+    assert got == [(1, 50, 20_000), (2, 0, 2571), (None, 1 - 299 * 40, 20)] and time.time() - start < 60
+
+
+def test_automaton_against_plain_search():
+    """Every entry searched on its own, and matches inside an exception phrase left out."""
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choice("abcs") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    for _ in range(300):
+        entries = {f" {some(1)}{rng.choice(['', ' '])}": float(rng.randint(1, 9)) for _ in range(8)}
+        phrases = [f" {some(rng.randint(1, 2))} " for _ in range(4)]
+        machine = toxicity.Lexicon(entries, phrases).automaton()
+        text = toxicity.words_of(some(rng.randint(0, 30)).replace("s", rng.choice("s5$ѕ")))
+        line = f" {' '.join(text)} "
+        places = lambda e: [k for k in range(len(line)) if line.startswith(e, k)]  # noqa: E731,B023
+        free = [(k, k + len(p) - 1) for p in phrases for k in places(p)]
+        best = {}
+        for e, weight in entries.items():
+            for k in places(e) if e not in phrases else []:
+                if not any(a <= k and k + len(e) - 1 <= b for a, b in free):
+                    best[k] = max(weight, best.get(k, 0.0))
+        total = sum(best.values())
+        assert toxicity._features(machine, text) == (total, 100 * total / max(len(text), 20) if text else 0.0)
+
+
 def test_empty_sides(spark):
     some = [(1, " ".join(words(20)))]
     assert decontamination.overlaps(documents(spark, []), benchmark(spark, some)).count() == 0
