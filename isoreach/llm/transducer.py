@@ -10,9 +10,12 @@ they are first met, and each worker keeps the compiled table; when the table is
 which costs time, not counts.
 
 Running. The characters of a batch are cut into chunks of equal length that are run side by side, one array operation
-per place. A chunk's entry state is guessed by running the ``WARM`` characters before it. A blank after another
-character always leads to the same state, so the guess is nearly always right; the chunks' maps (entry state -> exit
-state, tokens) are then composed from left to right, and a chunk whose entry was guessed wrongly is run again.
+per place. Each chunk has a map from entry states to exit states and tokens; chunks with the same characters share
+one. It begins with one entry, found by running the ``WARM`` characters before the chunk; then, for all chunks at once,
+the exits of a chunk that are no entry of the next one become entries there, until none is missing. A blank after another
+character always leads to the same state, so in usual text the first entries are nearly all; a long run of one letter has
+few different chunks. The maps, which now lead from entries to entries, are composed in doubling steps, which gives every
+chunk's true entry. Where maps grow beyond ``MOST_ENTRIES`` a chunk on average, the rest of the chunks follow one by one.
 
 A vocabulary with byte fallback gives an unknown character one token for each of its bytes. No piece joins a blank to
 the character before it; the loader checks this and that every character of a piece is a piece.
@@ -24,6 +27,7 @@ import numpy as np
 
 BLANK = "▁"
 WARM, CHUNK = 48, 1024
+MOST_ENTRIES = 64
 _MOST_STATES = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REST, _COUNT_0 = (1 << 40) - 1, 512
@@ -202,6 +206,8 @@ class Transducer:
         if len(self.states) > _MOST_STATES:
             self._clear()
         sizes = np.array([len(t) for t in texts], np.int64)
+        if not len(texts):
+            return sizes
         # Each text: the mark between documents, then the prefix (none for an empty text), then its characters.
         long = sizes + 1 + (sizes > 0) * len(self.prefix)
         text = "".join("\0" + self.prefix + t if t else "\0" for t in texts)
@@ -217,20 +223,93 @@ class Transducer:
         warm = np.zeros((chunks, WARM), np.int64)
         warm[1:] = grid[:-1, -WARM:]
         columns = np.ascontiguousarray(grid.T)
-        added = np.empty((CHUNK, chunks), np.int16)
         entry = self._run(np.ascontiguousarray(warm.T), np.zeros(chunks, np.int64), None)
-        leave = self._run(columns, entry, added)
-        k = 1
-        while k < chunks:
-            wrong = np.flatnonzero(entry[k:] != leave[k - 1 : -1])
-            if not len(wrong):
+        kinds: dict[bytes, int] = {}
+        content = np.array([kinds.setdefault(row.astype(np.int16).tobytes(), len(kinds)) for row in grid], np.int64)
+        maps = _Maps(content)
+        place = np.zeros(len(kinds), np.int64)  # of some chunk with these characters
+        place[content] = np.arange(chunks)
+        wanted = maps.missing(content, entry)
+        while len(wanted[0]):
+            added = np.empty((CHUNK, len(wanted[0])), np.int16)
+            leave = self._run(columns[:, place[wanted[0]]], wanted[1], added)
+            wanted = maps.add(*wanted, leave, added)
+            if len(maps.kind) > MOST_ENTRIES * chunks:
                 break
-            # The first of them gets its true entry; right ones after it stay, the next wrong one is looked for anew.
-            k += int(wrong[0])
-            entry[k] = leave[k - 1]
-            leave[k] = self._run(columns[:, k : k + 1], entry[k : k + 1], added[:, k : k + 1])[0]
-            k += 1
-        return np.add.reduceat(added.T.reshape(-1)[:n].astype(np.int64), starts) if len(texts) else sizes
+        added = np.empty((CHUNK, chunks), np.int16)
+        known, state = maps.follow(int(entry[0]), added)
+        for k in range(known, chunks):
+            state = int(self._run(columns[:, k : k + 1], np.array([state]), added[:, k : k + 1])[0])
+        return np.add.reduceat(added.T.reshape(-1)[:n].astype(np.int64), starts)
+
+
+class _Maps:
+    """Maps of chunks, by their content: entry states, and where each leads."""
+
+    def __init__(self, content: np.ndarray) -> None:
+        self.content = content
+        self.after: dict[int, set[int]] = {}
+        for a, b in zip(content[:-1].tolist(), content[1:].tolist(), strict=True):
+            self.after.setdefault(a, set()).add(b)
+        #: Number of each entry (content, state), and by number its content, exit and rank in its map.
+        self.known: dict[tuple[int, int], int] = {}
+        self.kind, self.leave, self.rank = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.blocks: list[np.ndarray] = []
+        self.firsts: list[int] = []
+
+    def missing(self, content: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different entries among these that are not known."""
+        new = set(zip(content.tolist(), state.tolist(), strict=True)).difference(self.known)
+        out = np.array(sorted(new), np.int64).reshape(-1, 2)
+        return out[:, 0], out[:, 1]
+
+    def add(self, content: np.ndarray, entry: np.ndarray, leave: np.ndarray, added: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes entries with their exits and tokens; returns the entries that are missing now."""
+        first = len(self.kind)
+        self.firsts.append(first)
+        self.blocks.append(added)
+        self.known.update(zip(zip(content.tolist(), entry.tolist(), strict=True), range(first, first + len(content)), strict=True))
+        sizes = np.bincount(self.kind, minlength=int(content.max()) + 1)
+        order = np.argsort(content, kind="stable")
+        nth = np.empty(len(content), np.int64)
+        nth[order] = np.arange(len(content)) - np.searchsorted(content[order], content[order], "left")
+        self.rank = np.concatenate([self.rank, sizes[content] + nth])
+        self.kind, self.leave = np.concatenate([self.kind, content]), np.concatenate([self.leave, leave])
+        pairs = [(b, s) for a, s in zip(content.tolist(), leave.tolist(), strict=True) for b in self.after.get(a, ())]
+        nexts = np.array(pairs, np.int64).reshape(-1, 2)
+        return self.missing(nexts[:, 0], nexts[:, 1])
+
+    def follow(self, entry: int, out: np.ndarray) -> tuple[int, int]:
+        """Tokens of the chunks on the way from the first chunk's entry; how many are known, and the exit of the last."""
+        order = np.argsort(self.kind, kind="stable")
+        entries = {}
+        for numbers in np.split(order, np.flatnonzero(np.diff(self.kind[order])) + 1):
+            entries[int(self.kind[numbers[0]])] = numbers[np.argsort(self.rank[numbers])]
+        # Every chunk's entries in a row, chunk after chunk; the last place stands for an entry that is not known.
+        sizes = np.array([len(entries[c]) for c in self.content.tolist()], np.int64)
+        start = np.cumsum(sizes) - sizes
+        none = int(sizes.sum())
+        steps: dict[tuple[int, int], np.ndarray] = {}
+        jump = np.full(none + 1, none, np.int64)
+        for k, (a, b) in enumerate(zip(self.content[:-1].tolist(), self.content[1:].tolist(), strict=True)):
+            if (a, b) not in steps:
+                to = [self.known.get((b, s), -1) for s in self.leave[entries[a]].tolist()]
+                steps[a, b] = np.array([self.rank[t] if t >= 0 else -1 for t in to], np.int64)
+            rank = steps[a, b]
+            jump[start[k] : start[k] + sizes[k]] = np.where(rank < 0, none, start[k + 1] + rank)
+        number = self.known.get((int(self.content[0]), entry))
+        way = np.array([none if number is None else self.rank[number]], np.int64)
+        while len(way) < len(self.content):  # the way of twice the length, then the maps of twice as many chunks
+            way = np.concatenate([way, jump[way]])
+            jump = jump[jump]
+        way = way[: len(self.content)]
+        way = way[: int(np.argmax(np.append(way == none, True)))]
+        met = np.array([entries[c][w - a] for c, w, a in zip(self.content.tolist(), way.tolist(), start.tolist(), strict=False)], np.int64)
+        rounds = np.searchsorted(self.firsts, met, "right") - 1
+        for r in np.unique(rounds).tolist():
+            here = np.flatnonzero(rounds == r)
+            out[:, here] = self.blocks[r][:, met[here] - self.firsts[r]]
+        return len(met), int(self.leave[met[-1]]) if len(met) else entry
 
 
 def sentencepiece(path: str) -> Transducer:
