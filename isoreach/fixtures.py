@@ -40,14 +40,13 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "f_landuse": """
         SELECT z.id, z.employment_all, z.employment_promo_1, z.employment_standard_2, z.employment_economy_3,
-               COALESCE(h.n, 0) AS hospitals, COALESCE(g.n, 0) AS gp_practices,
+               COALESCE(n.hospitals, 0) AS hospitals, COALESCE(n.gp_practices, 0) AS gp_practices,
                COALESCE(z.main_bua, 0) AS main_bua, COALESCE(z.park_ha, 0) AS park_ha,
                COALESCE(z.park_accesspoints, 0) AS park_accesspoints
         FROM f_zone z
-        LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM f_poi WHERE service = 'hospitals' GROUP BY zone_id) h
-               ON h.zone_id = z.id
-        LEFT JOIN (SELECT zone_id, COUNT(*) AS n FROM f_poi WHERE service = 'gp_practices' GROUP BY zone_id) g
-               ON g.zone_id = z.id""",
+        LEFT JOIN (SELECT zone_id, COUNT(CASE WHEN service = 'hospitals' THEN 1 END) AS hospitals,
+                          COUNT(CASE WHEN service = 'gp_practices' THEN 1 END) AS gp_practices
+                   FROM f_poi GROUP BY zone_id) n ON n.zone_id = z.id""",
     "f_postcode": """
         SELECT CONCAT('PC', CAST(c_custkey AS STRING)) AS pcds,
                CONCAT(CASE c_nationkey % 3 WHEN 0 THEN 'E' WHEN 1 THEN 'S' ELSE 'W' END,

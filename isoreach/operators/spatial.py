@@ -12,23 +12,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoreach.functions.predicates import side
 from isoreach.operators import geometry as g
 from isoreach.operators.joins import lookup_join
 from isoreach.session import materialise
 
 
 def _crosses(x: Column, y: Column) -> Column:
-    """Whether a ray to the right of (x, y) passes the edge; a vertex counts for one of its edges."""
+    """Whether a ray to the right of (x, y) passes the edge; a vertex counts for one of its edges. Exact."""
     spans = (F.col("y1") > y) != (F.col("y2") > y)
-    at = F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
-    return F.coalesce(spans & (x < at), F.lit(False))
+    left = F.when(F.col("y1") < F.col("y2"), 1).otherwise(-1)
+    return F.coalesce(spans & (F.col("_side") == left), F.lit(False))
 
 
 def _touches(x: Column, y: Column) -> Column:
-    side = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
     within_x = x.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
     within_y = y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    return F.coalesce((side == 0) & within_x & within_y, F.lit(False))
+    return F.coalesce((F.col("_side") == 0) & within_x & within_y, F.lit(False))
 
 
 def _inside(candidates: DataFrame, strips: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,6 +40,7 @@ def _inside(candidates: DataFrame, strips: DataFrame, keys: list[str]) -> DataFr
     """
     tested = lookup_join(candidates, strips, ["poly_id", "strip"], "left")
     x, y = F.col("x"), F.col("y")
+    tested = tested.withColumn("_side", side(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), x, y))
     verdict = tested.groupBy(*keys, "poly_id").agg(
         F.bool_or(F.col("strip").isNull()).alias("_known"),
         (F.count_if(_crosses(x, y)) % 2 == 1).alias("_odd"),
