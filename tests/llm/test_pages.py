@@ -137,3 +137,54 @@ def test_reputation_shrinks_towards_the_levels_above(spark):
 
 def test_reputation_query(spark, sf_dir):
     assert difference(registry.op2_reputation(spark, sf_dir), connect(sf_dir), reputation.judge_sql()) is None
+
+
+def shrunk(counts, z=2.0):
+    """Posterior mean and lower bound of each host from {host: (labelled pages, blocked)}, level by level."""
+    def posterior(groups, parents):
+        """groups: {name: (n, bad)}; parents: {name: (mean, variance)}."""
+        seen = [(n, b, parents[g][0]) for g, (n, b) in groups.items() if n]
+        spread = sum(n * (b / n - m) ** 2 for n, b, m in seen) - sum(m * (1 - m) for _, _, m in seen)
+        most = sum(m * (1 - m) * (n - 1) for n, _, m in seen)
+        share = min(0.99, max(0.001, spread / most)) if most > 0 else 0.5
+        strength, out = 1 / share - 1, {}
+        for g, (n, b) in groups.items():
+            up, unsure = parents[g]
+            alpha, beta = strength * up + b, strength * (1 - up) + n - b
+            mean = alpha / (alpha + beta)
+            out[g] = mean, alpha * beta / ((alpha + beta) ** 2 * (alpha + beta + 1)) + (strength / (n + strength)) ** 2 * unsure
+        return out
+
+    def grouped(name):
+        out = {}
+        for h, (n, b) in counts.items():
+            a, c = out.get(name(h), (0, 0))
+            out[name(h)] = a + n, c + b
+        return out
+
+    suffix, domain = (lambda h: h.split(".")[-1]), (lambda h: ".".join(h.split(".")[-2:]))
+    root = (sum(b for _, b in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 1)
+    suffixes = posterior(grouped(suffix), {g: (root, 0.0) for g in grouped(suffix)})
+    domains = posterior(grouped(domain), {g: suffixes[suffix(g)] for g in grouped(domain)})
+    hosts = posterior(counts, {h: domains[domain(h)] for h in counts})
+    return {h: (m, m - z * v**0.5) for h, (m, v) in hosts.items()}
+
+
+def test_reputation_against_a_plain_version(spark, sf_dir):
+    """Beta-binomial posteriors computed one by one, on the given pages and on hosts of all kinds."""
+    import random
+
+    rng = random.Random(1)
+    names = ["a.com", "www.a.com", "b.net", "x.b.net", "y.b.net", "c.org", "", "localhost", "www.example.com", "example.com", "z.fr", "u.v.z.fr"]
+    made = [(i, f"https://{rng.choice(names)}/{rng.choice(['en', 'es', 'fr', 'q'])}/{i}", None) for i in range(900)] + [(9000, None, None)]
+    for given in (pages(spark, made), registry.table(spark, sf_dir, "pages")):
+        got = reputation.judge_urls(given).collect()
+        counts, said = {}, dict(reputation.RULES)
+        for r in got:
+            n, b = counts.get(r["host"], (0, 0))
+            counts[r["host"]] = n + (r["rule"] is not None), b + (said.get(r["rule"]) == "block")
+        want = shrunk(counts)
+        for r in got:
+            mean, low = want[r["host"]]
+            assert abs(r["reputation"] - mean) < 2e-6
+            assert r["verdict"] == (said[r["rule"]] if r["rule"] else "block" if low > 0.5 else "allow")

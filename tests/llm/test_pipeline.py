@@ -1,8 +1,10 @@
 """The pipeline's stages against plain versions, one after another."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from isoreach.llm.registry import table, vocabulary
-from tests.llm.helpers import jaccard_plain, repeats_plain
+from tests.llm.helpers import documents, jaccard_plain, repeats_plain
 from tests.llm.test_tokens import check_pieces, ids_of
 
 
@@ -36,3 +38,20 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nothing at all; null and repeated ids, null and empty texts and a column that clashes."""
+    some = [(None, "a row without an id"), (None, None), (5, "twice " * 30), (5, "twice " * 30), (6, ""), (7, None), (8, "kind words " * 40)]
+    empty, odd = documents(spark, []), documents(spark, some).withColumn("part", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        out = stage(spark, odd, sf_dir)
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {None, 5, 6, 7, 8}
+        else:
+            assert out.columns == odd.columns
+            kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+            assert {d for d, _ in kept} == {None, 5, 6, 7, 8} and sum(d is None for d, _ in kept) == 2
+            if name != "near_copies":
+                assert sorted(kept, key=str) == sorted(some, key=str)

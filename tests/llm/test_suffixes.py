@@ -52,6 +52,25 @@ def test_query_on_whole_table(spark, sf_dir):
     assert rows(registry.op7_suffixes(spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_clashing_names(spark):
+    """Columns named as results are replaced; others and those of ``cut_texts`` stay."""
+    shared = "passage é " * 12
+    docs = documents(spark, [(1, "head " + shared), (2, shared + "tail")]).withColumnsRenamed({"lang": "kept", "source": "part", "n_chars": "n_bytes"})
+    out = suffixes.remove_repeats(docs)
+    assert out.columns == ["doc_id", "text", "part", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert rows(out, "doc_id", "n_removed") == [(1, 0), (2, len(shared.encode()))]
+    cut = suffixes.cut_texts(docs)
+    assert cut.columns == docs.columns and rows(cut, "doc_id", "kept") == [(1, "en"), (2, "en")]
+
+
+def test_few_very_long_texts(spark):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("abcdefgh ") for _ in range(1_500_000)) for _ in range(2)]
+    given = [(1, long[0]), (2, "x" + long[0][200_000:900_000] + "y"), (3, long[1]), (4, long[1][-60:])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(documents(spark, given, parts=1)).collect()}
+    assert got == {1: (0, 0), 2: (700_000, 1), 3: (0, 0), 4: (60, 1)}
+
+
 def test_cut_texts(spark):
     shared = "passage é " * 12
     given = [(1, "head " + shared), (2, shared + "tail"), (3, shared), (4, None), (5, "")]
