@@ -44,7 +44,7 @@ def _meetings(edges: DataFrame, keys: list[str]) -> DataFrame:
     As in ``spatial.box_pairs``, but boxes of no width or height count as well.
     """
     boxed = _boxed(edges)
-    size = g.typical_cell(boxed)
+    size = 8 * g.typical_cell(boxed)  # twice the middle edge, which then lies in one or two cells
     boxed = materialise(g.with_level(boxed, size), "edge-boxes")
     levels = F.lit(sorted(r[0] for r in boxed.select("level").distinct().collect())).cast("array<int>")
     own = boxed.withColumn("own", F.col("level")).withColumn("level", F.explode(levels)).filter(F.col("level") >= F.col("own"))
@@ -62,8 +62,15 @@ def _meetings(edges: DataFrame, keys: list[str]) -> DataFrame:
 def _nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(id, x, y): points inside an edge where it has to be cut."""
     p1, p2, q1, q2 = ((F.col(f"{t}_x{k}"), F.col(f"{t}_y{k}")) for t, k in (("p", 1), ("p", 2), ("q", 1), ("q", 2)))
+    # Edges that share an end and are not parallel meet nowhere else; neighbours along a ring are most of all pairs.
+    share = (p1[0] == q1[0]) & (p1[1] == q1[1])
+    for a, b in ((p1, q2), (p2, q1), (p2, q2)):
+        share = share | (a[0] == b[0]) & (a[1] == b[1])
+    straight, across = (p2[0] - p1[0]) * (q2[1] - q1[1]), (p2[1] - p1[1]) * (q2[0] - q1[0])
+    apart = F.abs(straight - across) > 1e-14 * (F.abs(straight) + F.abs(across))
+    pairs = _meetings(edges, keys).filter(~(share & apart))
     sides = {"a": side(*q1, *q2, *p1), "b": side(*q1, *q2, *p2), "c": side(*p1, *p2, *q1), "d": side(*p1, *p2, *q2)}
-    met = materialise(_meetings(edges, keys).select("p_id", "q_id", *[F.col(f"{t}_{c}{k}") for t in "pq" for k in (1, 2) for c in "xy"], *[s.alias(n) for n, s in sides.items()]), "edge-meetings")
+    met = materialise(pairs.select("p_id", "q_id", *[F.col(f"{t}_{c}{k}") for t in "pq" for k in (1, 2) for c in "xy"], *[s.alias(n) for n, s in sides.items()]), "edge-meetings")
 
     ux, uy, vx, vy = p2[0] - p1[0], p2[1] - p1[1], q2[0] - q1[0], q2[1] - q1[1]
     along = ((q1[0] - p1[0]) * vy - (q1[1] - p1[1]) * vx) / (ux * vy - uy * vx)
