@@ -57,7 +57,7 @@ _MARKS = frozenset(
 )
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?P<cut>\Z))|(?P<text>[^<]+|<)",
+    r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?P<cut>(?:\"[^\">]*|'[^'>]*)?\Z))|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 #: Words that may follow a mark in a name ("ad-slot", not "social-science"), and words that turn it into a layout's name.
