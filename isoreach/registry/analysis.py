@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isoreach import fixtures as fx
 from isoreach.functions import naming, text
 from isoreach.operators import geometry as g
-from isoreach.operators import ordering, reshape, stats
+from isoreach.operators import reshape, stats
 from isoreach.plans import analysis, metrics
 from isoreach.registry import REGISTRY
 from isoreach.registry.core import CUMULATIVE, CUTS, EXTRA, NEAREST, duck, wide_access

@@ -10,7 +10,7 @@ from isoreach.operators import geometry as g
 from isoreach.operators import joins, lookup, reshape, stats
 from isoreach.plans import analysis, services, weights
 from isoreach.registry import REGISTRY
-from isoreach.registry.core import EXTRA, duck, wide_access
+from isoreach.registry.core import duck, wide_access
 from isoreach.sources import readers
 
 sql = fx.duck_sql
