@@ -44,7 +44,7 @@ GRAM = 16
 _PLACE = np.uint64(24)
 #: Bytes handled as one array; a longer text is taken in parts that overlap, so that each window lies in one part.
 _BUFFER = (1 << 20) - 64
-_FLUSH = 1_000_000
+_FLUSH = 600_000
 #: Documents, and bytes of them, that are taken at a time.
 _ROWS = 250
 _SLICE_BYTES = 2 << 20
@@ -162,7 +162,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, bucket_suffixes: int = 400_000, group_bytes: int = 12 << 20, as_texts: bool = False
+    docs: DataFrame, length: int = 50, bucket_suffixes: int = 250_000, group_bytes: int = 8 << 20, as_texts: bool = False
 ) -> DataFrame:
     """All columns of ``docs`` and: kept (binary, the bytes that stay), n_bytes, n_removed, n_spans.
 
@@ -206,6 +206,7 @@ def remove_repeats(
 
     def sort_bucket(table: pa.Table) -> pa.Table:
         """kind 0: covered anchors; kind 1: spans to compare, with the number of their leading bytes."""
+        give_back()
         out = []
         kinds = table.column("kind").to_pylist()
         blobs = table.column("blob").to_pylist()
@@ -244,6 +245,7 @@ def remove_repeats(
 
     def fetch(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         """The spans to compare: kind 2, by bucket."""
+        give_back()
         if not wanted.num_rows or not texts.num_rows:
             return pa.Table.from_batches([_rows([], 2, [])])
         doc, at, check, group = (np.concatenate(c) for c in zip(*map(columns.load, wanted.column("blob").to_pylist()), strict=True))
@@ -269,6 +271,7 @@ def remove_repeats(
 
     def compare(table: pa.Table) -> pa.Table:
         """Windows that a smaller doc_id has too: kind 3, first and last window start."""
+        give_back()
         held, data = [], []
         for blob in table.column("blob").to_pylist():
             n = int.from_bytes(blob[:8], "little")
@@ -305,6 +308,7 @@ def remove_repeats(
     schema = docs.schema if as_texts else T.StructType([*docs.schema.fields, *extra])
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
+        give_back()
         blobs = list(zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True))
         whole = [columns.load(b) for k, b in blobs if k == 0]
         runs = [columns.load(b) for k, b in blobs if k == 3]
