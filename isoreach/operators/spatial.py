@@ -127,9 +127,63 @@ def points_within(points: DataFrame, polygons: DataFrame | PolygonLayer, radius:
     return inside.unionByName(near.filter(close).select("id", "poly_id")).distinct()
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """Where points lie, each place once, as ``id, x, y``."""
+    return materialise(points.select("x", "y").distinct().withColumn("id", F.monotonically_increasing_id()), "places")
+
+
+def polygons_met(points: DataFrame, polygons: DataFrame | PolygonLayer) -> DataFrame:
+    """Ids of the polygons that any of the points intersects.
+
+    A point in a whole cell decides its polygon, so only the polygons left undecided meet points one by one.
+    """
+    layer = _layer(polygons)
+    cell = ["level", "cx", "cy"]
+    placed = _places(points).select("id", "x", "y", F.explode(F.lit(list(layer.levels)).cast("array<int>")).alias("level"))
+    placed = g.with_cell(placed, g.level_size(layer.size))
+    occupied = materialise(placed.select(*cell).distinct(), "occupied")
+    reached = lookup_join(layer.index.select("poly_id", "whole", "y0", "h", *cell), occupied, cell, "left_semi")
+    reached = materialise(reached, "reached")
+    known = materialise(reached.filter("whole").select("poly_id").distinct(), "known")
+    near = lookup_join(lookup_join(reached.filter("NOT whole"), known, "poly_id", "left_anti"), placed, cell, "inner")
+    strip = F.floor((F.col("y") - F.col("y0")) / F.col("h"))
+    tested = _inside(near.select("id", "x", "y", "poly_id", strip.alias("strip")), layer.strips, ["id"])
+    return known.unionByName(tested.select("poly_id")).distinct()
+
+
+def _outlines_near(edges: DataFrame, places: DataFrame, radius: float, size: float) -> DataFrame:
+    """Ids of the polygons with an edge at most ``radius`` away from a place."""
+    reach = g.edge_cells(edges.select("poly_id", "x1", "y1", "x2", "y2"), size, radius)
+    near = lookup_join(reach, g.with_cell(places.select("x", "y"), size), ["cx", "cy"], "inner")
+    close = g.segment_distance_squared(F.col("x"), F.col("y")) <= radius * radius
+    return near.filter(close).select("poly_id").distinct()
+
+
 def polygons_within(polygons: DataFrame | PolygonLayer, points: DataFrame, radius: float) -> DataFrame:
-    """Ids of the polygons at most ``radius`` away from any of the points."""
-    return points_within(points, polygons, radius).select("poly_id").distinct()
+    """Ids of the polygons at most ``radius`` away from any of the points.
+
+    One place of each cell half as wide as the radius decides most polygons in a dense spot; only the others meet all
+    places. A place inside that is further than ``radius`` from every edge has a polygon at least twice as wide around it,
+    so no other polygons are asked what lies inside them.
+    """
+    edges = polygons.edges if isinstance(polygons, PolygonLayer) else polygons
+    places = _places(points)
+    boxes = materialise(g.bounds(edges), "boxes")
+    size = max(2 * radius, g.typical_cell(boxes) / 16)
+    some = places
+    if radius > 0:
+        some = places.groupBy(g.cell_of("x", radius / 2), g.cell_of("y", radius / 2)).agg(F.min(F.struct("x", "y")).alias("at")).select("at.*")
+    found = materialise(_outlines_near(edges, materialise(some.select("x", "y"), "some-places"), radius, size), "near-outlines")
+    if radius > 0:
+        rest = lookup_join(edges, found, "poly_id", "left_anti")
+        found = found.unionByName(materialise(_outlines_near(rest, places, radius, size), "near-outlines"))
+    least = 2 * radius * (1 - 1e-9)
+    wide = boxes.filter((F.col("xmax") - F.col("xmin") >= least) & (F.col("ymax") - F.col("ymin") >= least)).select("poly_id")
+    wide = materialise(lookup_join(wide, found, "poly_id", "left_anti"), "wide")
+    if not wide.limit(1).count():
+        return found.distinct()
+    layer = polygons if isinstance(polygons, PolygonLayer) else polygon_layer(lookup_join(edges, wide, "poly_id", "left_semi"))
+    return found.unionByName(polygons_met(places, layer)).distinct()
 
 
 def nearest_polygon(points: DataFrame, edges: DataFrame, size: float | None = None) -> DataFrame:

@@ -44,6 +44,12 @@ def test_hot_key_is_found_and_not_shuffled(skewed, lookup):
     assert "BroadcastHashJoin" in plan and "Union" in plan
 
 
+def test_lookup_that_would_fill_a_driver_is_not_broadcast(spark):
+    lookup = spark.range(700_000).select(F.col("id").alias("k"), *[(F.col("id") * i).alias(f"v{i}") for i in (1, 2, 3)])
+    plan = joins.lookup_join(spark.range(10).withColumnRenamed("id", "k"), lookup, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_measured_size(spark):
     df = spark.createDataFrame([("abc", 1), (None, 2)], "t string, n int")
     assert joins.measured_bytes(df) == 2 * 16 + 3

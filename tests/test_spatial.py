@@ -116,6 +116,26 @@ def test_within_and_nearest_of_stars(spark, stars, star_edges):
             assert near[i] == (best[1], pytest.approx(best[0]))
 
 
+def test_polygons_met_by_any_point(spark, stars, star_edges):
+    few = {i: stars[i] for i in list(stars)[:30]}
+    edges = star_edges.filter("poly_id < 30")
+    wide = spark.createDataFrame(ring(200, [(400, 400), (900, 400), (900, 900), (400, 900)]), EDGE)
+    few[200] = [(400, 400), (900, 400), (900, 900), (400, 900)]
+    edges = edges.unionByName(wide)
+    rng = random.Random(4)
+    spots = [(rng.uniform(-300, 1300), rng.uniform(-300, 1300)) for _ in range(25)] + [(650.0, 650.0)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots * 40)] + [(-1, None, None)], "id long, x double, y double")
+    met = [r["poly_id"] for r in sp.polygons_met(points, edges).collect()]
+    assert sorted(met) == sorted(p for p, s in few.items() if any(inside(s, x, y) for x, y in spots))
+    for radius in (0.0, 5.0, 60.0):
+        near = [r["poly_id"] for r in sp.polygons_within(edges, points, radius).collect()]
+        assert sorted(near) == sorted(p for p, s in few.items() if any(inside(s, x, y) or distance(s, x, y) <= radius for x, y in spots))
+        layer = sp.polygon_layer(edges)
+        assert sorted(r["poly_id"] for r in sp.polygons_within(layer, points, radius).collect()) == sorted(near)
+    # Copies of a point are one place, so they do not multiply what each polygon meets.
+    assert sp._places(points.filter("id >= 0")).count() == len(spots)
+
+
 def test_nearest_of_no_points(spark, star_edges):
     none = spark.createDataFrame([], "id long, x double, y double")
     assert sp.nearest_polygon(none, star_edges).count() == 0
