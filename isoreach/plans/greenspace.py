@@ -26,8 +26,7 @@ def park_entrances(site_edges: DataFrame, access: DataFrame) -> tuple[DataFrame,
     listed = lookup_join(access, park_ids, "ref_to_greenspace_site", "left_semi").select(
         F.concat(F.lit("a"), F.col("access_id")).alias("id"), "x", "y"
     )
-    everywhere = access.select(F.col("access_id").alias("id"), "x", "y")
-    entered = materialise(sp.points_in_polygons(everywhere, site_edges).select("poly_id").distinct(), "entered")
+    entered = materialise(sp.polygons_met(access, site_edges), "entered")
     closed = lookup_join(site_edges, entered, "poly_id", "left_anti")
     outline = g.boundary_points(closed, MAX_GAP).select(
         F.concat_ws("-", F.lit("b"), "poly_id", "ring_id", "seq", "step").alias("id"), "x", "y"

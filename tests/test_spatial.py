@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from isoreach.functions import geodesy
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial as sp
+from isoreach.plans import greenspace
 
 EDGE = "poly_id long, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double"
 
@@ -136,6 +137,16 @@ def test_polygons_met_by_any_point(spark, stars, star_edges):
     assert sp._places(points.filter("id >= 0")).count() == len(spots)
 
 
+def test_entrances_of_parks_in_one_place_do_not_multiply(spark, monkeypatch):
+    seen, plain = [], sp._inside
+    monkeypatch.setattr(sp, "_inside", lambda c, strips, keys: (seen.append(c.count()) if keys == ["id"] else None, plain(c, strips, keys))[1])
+    edges = spark.createDataFrame([e for i in range(60) for e in ring(i, [(0, 0), (8, 0), (8, 8), (0, 8)])] + ring(99, [(50, 50), (58, 50), (58, 58), (50, 58)]), EDGE)
+    access = spark.createDataFrame([(i, i % 60, 0.0, 4.0) for i in range(600)], "access_id long, ref_to_greenspace_site long, x double, y double")
+    every, listed = greenspace.park_entrances(edges, access)
+    assert listed.count() == 600 and every.count() == 604
+    assert sum(seen) <= 2 * 60
+
+
 def test_nearest_of_no_points(spark, star_edges):
     none = spark.createDataFrame([], "id long, x double, y double")
     assert sp.nearest_polygon(none, star_edges).count() == 0
