@@ -50,10 +50,11 @@ def _meetings(edges: DataFrame, keys: list[str]) -> DataFrame:
     own = boxed.withColumn("own", F.col("level")).withColumn("level", F.explode(levels)).filter(F.col("level") >= F.col("own"))
     cells = g.box_cells(own, g.level_size(size))
     cell = [*keys, "level", "cx", "cy"]
-    sides = {t: cells.select(*cell, *[F.col(c).alias(f"{t}_{c}") for c in ("id", "part", "own", "x1", "y1", "x2", "y2", "xmin", "ymin", "xmax", "ymax")]) for t in "pq"}
+    sides = {t: cells.select(*cell, *[F.col(c).alias(f"{t}_{c}") for c in ("id", "part", "several", "own", "x1", "y1", "x2", "y2", "xmin", "ymin", "xmax", "ymax")]) for t in "pq"}
     low_x, low_y = F.greatest("p_xmin", "q_xmin"), F.greatest("p_ymin", "q_ymin")
+    strange = (F.col("p_part") != F.col("q_part")) | F.col("p_several") | F.col("q_several")
     return lookup_join(sides["p"], sides["q"], cell, "inner").filter(
-        (F.col("p_id") < F.col("q_id")) & (F.col("p_part") != F.col("q_part")) & (F.col("level") == F.greatest("p_own", "q_own"))
+        (F.col("p_id") < F.col("q_id")) & strange & (F.col("level") == F.greatest("p_own", "q_own"))
         & (low_x <= F.least("p_xmax", "q_xmax")) & (low_y <= F.least("p_ymax", "q_ymax"))
         & (g.cell_of(low_x, g.level_size(size)) == F.col("cx")) & (g.cell_of(low_y, g.level_size(size)) == F.col("cy"))
     )
@@ -98,27 +99,27 @@ def _nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def _pieces(edges: DataFrame, keys: list[str], layers: int) -> DataFrame:
     """Cut pieces, each once and upwards (level ones to the right), with the net number of copies per layer."""
+    counts = [f"n{k}" for k in range(layers)]
     nodes = materialise(_nodes(edges, keys), "edge-nodes")
     cut = materialise(nodes.select("id").distinct(), "cut-edges")
-    line = ["id", *keys, "layer", "x1", "y1", "x2", "y2"]
+    line = ["id", *keys, *counts, "x1", "y1", "x2", "y2"]
     whole = edges.select(*line).join(cut, "id", "left_anti")
     ends = edges.select(*line).join(cut, "id", "left_semi")
     points = ends.select(*line, F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(ends.select(*line, F.col("x2").alias("x"), F.col("y2").alias("y")))
     points = points.unionByName(ends.join(nodes, "id").select(*line, "x", "y")).distinct()
     ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     along = Window.partitionBy("id").orderBy((F.col("x") - F.col("x1")) * ux + (F.col("y") - F.col("y1")) * uy)
-    parts = points.select(*keys, "layer", "x", "y", F.lead("x").over(along).alias("to_x"), F.lead("y").over(along).alias("to_y")).filter("to_x IS NOT NULL")
-    parts = parts.select(*keys, "layer", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("to_x").alias("x2"), F.col("to_y").alias("y2"))
+    parts = points.select(*keys, *counts, "x", "y", F.lead("x").over(along).alias("to_x"), F.lead("y").over(along).alias("to_y")).filter("to_x IS NOT NULL")
+    parts = parts.select(*keys, *counts, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("to_x").alias("x2"), F.col("to_y").alias("y2"))
     parts = parts.unionByName(whole.drop("id"))
     up = (F.col("y1") < F.col("y2")) | ((F.col("y1") == F.col("y2")) & (F.col("x1") < F.col("x2")))
     corner = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
     directed = parts.select(
-        *keys, "layer", F.when(up, 1).otherwise(-1).alias("sign"),
+        *keys, *[F.when(up, F.col(n)).otherwise(-F.col(n)).alias(n) for n in counts],
         corner("x1", "x2").alias("x1"), corner("y1", "y2").alias("y1"), corner("x2", "x1").alias("x2"), corner("y2", "y1").alias("y2"),
     )
-    net = [F.sum(F.when(F.col("layer") == k, F.col("sign")).otherwise(0)).alias(f"n{k}") for k in range(layers)]
-    pieces = directed.groupBy(*keys, "x1", "y1", "x2", "y2").agg(*net)
-    some = " OR ".join(f"n{k} <> 0" for k in range(layers))
+    pieces = directed.groupBy(*keys, "x1", "y1", "x2", "y2").agg(*[F.sum(n).alias(n) for n in counts])
+    some = " OR ".join(f"{n} <> 0" for n in counts)
     return materialise(pieces.filter(some).withColumn("id", F.monotonically_increasing_id()), "edge-pieces")
 
 
@@ -137,7 +138,10 @@ def _windings(pieces: DataFrame, keys: list[str], layers: int) -> DataFrame:
 
 
 def _border(edges: DataFrame, keys: list[str], layers: int, within) -> DataFrame:
-    """Directed pieces with the inside of ``within`` (of winding numbers by layer) to their left and not to their right."""
+    """Directed pieces with the inside of ``within`` (of winding numbers by layer) to their left and not to their right.
+
+    ``edges`` has ``part``, whether an edge is of ``several`` parts, and ``n0, n1, ...``, the copies of the edge per layer.
+    """
     numbered = materialise(edges.withColumn("id", F.monotonically_increasing_id()), "arranged-edges")
     pieces = _pieces(numbered, keys, layers)
     seen = pieces.join(_windings(pieces, keys, layers), "id", "left")
@@ -176,7 +180,8 @@ def fragments(left: DataFrame, right: DataFrame, size: float | None = None) -> D
     def of(edges: DataFrame, tag: str, layer: int) -> DataFrame:
         found = lookup_join(pairs.withColumn("poly_id", F.col(tag)), edges.select("poly_id", "x1", "y1", "x2", "y2"), "poly_id", "inner")
         near = (F.greatest("y1", "y2") >= F.col("oy0")) & (F.least("y1", "y2") <= F.col("oy1")) & (F.greatest("x1", "x2") >= F.col("ox0"))
-        return found.filter(near).select("p", "q", F.lit(layer).alias("layer"), F.lit(layer).alias("part"), "x1", "y1", "x2", "y2")
+        copies = [F.lit(int(k == layer)).alias(f"n{k}") for k in (0, 1)]
+        return found.filter(near).select("p", "q", *copies, F.lit(layer).alias("part"), F.lit(False).alias("several"), "x1", "y1", "x2", "y2")
 
     both = of(left, "p", 0).unionByName(of(right, "q", 1))
     # Beyond the overlap's right side edges only count for winding, which a piece cut there would not change.
@@ -191,7 +196,15 @@ def outlines(edges: DataFrame, by: str | None = None) -> DataFrame:
     """
     group = F.lit(1).alias("poly_id") if by is None else F.col(by)
     name = "poly_id" if by is None else by
-    parted = edges.select(group, F.col("poly_id").alias("part"), F.lit(0).alias("layer"), "x1", "y1", "x2", "y2")
+    up = (F.col("y1") < F.col("y2")) | ((F.col("y1") == F.col("y2")) & (F.col("x1") < F.col("x2")))
+    corner = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
+    parted = edges.select(
+        group, F.col("poly_id").alias("part"), F.when(up, 1).otherwise(-1).alias("n0"),
+        corner("x1", "x2").alias("x1"), corner("y1", "y2").alias("y1"), corner("x2", "x1").alias("x2"), corner("y2", "y1").alias("y2"),
+    )
+    # Equal edges are one with their number, as each would otherwise meet all the others.
+    several = F.coalesce(F.min("part") != F.max("part"), F.lit(False)).alias("several")
+    parted = parted.groupBy(name, "x1", "y1", "x2", "y2").agg(F.min("part").alias("part"), several, F.sum("n0").alias("n0"))
     return stitched(_border(parted, [name], 1, _in_any), [name])
 
 
@@ -235,7 +248,7 @@ def buffers(edges: DataFrame, radius: float, quarter: int = QUARTER) -> DataFram
     pairs = F.transform(F.sequence(F.lit(1), F.size("way") - 1), lambda i: F.struct(F.element_at("way", i).alias("a"), F.element_at("way", i + 1).alias("b")))
     pieces = curve.select("poly_id", F.posexplode(pairs), F.concat_ws("-", "ring_id", "place").alias("part"))
     pieces = pieces.select(
-        "poly_id", F.concat_ws("-", "part", "pos").alias("part"), F.lit(0).alias("layer"),
+        "poly_id", F.concat_ws("-", "part", "pos").alias("part"), F.lit(False).alias("several"), F.lit(1).alias("n0"),
         F.col("col.a.x").alias("x1"), F.col("col.a.y").alias("y1"), F.col("col.b.x").alias("x2"), F.col("col.b.y").alias("y2"),
     )
     pieces = pieces.filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))

@@ -115,6 +115,16 @@ def test_outline_by_group_and_of_one_hole(spark):
     assert ar.outlines(edges.limit(0)).count() == 0
 
 
+def test_outline_of_copies_meets_each_edge_once(spark, monkeypatch):
+    seen, plain = [], ar._meetings
+    monkeypatch.setattr(ar, "_meetings", lambda e, keys: (seen.append(e.count()), plain(e, keys))[1])
+    shapes = [(i, square(0, 0, 4)) for i in range(30)] + [(i, square(2, 2, 4)) for i in range(30, 50)]
+    edges = spark.createDataFrame([e for i, p in shapes for e in ring(i, p)], EDGE)
+    got = corners(ar.outlines(edges), "poly_id")
+    assert got == {(1,): [[(0, 0), (4, 0), (4, 2), (6, 2), (6, 6), (2, 6), (2, 4), (0, 4)]]}
+    assert seen == [8]
+
+
 def test_outline_of_overlapping_stars(spark, stars, star_edges):
     few = {i: p for i, p in stars.items() if i < 24}
     outline = ar.outlines(star_edges.filter("poly_id < 24"))
