@@ -23,13 +23,17 @@ from isoreach.functions.predicates import side
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial
 from isoreach.operators.joins import lookup_join
-from isoreach.operators.rings import stitched
+from isoreach.operators.rings import in_order, stitched
 from isoreach.session import materialise
 
 #: Crossings are rounded to this many metres: 2^-20, about a micrometre.
 SNAP = 2.0**-20
 #: Pieces of a quarter circle in a buffer.
 QUARTER = 30
+#: Edges and arcs shorter than this many metres are not told apart from rounding without cutting.
+SHORT = 1e-4
+#: Corners of one task where rings are closed in order.
+CORNERS = 20_000
 
 
 def _boxed(edges: DataFrame) -> DataFrame:
@@ -214,6 +218,9 @@ def buffers(edges: DataFrame, radius: float, quarter: int = QUARTER) -> DataFram
     Each edge is moved outwards; corners that turn left are rounded by an arc of ``quarter`` pieces per right angle, at
     the others the moved edges are tied to the vertex. Of this curve, which may run through itself, the places it winds
     around are the buffer. ``edges`` needs ``ring_id`` and ``seq``.
+
+    The curve of a polygon that is one closed ring, turns left at every corner and turns around once never meets itself:
+    it is the buffer as it stands. Only the other curves are cut and stitched.
     """
     if radius <= 0:
         raise ValueError("the radius of a buffer must be positive")
@@ -224,6 +231,7 @@ def buffers(edges: DataFrame, radius: float, quarter: int = QUARTER) -> DataFram
     corner = kept.select(
         "poly_id", F.row_number().over(ring).alias("place"), "ring_id", "x1", "y1", "x2", "y2",
         (follows["x2"] - follows["x1"]).alias("wx"), (follows["y2"] - follows["y1"]).alias("wy"),
+        ((follows["x1"] == F.col("x2")) & (follows["y1"] == F.col("y2"))).alias("joined"),
     )
     corner = materialise(corner, "buffer-corners")
 
@@ -244,12 +252,27 @@ def buffers(edges: DataFrame, radius: float, quarter: int = QUARTER) -> DataFram
     round_ = F.concat(F.array(end), arc, F.array(begin))
     tied = F.array(end, point(F.col("x2"), F.col("y2")), begin)
     way = F.concat(F.array(point(F.col("x1") + mx, F.col("y1") + my)), F.when(turn > 0, round_).otherwise(tied))
-    curve = corner.select("poly_id", "ring_id", "place", way.alias("way"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("way") - 1), lambda i: F.struct(F.element_at("way", i).alias("a"), F.element_at("way", i + 1).alias("b")))
-    pieces = curve.select("poly_id", F.posexplode(pairs), F.concat_ws("-", "ring_id", "place").alias("part"))
-    pieces = pieces.select(
-        "poly_id", F.concat_ws("-", "part", "pos").alias("part"), F.lit(False).alias("several"), F.lit(1).alias("n0"),
-        F.col("col.a.x").alias("x1"), F.col("col.a.y").alias("y1"), F.col("col.b.x").alias("x2"), F.col("col.b.y").alias("y2"),
+    steps_of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("a"), F.element_at(w, i + 1).alias("b")))
+    # Within a function the way is worked out once, not for each of its steps.
+    pairs = F.element_at(F.transform(F.array(way), steps_of), 1)
+
+    def pieces(of: DataFrame) -> DataFrame:
+        moved = of.select("poly_id", "ring_id", "place", F.posexplode(pairs))
+        ends = [F.col(f"col.{p}.{c}").alias(f"{c}{k}") for k, p in ((1, "a"), (2, "b")) for c in "xy"]
+        return moved.select("poly_id", "ring_id", "place", "pos", *ends).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+
+    sound = F.col("joined") & (F.sqrt(vx * vx + vy * vy) >= SHORT) & (radius * turn >= SHORT)
+    convex = corner.groupBy("poly_id").agg(
+        F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"), (F.min("ring_id") == F.max("ring_id")).alias("one"),
+        F.sum(turn).alias("turned"), F.count(F.lit(1)).alias("n"),
     )
-    pieces = pieces.filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
-    return stitched(_border(pieces, ["poly_id"], 1, _in_any), ["poly_id"])
+    convex = materialise(convex.filter(F.col("sound") & F.col("one") & (F.abs(F.col("turned") - 2 * math.pi) < 1)).select("poly_id", "n"), "convex")
+    tasks = 1 + (convex.agg(F.sum("n")).first()[0] or 0) // CORNERS
+    simple = lookup_join(corner, convex.select("poly_id"), "poly_id", "left_semi").repartition(tasks, "poly_id")
+    simple = in_order(pieces(simple), ["poly_id"], ["place", "pos"])
+    others = materialise(lookup_join(corner, convex.select("poly_id"), "poly_id", "left_anti"), "other-corners")
+    if not others.limit(1).count():
+        return simple
+    part = F.concat_ws("-", "ring_id", "place", "pos").alias("part")
+    curves = pieces(others).select("poly_id", part, F.lit(False).alias("several"), F.lit(1).alias("n0"), "x1", "y1", "x2", "y2")
+    return simple.unionByName(stitched(_border(curves, ["poly_id"], 1, _in_any), ["poly_id"]))

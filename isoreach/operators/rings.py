@@ -57,20 +57,30 @@ def stitched(edges: DataFrame, keys: list[str]) -> DataFrame:
     kept = edges.select(*keys, "x1", "y1", "x2", "y2").withColumn("id", F.monotonically_increasing_id())
     kept = materialise(kept, "loose-edges")
     placed = materialise(kept.join(_ranked(kept, keys), "id"), "ring-edges")
-    corners = _without_straight(placed, keys)
+    corners = _without_straight(placed, keys, ["leader"])
     firsts = corners.filter("first").select("leader", F.dense_rank().over(Window.partitionBy(*keys).orderBy("x1", "y1", "leader")).cast("int").alias("ring_id"))
     numbered = corners.join(firsts, "leader")
     return numbered.select(*keys, "ring_id", "seq", "x1", "y1", "x2", "y2")
 
 
-def _without_straight(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Drops the vertices at which a ring runs straight on."""
-    forward = Window.partitionBy("leader").orderBy(F.desc("ahead"))
+def in_order(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """As ``stitched``, for edges that close one ring for each key and follow each other in the order of some columns."""
+    ring = Window.partitionBy(*keys)
+    place = F.row_number().over(ring.orderBy(*order)).alias("place")
+    placed = edges.select(*keys, "x1", "y1", "x2", "y2", place, F.count(F.lit(1)).over(ring).alias("n"))
+    least = F.min(F.struct("x1", "y1", "place")).over(ring)["place"]
+    placed = placed.select(*keys, "x1", "y1", "x2", "y2", F.pmod(least - F.col("place"), "n").alias("ahead"))
+    return _without_straight(placed, keys, keys).select(*keys, F.lit(1).alias("ring_id"), "seq", "x1", "y1", "x2", "y2")
+
+
+def _without_straight(placed: DataFrame, keys: list[str], ring: list[str]) -> DataFrame:
+    """Drops the vertices at which a ring (the rows with equal ``ring``) runs straight on."""
+    forward = Window.partitionBy(*ring).orderBy(F.desc("ahead"))
     # The leader is 0 ahead of itself and comes first; of the others the one furthest behind it comes next.
     turn = F.when(F.col("ahead") == 0, F.lit(1 << 62)).otherwise(F.col("ahead"))
     ordered = placed.withColumn("ahead", turn)
     before = [F.lag(c).over(forward) for c in ("x1", "y1")]
-    last = Window.partitionBy("leader").orderBy("ahead").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = Window.partitionBy(*ring).orderBy("ahead").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wrap = [F.first(c).over(last) for c in ("x1", "y1")]
     ux, uy = F.col("x1") - F.coalesce(before[0], wrap[0]), F.col("y1") - F.coalesce(before[1], wrap[1])
     vx, vy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -81,7 +91,7 @@ def _without_straight(placed: DataFrame, keys: list[str]) -> DataFrame:
     start = [F.first(c).over(forward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("x1", "y1")]
     seq = F.row_number().over(forward)
     return corner.select(
-        *keys, "leader", seq.alias("seq"), (seq == 1).alias("first"), "x1", "y1", F.coalesce(after[0], start[0]).alias("x2"), F.coalesce(after[1], start[1]).alias("y2")
+        *dict.fromkeys([*keys, *ring]), seq.alias("seq"), (seq == 1).alias("first"), "x1", "y1", F.coalesce(after[0], start[0]).alias("x2"), F.coalesce(after[1], start[1]).alias("y2")
     )
 
 

@@ -133,6 +133,25 @@ def test_outline_of_overlapping_stars(spark, stars, star_edges):
     assert got == {i for i, x, y in spots() if any(inside(p, x, y) for p in few.values())}
 
 
+def test_buffers_of_convex_shapes_are_not_cut(spark, monkeypatch):
+    met, plain = [], ar._border
+    monkeypatch.setattr(ar, "_border", lambda e, *rest: (met.extend(r[0] for r in e.select("poly_id").distinct().collect()), plain(e, *rest))[1])
+    tall, kite, notch = [(0, 0), (3, 0), (3, 9), (0, 9)], [(20, 0), (26, 3), (21, 8), (17, 4)], [(40, 0), (50, 0), (50, 10), (45, 3), (40, 10)]
+    edges = spark.createDataFrame([e for i, p in ((1, tall), (2, kite), (3, notch), (4, tall), (4, tall)) for e in ring(i, p)], EDGE)
+    grown = ar.buffers(edges, 2.0).cache()
+    assert sorted(met) == [3, 4]
+    assert rings.open_ends(grown, ["poly_id"]).count() == 0
+    assert {r["poly_id"]: r["n"] for r in grown.groupBy("poly_id").agg(F.max("seq").alias("n")).collect()}[1] == 4 * ar.QUARTER + 4
+    found = corners(grown, "poly_id")
+    for poly, shape in ((1, tall), (2, kite)):
+        (outline,) = found[(poly,)]
+        assert outline[0] == min(outline)
+        around = sum(math.hypot(x - a, y - b) for (a, b), (x, y) in zip(shape, shape[1:] + shape[:1], strict=True))
+        own = sum(a * y - x * b for (a, b), (x, y) in zip(shape, shape[1:] + shape[:1], strict=True)) / 2
+        size = sum(a * y - x * b for (a, b), (x, y) in zip(outline, outline[1:] + outline[:1], strict=True)) / 2
+        assert size == pytest.approx(own + 2 * around + math.pi * 4, rel=1e-3)
+
+
 def test_buffers_of_stars_and_holes(spark, stars, star_edges):
     few = {i: p for i, p in stars.items() if i < 5}
     grown = ar.buffers(star_edges.filter("poly_id < 5"), 25.0)
