@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from isoreach.functions.predicates import side
 from isoreach.operators import geometry as g
 from isoreach.operators import spatial
-from isoreach.operators.joins import lookup_join
+from isoreach.operators.joins import lookup_join, shuffled
 from isoreach.operators.rings import in_order, stitched
 from isoreach.session import materialise
 
@@ -107,10 +107,10 @@ def _pieces(edges: DataFrame, keys: list[str], layers: int) -> DataFrame:
     nodes = materialise(_nodes(edges, keys), "edge-nodes")
     cut = materialise(nodes.select("id").distinct(), "cut-edges")
     line = ["id", *keys, *counts, "x1", "y1", "x2", "y2"]
-    whole = edges.select(*line).join(cut, "id", "left_anti")
-    ends = edges.select(*line).join(cut, "id", "left_semi")
+    whole = edges.select(*line).join(shuffled(cut), "id", "left_anti")
+    ends = edges.select(*line).join(shuffled(cut), "id", "left_semi")
     points = ends.select(*line, F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(ends.select(*line, F.col("x2").alias("x"), F.col("y2").alias("y")))
-    points = points.unionByName(ends.join(nodes, "id").select(*line, "x", "y")).distinct()
+    points = points.unionByName(ends.join(shuffled(nodes), "id").select(*line, "x", "y")).distinct()
     ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     along = Window.partitionBy("id").orderBy((F.col("x") - F.col("x1")) * ux + (F.col("y") - F.col("y1")) * uy)
     parts = points.select(*keys, *counts, "x", "y", F.lead("x").over(along).alias("to_x"), F.lead("y").over(along).alias("to_y")).filter("to_x IS NOT NULL")
@@ -148,7 +148,7 @@ def _border(edges: DataFrame, keys: list[str], layers: int, within) -> DataFrame
     """
     numbered = materialise(edges.withColumn("id", F.monotonically_increasing_id()), "arranged-edges")
     pieces = _pieces(numbered, keys, layers)
-    seen = pieces.join(_windings(pieces, keys, layers), "id", "left")
+    seen = pieces.join(shuffled(_windings(pieces, keys, layers)), "id", "left")
     # A rising piece has the ray's side to its right, a level one to its left.
     level = F.col("y1") == F.col("y2")
     met = [F.coalesce(F.col(f"w{k}"), F.lit(0)) for k in range(layers)]

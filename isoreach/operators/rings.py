@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isoreach.operators.joins import shuffled
 from isoreach.session import materialise
 
 
@@ -34,7 +35,7 @@ def _ranked(edges: DataFrame, keys: list[str]) -> DataFrame:
     takes some twenty rounds, each a join on the edge.
     """
     own = F.struct("x1", "y1", "id")
-    state = edges.join(_successors(edges, keys), "id").select(
+    state = edges.join(shuffled(_successors(edges, keys)), "id").select(
         "id", F.col("next").alias("to"), F.struct(own.alias("edge"), F.lit(0).cast("long").alias("ahead")).alias("least"), F.lit(False).alias("moved")
     )
     state, reach = materialise(state, "ring-steps"), 1
@@ -42,7 +43,7 @@ def _ranked(edges: DataFrame, keys: list[str]) -> DataFrame:
         there = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"))
         better = F.col("other.edge") < F.col("least.edge")
         least = F.when(better, F.struct(F.col("other.edge").alias("edge"), (F.col("other.ahead") + reach).alias("ahead"))).otherwise(F.col("least"))
-        state = materialise(state.join(there, "to").select("id", F.col("further").alias("to"), least.alias("least"), better.alias("moved")), "ring-steps")
+        state = materialise(state.join(shuffled(there), "to").select("id", F.col("further").alias("to"), least.alias("least"), better.alias("moved")), "ring-steps")
         reach *= 2
         if not state.filter("moved").limit(1).count():
             return state.select("id", F.col("least.edge.id").alias("leader"), F.col("least.ahead").alias("ahead"))
@@ -56,10 +57,10 @@ def stitched(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     kept = edges.select(*keys, "x1", "y1", "x2", "y2").withColumn("id", F.monotonically_increasing_id())
     kept = materialise(kept, "loose-edges")
-    placed = materialise(kept.join(_ranked(kept, keys), "id"), "ring-edges")
+    placed = materialise(kept.join(shuffled(_ranked(kept, keys)), "id"), "ring-edges")
     corners = _without_straight(placed, keys, ["leader"])
     firsts = corners.filter("first").select("leader", F.dense_rank().over(Window.partitionBy(*keys).orderBy("x1", "y1", "leader")).cast("int").alias("ring_id"))
-    numbered = corners.join(firsts, "leader")
+    numbered = corners.join(shuffled(firsts), "leader")
     return numbered.select(*keys, "ring_id", "seq", "x1", "y1", "x2", "y2")
 
 

@@ -50,6 +50,16 @@ def test_lookup_that_would_fill_a_driver_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookup_beyond_the_limit_is_shuffled_however_small_its_source_looks(spark, how):
+    few = spark.range(40).withColumnRenamed("id", "k")
+    lookup = few.select("k", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("v"))
+    got = joins.lookup_join(few, lookup, "k", how, limit=1000, sample=1.0)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = few.join(lookup, "k", how)
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
 def test_measured_size(spark):
     df = spark.createDataFrame([("abc", 1), (None, 2)], "t string, n int")
     assert joins.measured_bytes(df) == 2 * 16 + 3
