@@ -54,15 +54,22 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype(np.uint64)
     n = len(ids)
     selector = np.zeros(n, np.uint8)
-    place = np.arange(n)
     for number in range(len(SHAPES), 0, -1):  # widest ids first, so that a denser shape overwrites
         count, bits = SHAPES[number - 1]
-        fits = ids >> np.uint64(bits) == 0
-        if np.count_nonzero(fits) < min(count, n):
+        # A word may begin in a gap between ids that are too wide, where the gap has room for it.
+        wide = np.flatnonzero(ids >> np.uint64(bits))
+        if n - len(wide) < min(count, n):
             continue
-        # Up to the next id that is too wide; the block's end counts as such, a short last word is filled with zeros.
-        run = np.minimum.accumulate(np.where(fits, n, place)[::-1])[::-1] - place
-        selector[(run >= count) | (run == n - place) & (run > 0)] = number
+        begins, ends = np.append(0, wide + 1), np.append(wide, n) - count + 1
+        room = np.flatnonzero(ends > begins)
+        begins, ends = begins[room], ends[room]
+        if len(begins):
+            inside = np.zeros(n + 1, np.int8)
+            inside[begins] = 1
+            inside[ends] = -1
+            selector[np.cumsum(inside[:n], dtype=np.int8).view(bool)] = number
+        # The block's last word may be short and is filled with zeros.
+        selector[wide[-1] + 1 if len(wide) else 0 :] = number
     taken = np.array([1, *[c for c, _ in SHAPES]])[selector].tolist()
     starts, i = [], 0
     while i < n:

@@ -3,8 +3,9 @@
 White space separates tokens for the word tokenizer, so texts are cut at blanks and line ends, by Arrow, many texts at a
 time. Each distinct piece of such a group is looked up once. A piece that is one word of plain letters, perhaps with a
 mark after it, has the ids of the word in lower case and those of the mark; new words are given to the library many at
-once, and the vocabulary's word ends tell them apart. Other pieces go to the library as they are. The ids of a group are
-then one gather from a flat array. Tests compare this with the library on whole texts.
+once, and the vocabulary's word ends tell them apart. Other pieces go to the library as they are. The ids of each
+distinct piece are one binary value, and Arrow takes these in the order of the pieces. Tests compare this with the
+library on whole texts.
 
 A table of at most ``MOST_WORDS`` words stays with the worker process across tasks: where it is full, those met in one
 group only go. That costs time, not ids. Texts beyond ``LONG`` characters are cut at a blank, so that memory follows the
@@ -37,6 +38,10 @@ def _check(path: str) -> None:
         raise ValueError(f"{path} is no lower-casing word tokenizer with '</w>' at word ends")
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,12 +98,13 @@ class WordIds:
         self._append_flat(new, np.array(coded.ids, self.dtype), sizes)
 
     def _rows_of(self, names: list[str], add) -> np.ndarray:
-        found = [self.rows.get(w, -1) for w in names]
-        new = [w for w, k in zip(names, found, strict=True) if k < 0]
+        """Rows of distinct names; ``add`` appends those of the new ones in their order."""
+        out = np.fromiter((self.rows.get(w, -1) for w in names), np.int64, len(names))
+        unknown = np.flatnonzero(out < 0)
+        new = [names[k] for k in unknown.tolist()]
         if new:
+            out[unknown] = np.arange(len(self.met), len(self.met) + len(new))
             add(new)
-            found = [self.rows[w] for w in names]
-        out = np.array(found, np.int64)
         self.met[out] += 1
         for w in new:
             if len(w) > _KEPT_LENGTH:
@@ -118,21 +124,24 @@ class WordIds:
         bare = pc.utf8_rtrim(chosen, characters=_MARKS)
         marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(chosen)).to_numpy(zero_copy_only=False)
         lower = pc.utf8_lower(bare).dictionary_encode()
-        word[plain] = self._rows_of(lower.dictionary.to_pylist(), self._add_words)[lower.indices.to_numpy()] if len(chosen) else 0
-        last = pc.utf8_slice_codeunits(chosen.filter(pa.array(marked)), -1).to_pylist()
-        at = np.flatnonzero(plain)[marked]
-        mark[at] = [self.rows[m] for m in last]
+        word[plain] = self._rows_of(_strings(lower.dictionary), self._add_words)[lower.indices.to_numpy()] if len(chosen) else 0
+        last = pc.utf8_slice_codeunits(chosen.filter(pa.array(marked)), -1)
+        # The marks' rows follow that of the empty string, see above.
+        mark[np.flatnonzero(plain)[marked]] = 1 + pc.index_in(last, value_set=pa.array([*_MARKS])).to_numpy()
         odd = np.flatnonzero(~plain)
         if len(odd):
-            word[odd] = self._rows_of(pieces.take(pa.array(odd)).to_pylist(), self._add_pieces)
-        used = coded.indices.to_numpy()
-        rows = np.empty(2 * len(used), np.int64)
-        rows[::2], rows[1::2] = word[used], mark[used]
+            word[odd] = self._rows_of(_strings(pieces.take(pa.array(odd))), self._add_pieces)
+        rows = np.empty(2 * len(pieces), np.int64)
+        rows[::2], rows[1::2] = word, mark
         sizes = np.diff(self.starts)[rows]
         before = np.cumsum(sizes) - sizes
         ids = self.flat[np.repeat(self.starts[rows] - before, sizes) + np.arange(int(sizes.sum()))]
-        ends = np.append(before, len(ids))[2 * lists.offsets.to_numpy()]
-        return ids, np.diff(ends)
+        width = self.dtype.itemsize
+        bounds = width * np.append(before[::2], len(ids)).astype(np.int64)
+        values = pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+        _, ends, data = values.take(coded.indices).buffers()
+        ends = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()] // width
+        return np.frombuffer(data or b"", self.dtype, int(ends[-1])), np.diff(ends)
 
     def _one(self, text: str) -> bytes:
         """A long text, in stretches that end at a blank."""

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -55,6 +56,17 @@ def test_long_texts_and_a_full_table(library, monkeypatch):
     assert len(coder.rows) < 2000
 
 
+def test_repeated_pieces_are_not_worked_on_one_by_one():
+    coder, texts = WordIds(WORDS), ["A quick brown fox, and lazy dogs. " * 500] * 60
+    coder.encode(texts)
+    tracemalloc.start()
+    try:
+        coder.encode(texts)
+        assert tracemalloc.get_traced_memory()[1] < 16 * 60 * 3500
+    finally:
+        tracemalloc.stop()
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises((ValueError, KeyError)):
         WordIds(vocabulary("byte_bpe_50k.json"))
