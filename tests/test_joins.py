@@ -60,6 +60,28 @@ def test_lookup_beyond_the_limit_is_shuffled_however_small_its_source_looks(spar
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
 
+def test_tasks_of_a_shuffled_lookup_follow_the_rows(spark, skewed, lookup, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 50)
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        got, plain = joins.lookup_join(skewed, lookup, "k", how, limit=0, sample=1.0), skewed.join(lookup, "k", how)
+        # 5,000 rows have a key.
+        assert "hashpartitioning(k" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 100)" in plan
+        assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+def test_a_large_side_is_sampled_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    big = spark.range(3000).select((F.col("id") % 100).alias("k")).mapInArrow(read, "k long")
+    joins.hot_keys(big, ["k"], 1.0)
+    assert seen.value == 3000
+
+
 def test_measured_size(spark):
     df = spark.createDataFrame([("abc", 1), (None, 2)], "t string, n int")
     assert joins.measured_bytes(df) == 2 * 16 + 3
