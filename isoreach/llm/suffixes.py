@@ -16,6 +16,9 @@ window by window. Texts move once: both joins with the texts reuse one exchange,
 A passage that a third of all documents share costs one suffix for each task, since a task sends each equal span once,
 for its smallest doc_id, and settles the others itself.
 
+Sending. Every task sends to every bucket, so there are as many rows as tasks times buckets, with a square of the input,
+until each suffix is a row of its own. A row's bytes are therefore cut from arrays and read as arrays, all rows at once.
+
 Defined results: matches never cross documents; a null text is empty; a document with a null doc_id has no place in the
 order, is compared with nothing and keeps its text; rows that share a doc_id are the same document and do not remove
 each other's bytes.
@@ -30,7 +33,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,12 @@ _FLUSH = 600_000
 _ROWS = 250
 _SLICE_BYTES = 2 << 20
 _BLOBS = "part long, kind int, blob binary"
+_SPANS = _BLOBS + ", bytes binary"
+#: Bytes of spans to compare that are sent on at a time.
+_SPAN_BYTES = 4 << 20
+#: Columns of what is sent, with their bytes: suffixes (lead, gram, span, doc, at), covered anchors (doc, at, check), anchors
+#: to compare (and group), their spans (group, doc, lo, hi - lo), runs of windows (doc, first, last, mark).
+_SUFFIX, _COVERED, _OPEN, _SPAN, _RUN = "u8 u2 u5 i8 i4", "i8 i4 u2", "i8 i4 u2 i8", "i8 i8 i4 i4", "i8 i4 i4 u2"
 
 
 @dataclass
@@ -126,30 +134,36 @@ def _texts(table: pa.Table | pa.RecordBatch) -> list[bytes]:
 
 def _bucket(lead: np.ndarray, gram: np.ndarray, split: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How many splitters (lead, gram) are not above each suffix."""
-    out = np.searchsorted(split[0], lead, "left")
-    for value in np.unique(split[0]).tolist():
-        rows = np.flatnonzero(lead == np.uint64(value))
-        if len(rows):
-            first, last = np.searchsorted(split[0], np.uint64(value), "left"), np.searchsorted(split[0], np.uint64(value), "right")
-            out[rows] += np.searchsorted(split[1][first:last], gram[rows], "right")
-    return out
+    leads, number = np.unique(split[0], return_inverse=True)
+    if not len(leads):
+        return np.zeros(len(lead), np.int64)
+    # A place among the splitters' leads: odd at one of them, where the gram decides, even between two.
+    place = np.searchsorted(leads, lead, "left")
+    same = leads[np.minimum(place, len(leads) - 1)] == lead
+    own = (2 * place + same).astype(np.uint64) << np.uint64(16) | np.where(same, gram, np.uint64(0))
+    return np.searchsorted((2 * number + 1).astype(np.uint64) << np.uint64(16) | split[1], own, "right")
+
+
+def _rows(part: np.ndarray, kind: int, *blobs: pa.Array) -> pa.RecordBatch:
+    names = ["part", "kind", "blob", "bytes"][: 2 + len(blobs)]
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.full(len(part), kind), pa.int32()), *blobs], names=names)
 
 
-def _rows(part: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int64()), pa.array([kind] * len(part), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"]
-    )
+def _none(names: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in map(str.split, names.split(", "))]).empty_table()
 
 
-def _by(part: np.ndarray, kind: int, *values: np.ndarray) -> pa.RecordBatch:
+def _by(part: np.ndarray, kind: int, kinds: str, *values: np.ndarray) -> pa.RecordBatch:
     """One row for each value of ``part``, holding its values."""
     order = np.argsort(part, kind="stable")
     part = part[order]
-    firsts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    values = tuple(v[order] for v in values)
-    ends = [*firsts[1:].tolist(), len(part)]
-    blobs = [columns.dump(*(v[a:b] for v in values)) for a, b in zip(firsts.tolist(), ends, strict=False)]
-    return _rows(part[firsts].tolist(), kind, blobs)
+    firsts = np.flatnonzero(_firsts(part))
+    return _rows(part[firsts], kind, columns.pack(firsts, kinds, *(v[order] for v in values)))
+
+
+def _blobs(table: pa.Table, kind: int) -> pa.ChunkedArray:
+    return table.filter(pc.equal(table.column("kind"), kind)).column("blob")
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -189,8 +203,8 @@ def remove_repeats(
             first = np.flatnonzero(_firsts(lead, gram, span))
             least_doc = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
             mine = doc == least_doc
-            yield _by(np.mod(doc[~mine], buckets), 1, doc[~mine], at[~mine], span[~mine] & np.uint64(0xFFFF))
-            yield _by(_bucket(lead[mine], gram[mine], split).astype(np.int64), 0, lead[mine], gram[mine], span[mine], doc[mine], at[mine])
+            yield _by(np.mod(doc[~mine], buckets), 1, _COVERED, doc[~mine], at[~mine], span[~mine] & np.uint64(0xFFFF))
+            yield _by(_bucket(lead[mine], gram[mine], split), 0, _SUFFIX, lead[mine], gram[mine], span[mine], doc[mine], at[mine])
 
         for rows in by_bytes(batches, "text", _SLICE_BYTES, _ROWS):
             rows = rows.filter(rows.column("doc_id").is_valid())
@@ -208,16 +222,11 @@ def remove_repeats(
         """kind 0: covered anchors; kind 1: spans to compare, with the number of their leading bytes."""
         give_back()
         out = []
-        kinds = table.column("kind").to_pylist()
-        blobs = table.column("blob").to_pylist()
         bucket = table.column("part")[0].as_py()
-        local = [columns.load(b) for b, k in zip(blobs, kinds, strict=True) if k == 1]
-        if local:
-            doc, at, check = (np.concatenate(c) for c in zip(*local, strict=True))
-            out.append(_by(np.mod(doc, groups), 0, doc, at, check))
-        sent = [columns.load(b) for b, k in zip(blobs, kinds, strict=True) if k == 0]
-        if sent:
-            lead, gram, span, doc, at = (np.concatenate(c) for c in zip(*sent, strict=True))
+        doc, at, check = columns.unpack(_blobs(table, 1), _COVERED)
+        out.append(_by(np.mod(doc, groups), 0, _COVERED, doc, at, check))
+        lead, gram, span, doc, at = columns.unpack(_blobs(table, 0), _SUFFIX)
+        if len(lead):
             order = np.lexsort((doc, span, gram, lead))
             lead, gram, span, doc, at = lead[order], gram[order], span[order], doc[order], at[order]
             check = span & np.uint64(0xFFFF)
@@ -225,15 +234,15 @@ def remove_repeats(
             starts = np.flatnonzero(span_first)
             least_doc = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
             mine = doc == least_doc
-            out.append(_by(np.mod(doc[~mine], groups), 0, doc[~mine], at[~mine], check[~mine]))
+            out.append(_by(np.mod(doc[~mine], groups), 0, _COVERED, doc[~mine], at[~mine], check[~mine]))
             number = np.cumsum(key_first) - 1
             low = np.minimum.reduceat(doc, np.flatnonzero(key_first))
             high = np.maximum.reduceat(np.where(mine, doc, low[number]), np.flatnonzero(key_first))
             spans = np.bincount(number[span_first])
             open_ = mine & ((spans > 1) & (high > low))[number]
             group = number[open_] + (np.int64(bucket) << np.int64(32))
-            out.append(_by(np.mod(doc[open_], groups), 1, doc[open_], at[open_], check[open_], group))
-        return pa.Table.from_batches([b for b in out if b.num_rows] or [_rows([], 0, [])])
+            out.append(_by(np.mod(doc[open_], groups), 1, _OPEN, doc[open_], at[open_], check[open_], group))
+        return pa.Table.from_batches(out)
 
     sent = docs.select("doc_id", "text").mapInArrow(tidy(suffixes), _BLOBS)
     settled = materialise(sent.groupBy("part").applyInArrow(sort_bucket, _BLOBS), "suffix-buckets")
@@ -247,9 +256,21 @@ def remove_repeats(
         """The spans to compare: kind 2, by bucket."""
         give_back()
         if not wanted.num_rows or not texts.num_rows:
-            return pa.Table.from_batches([_rows([], 2, [])])
-        doc, at, check, group = (np.concatenate(c) for c in zip(*map(columns.load, wanted.column("blob").to_pylist()), strict=True))
-        out = []
+            return _none(_SPANS)
+        doc, at, check, group = columns.unpack(wanted.column("blob"), _OPEN)
+        out, held, count = [], [], 0
+
+        def flush() -> None:
+            group, doc, lo, more, data = (np.concatenate(c) for c in zip(*held, strict=True))
+            bucket = group >> np.int64(32)
+            order = np.argsort(bucket, kind="stable")
+            sizes = more + length
+            starts = np.cumsum(sizes) - sizes
+            group, doc, lo, more, bucket = group[order], doc[order], lo[order], more[order], bucket[order]
+            firsts = np.flatnonzero(_firsts(bucket))
+            ends = np.append(0, np.cumsum(sizes[order]))[np.append(firsts, len(bucket))]
+            out.append(_rows(bucket[firsts], 2, columns.pack(firsts, _SPAN, group, doc, lo, more), columns.strings(ends, _pieces(data, starts[order], sizes[order]))))
+
         for rows in _slices(texts):
             ids = _ids(rows)
             raw = _texts(rows)
@@ -257,28 +278,26 @@ def remove_repeats(
             a_doc, a_check = ids[a.doc], a.span & np.uint64(0xFFFF)
             mine, theirs = _matches((a_doc, a.at, a_check), (doc, at, check))
             if len(mine):
-                numbers = group[theirs]
-                bucket = numbers >> np.int64(32)
-                order = np.argsort(bucket, kind="stable")
-                firsts = np.flatnonzero(_firsts(bucket[order]))
-                for rows_of in np.split(order, firsts[1:]):
-                    m = mine[rows_of]
-                    data = b"".join([raw[d][x : y + length] for d, x, y in zip(a.doc[m].tolist(), a.lo[m].tolist(), a.hi[m].tolist(), strict=True)])
-                    head = columns.dump(numbers[rows_of], a_doc[m], a.lo[m], a.hi[m] - a.lo[m])
-                    packed = zstandard.ZstdCompressor(level=1).compress(data)
-                    out.append(_rows([int(bucket[rows_of[0]])], 2, [len(head).to_bytes(8, "little") + head + packed]))
-        return pa.Table.from_batches(out or [_rows([], 2, [])])
+                sizes = np.array([len(t) for t in raw], np.int64)
+                base, buffer = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint8)
+                lo, more = a.lo[mine], a.hi[mine] - a.lo[mine]
+                for x, y in _runs(more + length, _SPAN_BYTES):
+                    m = mine[x:y]
+                    data = _pieces(buffer, base[a.doc[m]] + lo[x:y], more[x:y] + length)
+                    held.append((group[theirs[x:y]], a_doc[m], lo[x:y], more[x:y], data))
+                    count += len(data)
+                    if count >= _SPAN_BYTES:
+                        flush()
+                        held, count = [], 0
+        if count:
+            flush()
+        return pa.Table.from_batches(out) if out else _none(_SPANS)
 
     def compare(table: pa.Table) -> pa.Table:
         """Windows that a smaller doc_id has too: kind 3, first and last window start."""
         give_back()
-        held, data = [], []
-        for blob in table.column("blob").to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            held.append(columns.load(blob[8 : 8 + n]))
-            data.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + n :]), np.uint8))
-        group, doc, lo, more = (np.concatenate(c) for c in zip(*held, strict=True))
-        hashes = Rolling(np.concatenate(data)).every(length)
+        group, doc, lo, more = columns.unpack(table.column("blob"), _SPAN)
+        hashes = Rolling(columns.contents(table.column("bytes"))[1]).every(length)
         sizes = more + length
         starts = np.cumsum(sizes) - sizes
         span = np.repeat(np.arange(len(more)), more + 1)
@@ -297,9 +316,9 @@ def remove_repeats(
         first = lo[span[a]] + nth[a]
         # An anchor's check also tells which of several texts with one doc_id is meant; here its span's hash does.
         mark = hashes[starts[span[a]] + nth[a]] & np.uint64(0xFFFF)
-        return pa.Table.from_batches([_by(np.mod(run_doc, groups), 3, run_doc, first, lo[span[b]] + nth[b], mark)])
+        return pa.Table.from_batches([_by(np.mod(run_doc, groups), 3, _RUN, run_doc, first, lo[span[b]] + nth[b], mark)])
 
-    spans = grouped.cogroup(settled.filter("kind = 1").groupBy("part")).applyInArrow(fetch, _BLOBS)
+    spans = grouped.cogroup(settled.filter("kind = 1").groupBy("part")).applyInArrow(fetch, _SPANS)
     compared = spans.groupBy("part").applyInArrow(compare, _BLOBS)
     covers = settled.filter("kind = 0").unionByName(compared)
 
@@ -309,11 +328,8 @@ def remove_repeats(
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         give_back()
-        blobs = list(zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True))
-        whole = [columns.load(b) for k, b in blobs if k == 0]
-        runs = [columns.load(b) for k, b in blobs if k == 3]
-        whole = [np.concatenate(c) for c in zip(*whole, strict=True)] if whole else None
-        runs = [np.concatenate(c) for c in zip(*runs, strict=True)] if runs else None
+        whole = columns.unpack(_blobs(found, 0), _COVERED)
+        runs = columns.unpack(_blobs(found, 3), _RUN)
         out = []
         for rows in _slices(texts):
             ids, raw = _ids(rows), _texts(rows)
@@ -321,12 +337,12 @@ def remove_repeats(
             base = np.cumsum(sizes) - sizes
             buffer = np.frombuffer(b"".join(raw), np.uint8)
             change = np.zeros(len(buffer) + 1, np.int32)
-            if whole:
+            if len(whole[0]):
                 a = anchors_of(raw, length)
-                mine, _ = _matches((ids[a.doc], a.at, a.span & np.uint64(0xFFFF)), tuple(whole))
+                mine, _ = _matches((ids[a.doc], a.at, a.span & np.uint64(0xFFFF)), whole)
                 np.add.at(change, base[a.doc[mine]] + a.lo[mine], 1)
                 np.add.at(change, base[a.doc[mine]] + a.hi[mine] + length, -1)
-            if runs:
+            if len(runs[0]):
                 _mark_runs(change, buffer, ids, base, sizes, runs, length)
             gone = np.cumsum(change[:-1]) > 0
             total = np.append(0, np.cumsum(gone))
@@ -353,6 +369,23 @@ def remove_repeats(
     return grouped.cogroup(covers.groupBy("part")).applyInArrow(cut, schema)
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First and last of the rows whose sizes together are about ``most``."""
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(sizes)], strict=True)
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bytes of ``data`` from each start on, one piece after the other."""
+    ends = np.cumsum(sizes)
+    shift = starts - (ends - sizes)
+    out = np.empty(sizes.sum(), np.uint8)
+    for x, y in _runs(sizes, 1 << 18):
+        first, last = ends[x] - sizes[x], ends[y - 1]
+        out[first:last] = data[np.arange(first, last) + np.repeat(shift[x:y], sizes[x:y])]
+    return out
+
+
 def _slices(texts: pa.Table) -> Iterator[pa.Table]:
     return by_bytes([texts], "text", _SLICE_BYTES, _ROWS)
 
